@@ -75,8 +75,9 @@ def instant_micros(df: DataFrame, text: str, out: str, zone: Column, date_order:
     row = "|".join(_PARTS.values())
     parts = F.split(F.regexp_replace(F.translate(F.col(text), "\x01", "?"), PATTERN, f"\x01|{row}"), "\\|", -1)
     df = df.withColumns({f"{t}p": parts, f"{t}zone": zone, f"{t}order": date_order, f"{t}codes": codes})
-    read = F.size(f"{t}p") == len(_PARTS) + 1
-    part = {k: F.when(read & (F.element_at(f"{t}p", 1) == "\x01"), F.nullif(F.get(f"{t}p", F.lit(i)), F.lit(""))) for i, k in enumerate(_PARTS, 1)}
+    unread = F.array(*[F.lit("")] * (len(_PARTS) + 1))
+    df = df.withColumn(f"{t}p", F.when((F.size(f"{t}p") == len(_PARTS) + 1) & (F.get(f"{t}p", F.lit(0)) == "\x01"), F.col(f"{t}p")).otherwise(unread))
+    part = {k: F.nullif(F.get(f"{t}p", F.lit(i)), F.lit("")) for i, k in enumerate(_PARTS, 1)}
     number = lambda k: part[k].cast("int")
     mdy = F.coalesce(F.lower(F.trim(f"{t}order")) == "mdy", F.lit(False))
     month_name = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part["mon"])).cast("int")
