@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import pack_id, unpack_id
 from ..operators.instants import shot_micros, with_zones
@@ -18,16 +18,20 @@ SLOT_MICROS = 3 * WINDOW_MICROS
 #: Rows of one time slot from which on it is split further, fingerprints of the routing tree's sample, its depth.
 SHARD_ROWS, TRUNK_SAMPLE, TRUNK_DEPTH = 20_000, 4096, 6
 _KEYS = ["project_id", "slot", "leaf", "i", "j"]
-_SHARDS = "project_id string, slot bigint, leaf int, i int, j int, kind int, k binary, h bigint, t bigint"
 
 
-def fingerprints(photos: DataFrame, settings: DataFrame) -> DataFrame:
+def fingerprints(photos: DataFrame, settings: DataFrame, phash: Column | None = None) -> DataFrame:
     """(project_id, k, h, t): photos with id, project and valid hash; t is null without instant.
 
+    phash: a column that is null or valid keeps all photos with an id instead; h is null where it is.
+
     The caller filters t only behind a cut: a filter here would be pushed below and evaluate every expression twice.
     """
-    valid = photos.where(F.col("phash").rlike("^[0-9a-fA-F]{16}\\z") & F.col("id").isNotNull() & F.col("project_id").isNotNull() & F.col("shot_at").isNotNull())
-    read = shot_micros(with_zones(valid.select("id", "project_id", "shot_at", "phash"), settings))
+    kept = photos.where("id is not null")
+    if phash is None:
+        phash = F.col("phash")
+        kept = kept.where(phash.rlike("^[0-9a-fA-F]{16}\\z") & F.col("project_id").isNotNull() & F.col("shot_at").isNotNull())
+    read = shot_micros(with_zones(kept.select("id", "project_id", "shot_at", phash.alias("phash")), settings))
     return read.select("project_id", pack_id(F.col("id")).alias("k"), F.conv("phash", 16, -10).cast("bigint").alias("h"), F.col("shot_micros").alias("t"))
 
 
@@ -116,23 +120,19 @@ def _join_shards(radius: int, window: int):
     return run
 
 
-def near_duplicate_pairs(photos: DataFrame, settings: DataFrame, radius: int = RADIUS, window: int = WINDOW_MICROS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b), packed ids: each pair of photos of one project within ``radius`` bits and ``window`` microseconds (at most
-    WINDOW_MICROS), once, in no order.
+def near_pairs_of_points(points: DataFrame, radius: int = RADIUS, window: int = WINDOW_MICROS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(a, b): the k of each pair of rows of one project within ``radius`` bits and ``window`` microseconds (at most
+    WINDOW_MICROS), once, in no order. points: (project_id, k, h, t), a written table without nulls.
 
     Rows are sharded by project and time slot, rows near the slot before visit that one too; in each shard a
     vantage-point tree finds the pairs. A slot of more than ``shard_rows`` rows is first parted by a routing tree,
     fitted on at most TRUNK_SAMPLE of the overfull slots' fingerprints (it decides only where rows meet, never
     whether), and what that can't part, such as copies of one fingerprint, by blocks of ids. So no task holds more than
     two blocks of a shard, and no pair is lost.
-
-    Null or malformed ids, projects, hashes and texts without instant have no pairs. Repeated rows count once (should rows of
-    one id differ, each counts with its own values, but an id never pairs with itself). Empty tables give no pair; other columns
-    don't matter.
     """
-    spark = photos.sparkSession
-    stash = Stash(spark, "near-pairs")
-    rows = _slots(stash.put(fingerprints(photos, settings)).where("t is not null"))
+    stash = Stash(points.sparkSession, "near-pairs")
+    kind = points.schema["k"].dataType.simpleString()
+    rows = _slots(points)
     hot = rows.groupBy("project_id", "slot").count().where(F.col("count") > shard_rows).select(F.col("project_id").alias("p"), F.col("slot").alias("s"))
     hot = stash.put(hot)
     plain = rows.withColumns({"leaf": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
@@ -141,16 +141,21 @@ def near_duplicate_pairs(photos: DataFrame, settings: DataFrame, radius: int = R
         full = rows.join(hot, same, "left_semi")
         sample = full.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(TRUNK_SAMPLE).collect()
         trunk = Trunk(np.array([r.h for r in sample], np.int64).view(np.uint64), TRUNK_DEPTH, radius)
-        routed = stash.put(full.mapInArrow(_route(trunk), "project_id string, slot bigint, leaf int, kind int, k binary, h bigint, t bigint"))
+        routed = stash.put(full.mapInArrow(_route(trunk), f"project_id string, slot bigint, leaf int, kind int, k {kind}, h bigint, t bigint"))
         split = _blocks(routed, shard_rows)
         plain = plain.join(hot, same, "left_anti").unionByName(split)
     shards = plain.select(*_KEYS, "kind", "k", "h", "t").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "k")
-    found = shards.mapInArrow(_join_shards(radius, window), "a binary, b binary")
+    found = shards.mapInArrow(_join_shards(radius, window), f"a {kind}, b {kind}")
     return found.where("a <> b")
 
 
 def near_duplicates(photos: DataFrame, settings: DataFrame, **how) -> DataFrame:
-    """near_duplicate_pairs as (photo_a, photo_b), the smaller id first."""
-    a, b = unpack_id(F.col("a")), unpack_id(F.col("b"))
-    pairs = near_duplicate_pairs(photos, settings, **how).select(a.alias("a"), b.alias("b"))
+    """(photo_a, photo_b), the smaller id first: each pair of near-duplicate photos, as near_pairs_of_points finds them.
+
+    Null or malformed ids, projects, hashes and texts without instant have no pairs. Repeated rows count once (should rows of
+    one id differ, each counts with its own values, but an id never pairs with itself). Empty tables give no pair; other columns
+    don't matter.
+    """
+    points = Stash(photos.sparkSession, "fingerprints").put(fingerprints(photos, settings)).where("t is not null")
+    pairs = near_pairs_of_points(points, **how).select(unpack_id(F.col("a")).alias("a"), unpack_id(F.col("b")).alias("b"))
     return pairs.select(F.least("a", "b").alias("photo_a"), F.greatest("a", "b").alias("photo_b"))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from ..runtime import table
+from .components import photo_components
 from .near_pairs import near_duplicates
 
+#: Methods whose groups hold duplicates.
+DUPLICATES = ("phash_burst", "import_match")
+
 QUERIES = {}
 ORACLE = {}
 
@@ -17,3 +21,9 @@ def query(f):
 @query
 def p1_found(spark, d):
     return near_duplicates(table(spark, d, "photos"), table(spark, d, "project_settings"))
+
+
+@query
+def p5_found(spark, d):
+    photos, settings, groups, members = (table(spark, d, x) for x in ("photos", "project_settings", "similar_groups", "group_members"))
+    return photo_components(photos, settings, groups, members, DUPLICATES)
