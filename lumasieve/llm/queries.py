@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from ..runtime import table
 from .components import photo_components
+from .cutoffs import kept_photos, project_cutoffs
 from .near_pairs import near_duplicates
+from .survivors import group_survivors
+from .top_n import top_members
 
 #: Methods whose groups hold duplicates.
 DUPLICATES = ("phash_burst", "import_match")
@@ -27,3 +30,58 @@ def p1_found(spark, d):
 def p5_found(spark, d):
     photos, settings, groups, members = (table(spark, d, x) for x in ("photos", "project_settings", "similar_groups", "group_members"))
     return photo_components(photos, settings, groups, members, DUPLICATES)
+
+
+@query
+def p3_found(spark, d):
+    return kept_photos(table(spark, d, "photos"), table(spark, d, "project_settings"))
+
+
+@query
+def p3_cutoffs(spark, d):
+    cut = project_cutoffs(table(spark, d, "photos"), table(spark, d, "project_settings"))
+    return cut.withColumnRenamed("source", "project_id")
+
+
+ORACLE["p3_cutoffs"] = """
+WITH counted AS (
+  SELECT DISTINCT id, project_id, blur_score FROM photos
+  WHERE analysis_state = 'done' AND blur_score >= 0 AND NOT isnan(blur_score)
+), ranked AS (
+  SELECT project_id, blur_score, count(*) OVER (PARTITION BY project_id ORDER BY blur_score DESC) AS reach,
+         count(*) OVER (PARTITION BY project_id) AS total
+  FROM counted
+)
+SELECT project_id, max(blur_score) AS cutoff, min(reach) AS kept, max(total) AS total
+FROM ranked JOIN project_settings USING (project_id)
+WHERE reach * 1000 >= total * keep_permille
+GROUP BY project_id
+"""
+
+ORACLE["p3_found"] = f"""
+WITH cut AS ({ORACLE["p3_cutoffs"]})
+SELECT DISTINCT project_id, id AS photo_id FROM photos JOIN cut USING (project_id)
+WHERE analysis_state = 'done' AND blur_score >= cutoff AND NOT isnan(blur_score)
+"""
+
+
+@query
+def p4_found(spark, d):
+    return top_members(table(spark, d, "group_members"), table(spark, d, "photos")).select("group_id", "photo_id")
+
+
+ORACLE["p4_found"] = """
+WITH scored AS (SELECT id, max(CASE WHEN blur_score >= 0 AND NOT isnan(blur_score) THEN blur_score END) AS score FROM photos GROUP BY id),
+members AS (SELECT DISTINCT group_id, photo_id FROM group_members),
+ranked AS (
+  SELECT group_id, photo_id, row_number() OVER (PARTITION BY group_id ORDER BY score DESC NULLS LAST, photo_id) AS r
+  FROM members LEFT JOIN scored ON id = photo_id
+)
+SELECT group_id, photo_id FROM ranked WHERE r <= 3
+"""
+
+
+@query
+def p6_found(spark, d):
+    members, groups, photos, settings = (table(spark, d, x) for x in ("group_members", "similar_groups", "photos", "project_settings"))
+    return group_survivors(members, groups, photos, settings, DUPLICATES)
