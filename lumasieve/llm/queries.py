@@ -5,7 +5,9 @@ from __future__ import annotations
 from ..runtime import table
 from .components import photo_components
 from .cutoffs import kept_photos, project_cutoffs
+from .encoding import count_tokens, encode_texts
 from .near_pairs import near_duplicates
+from .packing import fill_report, pack
 from .survivors import group_survivors
 from .top_n import top_members
 
@@ -85,3 +87,18 @@ SELECT group_id, photo_id FROM ranked WHERE r <= 3
 def p6_found(spark, d):
     members, groups, photos, settings = (table(spark, d, x) for x in ("group_members", "similar_groups", "photos", "project_settings"))
     return group_survivors(members, groups, photos, settings, DUPLICATES)
+
+
+@query
+def p7_ids(spark, d):
+    return encode_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def p8_pack(spark, d):
+    return pack(count_tokens(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "pack_sizes"))
+
+
+@query
+def p8_fill(spark, d):
+    return fill_report(p8_pack(spark, d), table(spark, d, "pack_sizes"))
