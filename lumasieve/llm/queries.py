@@ -8,6 +8,7 @@ from .cutoffs import kept_photos, project_cutoffs
 from .encoding import count_tokens, encode_texts
 from .near_pairs import near_duplicates
 from .packing import fill_report, pack
+from .quality import text_quality, text_shapes
 from .survivors import group_survivors
 from .top_n import top_members
 
@@ -102,3 +103,13 @@ def p8_pack(spark, d):
 @query
 def p8_fill(spark, d):
     return fill_report(p8_pack(spark, d), table(spark, d, "pack_sizes"))
+
+
+@query
+def p9_found(spark, d):
+    return text_shapes(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+@query
+def p9_stats(spark, d):
+    return text_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
