@@ -2,18 +2,394 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import photo as P
+from ..operators import browse, export, records, similarity
 from ..operators.instants import photo_instants
 from ..runtime import table
+from ..schema import degraded
 
 QUERIES = {}
 ORACLE = {}
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _tables(spark, d, *names):
+    return [table(spark, d, n) for n in names]
 
 
-@query
+# --- problem 2 -----------------------------------------------------------------------------------------------------
+
+
+@query()
 def p2_found(spark, d):
-    return photo_instants(table(spark, d, "photos"), table(spark, d, "project_settings"))
+    return photo_instants(*_tables(spark, d, "photos", "project_settings"))
+
+
+# --- scans and inserts -----------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT id, path FROM photos WHERE regexp_matches(path, '(?i)[^/\\]\.(jpg|jpeg|png|heic|heif)$')")
+def scan_supported(spark, d):
+    return records.supported(table(spark, d, "photos")).select("id", "path")
+
+
+NOW = "2026-01-01T00:00:00+00:00"
+
+
+@query(f"""
+WITH old AS (SELECT DISTINCT id, status, created_at FROM photos WHERE analysis_state <> 'pending'),
+found AS (SELECT DISTINCT project_id, path, sha256(project_id || chr(10) || path) AS id FROM photos)
+SELECT f.id, project_id, path, coalesce(status, 'pending') AS status, coalesce(created_at, '{NOW}') AS created_at, created_at IS NULL AS is_new
+FROM found f LEFT JOIN old o ON f.id = o.id
+""")
+def insert_if_absent(spark, d):
+    photos = table(spark, d, "photos")
+    return records.insert_if_absent(photos, photos.where("analysis_state <> 'pending'"), NOW)
+
+
+@query("SELECT id, sha256(project_id || chr(10) || path) AS derived FROM photos")
+def photo_ids(spark, d):
+    return table(spark, d, "photos").select("id", P.photo_id(F.col("project_id"), F.col("path")).alias("derived"))
+
+
+@query("SELECT id, path FROM photos WHERE analysis_state = 'pending'")
+def pending_queue(spark, d):
+    return table(spark, d, "photos").where("analysis_state = 'pending'").select("id", "path")
+
+
+@query("SELECT project_id, path FROM photos WHERE status = 'keep'")
+def keep_paths(spark, d):
+    return table(spark, d, "photos").where("status = 'keep'").select("project_id", "path")
+
+
+@query("SELECT id, sha256(path || '|' || cast(length(path) * 1000003 AS VARCHAR)) AS cache_key FROM photos WHERE regexp_matches(path, '(?i)\\.(heic|heif)$')")
+def transcode_keys(spark, d):
+    rows = table(spark, d, "photos").where(P.is_heic(F.col("path")))
+    return rows.select("id", P.cache_key(F.col("path"), F.length("path") * 1000003).alias("cache_key"))
+
+
+# --- scalar functions ----------------------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT id, coalesce(nullif(regexp_extract(path, '([^/\\]*)$', 1), ''), path) AS name, regexp_matches(path, '(?i)\.(heic|heif)$') AS heic,
+  concat_ws(',', CASE WHEN is_blurry THEN 'blur' END, CASE WHEN exposure_flag IN ('over', 'under') THEN exposure_flag END) AS badges
+FROM photos
+""")
+def photo_labels(spark, d):
+    return browse.photo_labels(table(spark, d, "photos"))
+
+
+@query("""
+SELECT id, CASE WHEN status IN ('pending', 'keep', 'reject') THEN status ELSE 'pending' END AS status,
+  CASE WHEN exposure_flag IN ('normal', 'over', 'under') THEN exposure_flag END AS exposure_flag,
+  CASE WHEN analysis_state IN ('pending', 'done', 'failed') THEN analysis_state ELSE 'pending' END AS analysis_state
+FROM photos
+""")
+def enum_degradation(spark, d):
+    return degraded(table(spark, d, "photos")).select("id", "status", "exposure_flag", "analysis_state")
+
+
+@query("""
+WITH v AS (SELECT id, phash, list_transform(string_split(lower(phash), ''), lambda c: instr('0123456789abcdef', c) - 1) AS x FROM photos WHERE regexp_full_match(phash, '[0-9a-fA-F]{16}'))
+SELECT p.id, cast(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS h
+FROM photos p LEFT JOIN (SELECT DISTINCT id, phash, list_reduce(list_transform(x, lambda e: e::HUGEINT), lambda a, e: a * 16 + e) AS u FROM v) v ON p.id = v.id AND p.phash = v.phash
+""")
+def phash_parse(spark, d):
+    return table(spark, d, "photos").select("id", P.parse_phash(F.col("phash")).alias("h"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity / 50 > 0.8 OR l_discount * 6 >= 0.5 THEN 'over' WHEN l_quantity / 50 < 0.2 OR l_tax * 7 >= 0.5 THEN 'under' ELSE 'normal' END AS flag
+FROM lineitem
+""")
+def exposure_flag(spark, d):
+    rows = table(spark, d, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", P.exposure_flag(F.col("l_quantity") / 50, F.col("l_discount") * 6, F.col("l_tax") * 7).alias("flag"))
+
+
+_FIT = """CASE WHEN greatest(w, h) <= 30 THEN w ELSE greatest(1, CASE WHEN x - floor(x) = 0.5 THEN 2 * round(x / 2) ELSE floor(x + 0.5) END)::INT END"""
+
+
+@query("""
+WITH s AS (SELECT p_partkey, p_size * 3 AS w, (p_partkey % 97 + 1)::INT AS h FROM part),
+t AS (SELECT *, 30.0::DOUBLE / greatest(w, h) AS scale FROM s)
+SELECT p_partkey,
+  CASE WHEN greatest(w, h) <= 30 THEN w ELSE greatest(1, round_even(w * scale, 0))::INT END AS width,
+  CASE WHEN greatest(w, h) <= 30 THEN h ELSE greatest(1, round_even(h * scale, 0))::INT END AS height
+FROM t
+""")
+def fit_dims(spark, d):
+    w, h = F.col("p_size") * 3, (F.col("p_partkey") % 97 + 1).cast("int")
+    return table(spark, d, "part").select("p_partkey", P.fit_side(w, h, 30).alias("width"), P.fit_side(h, w, 30).alias("height"))
+
+
+@query("""
+SELECT id, CASE WHEN total > 0 THEN least(100, floor(done / total * 100 + 0.5))::INT END AS percent FROM (
+  SELECT id, length(name)::DOUBLE AS done, (length(name) % 7 * 5)::DOUBLE AS total FROM projects)
+""")
+def progress_percent(spark, d):
+    return table(spark, d, "projects").select("id", P.percent(F.length("name").cast("double"), (F.length("name") % 7 * 5).cast("double")).alias("percent"))
+
+
+@query("""
+SELECT id, coalesce(strftime(try_cast(last_opened_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M'), last_opened_at, 'never') AS opened FROM projects
+""")
+def shown_dates(spark, d):
+    return table(spark, d, "projects").select("id", P.shown_date(F.col("last_opened_at"), "never").alias("opened"))
+
+
+@query("""
+SELECT id, method, try_cast(json_extract_string(params, '$.threshold') AS INT) AS threshold, try_cast(json_extract_string(params, '$.version') AS INT) AS version,
+  '{"threshold":8,"version":1}' AS written
+FROM similar_groups
+""")
+def group_params(spark, d):
+    read = F.from_json("params", "threshold int, version int")
+    return table(spark, d, "similar_groups").select("id", "method", read["threshold"].alias("threshold"), read["version"].alias("version"), P.group_params(8).alias("written"))
+
+
+# --- similarity ------------------------------------------------------------------------------------------------------
+
+_HASHED = """
+v AS (SELECT DISTINCT project_id, id, lower(phash) AS hex, list_transform(string_split(lower(phash), ''), lambda c: (instr('0123456789abcdef', c) - 1)::HUGEINT) AS x
+      FROM photos WHERE regexp_full_match(phash, '[0-9a-fA-F]{16}')),
+u AS (SELECT project_id, id, list_reduce(x, lambda a, e: a * 16 + e) AS n FROM v),
+hashed AS (SELECT project_id, id, cast(CASE WHEN n >= 9223372036854775808 THEN n - 18446744073709551616 ELSE n END AS BIGINT) AS h FROM u),
+classes AS (SELECT project_id, h, count(*) AS n FROM hashed GROUP BY ALL)
+"""
+
+
+@query(f"""
+WITH {_HASHED}
+SELECT a.project_id, a.h AS a, b.h AS b, bit_count(xor(a.h, b.h))::INT AS distance, a.n AS photos_a, b.n AS photos_b
+FROM classes a JOIN classes b ON a.project_id = b.project_id AND a.h < b.h AND bit_count(xor(a.h, b.h)) <= 8
+""")
+def near_hashes(spark, d):
+    """Pairs between different hashes of a project, with the number of photos that carry each."""
+    classes = similarity.hashes(table(spark, d, "photos")).groupBy("project_id", "h").agg(F.count("*").alias("n"))
+    pairs = similarity.near_hashes(classes.select("project_id", "h"))
+    size = lambda end: classes.select("project_id", F.col("h").alias(end), F.col("n").alias(f"photos_{end}"))
+    return pairs.join(size("a"), ["project_id", "a"]).join(size("b"), ["project_id", "b"]).select("project_id", "a", "b", "distance", "photos_a", "photos_b")
+
+
+_CLUSTERS = f"""
+{_HASHED},
+edges AS (SELECT a.project_id, a.h AS a, b.h AS b FROM classes a JOIN classes b ON a.project_id = b.project_id AND a.h <> b.h AND bit_count(xor(a.h, b.h)) <= 8),
+reach AS (SELECT project_id, h, h AS root FROM classes UNION SELECT e.project_id, e.b, r.root FROM reach r JOIN edges e ON r.project_id = e.project_id AND r.h = e.a),
+roots AS (SELECT project_id, h, min(root) AS root FROM reach GROUP BY ALL),
+placed AS (SELECT project_id, root, id FROM hashed JOIN roots USING (project_id, h)),
+clusters AS (SELECT project_id, root, id FROM placed WHERE (project_id, root) IN (SELECT (project_id, root) FROM placed GROUP BY project_id, root HAVING count(*) > 1))
+"""
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT project_id, root, id FROM clusters")
+def similar_clusters(spark, d):
+    return similarity.clusters(table(spark, d, "photos"))
+
+
+def _lane(i: int) -> str:
+    return f"bit_xor(cast(('0x' || substr(sha256(id), {16 * i + 1}, 16)) AS UBIGINT))"
+
+
+_SIGNED = "cast(CASE WHEN {0} >= 9223372036854775808 THEN {0}::HUGEINT - 18446744073709551616 ELSE {0} END AS VARCHAR)"
+_GROUPS = f"""
+{_CLUSTERS},
+lanes AS (SELECT project_id, root, count(*) AS n, {", ".join(f"{_lane(i)} AS x{i}" for i in range(4))} FROM clusters GROUP BY ALL),
+ids AS (SELECT project_id, root, sha256(concat_ws(chr(10), 'phash_burst', n, {", ".join(_SIGNED.format(f"x{i}") for i in range(4))})) AS group_id FROM lanes)
+"""
+
+
+@query(f"""WITH RECURSIVE {_GROUPS} SELECT group_id AS id, project_id, 'phash_burst' AS method, '{{"threshold":8,"version":1}}' AS params FROM ids""")
+def similar_groups(spark, d):
+    return similarity.regrouped(table(spark, d, "photos"))[0]
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, id AS photo_id FROM clusters JOIN ids USING (project_id, root)")
+def group_members(spark, d):
+    return similarity.regrouped(table(spark, d, "photos"))[1]
+
+
+@query("""
+WITH sizes AS (SELECT group_id, count(*) AS n FROM (SELECT DISTINCT group_id, photo_id FROM group_members) GROUP BY group_id)
+SELECT project_id, count(*) AS groups, sum(n)::BIGINT AS grouped_photos FROM similar_groups JOIN sizes ON id = group_id WHERE method = 'phash_burst' GROUP BY project_id
+""")
+def group_summary(spark, d):
+    groups, members = _tables(spark, d, "similar_groups", "group_members")
+    return records.group_summary(groups, members, similarity.METHOD)
+
+
+# --- browsing ----------------------------------------------------------------------------------------------------------
+
+_BROWSE = """
+shown AS (SELECT DISTINCT id AS photo_id, project_id AS p, shot_at, blur_score, CASE WHEN NOT isnan(blur_score) THEN blur_score END AS sharp FROM photos),
+bursts AS (SELECT DISTINCT id AS group_id, project_id FROM similar_groups WHERE method = 'phash_burst'),
+members AS (SELECT DISTINCT group_id, photo_id FROM group_members),
+inside AS (SELECT project_id, group_id, photo_id, shot_at, blur_score, sharp FROM members JOIN bursts USING (group_id) JOIN shown USING (photo_id)),
+firsts AS (SELECT project_id, group_id, row_number() OVER (PARTITION BY project_id ORDER BY min(shot_at) NULLS LAST, group_id) AS group_pos FROM inside GROUP BY project_id, group_id),
+browsed AS (SELECT project_id, group_pos, row_number() OVER (PARTITION BY group_id ORDER BY shot_at NULLS LAST, sharp DESC NULLS LAST, photo_id) AS pos,
+  group_id, photo_id, shot_at, blur_score FROM inside JOIN firsts USING (project_id, group_id))
+"""
+
+
+@query(f"WITH {_BROWSE} SELECT project_id, group_pos, pos, group_id, photo_id, shot_at, blur_score FROM browsed")
+def browse_grouped(spark, d):
+    return browse.browse_grouped(*_tables(spark, d, "group_members", "photos", "similar_groups"))
+
+
+@query(f"""
+WITH {_BROWSE}
+SELECT p AS project_id, row_number() OVER (PARTITION BY p ORDER BY shot_at NULLS LAST, sharp DESC NULLS LAST, photo_id) AS pos, photo_id, shot_at, blur_score
+FROM shown s WHERE NOT EXISTS (SELECT 1 FROM members m JOIN bursts USING (group_id) WHERE m.photo_id = s.photo_id)
+""")
+def browse_ungrouped(spark, d):
+    return browse.browse_ungrouped(*_tables(spark, d, "group_members", "photos", "similar_groups"))
+
+
+@query(f"WITH {_BROWSE} SELECT group_id, photo_id, coalesce(lead(photo_id) OVER w, first_value(photo_id) OVER w) AS next_id FROM browsed WINDOW w AS (PARTITION BY group_id ORDER BY pos)")
+def compare_next(spark, d):
+    return browse.compare_next(*_tables(spark, d, "group_members", "photos", "similar_groups"))
+
+
+@query(f"""
+WITH {_BROWSE}, marked AS (SELECT p, photo_id, bool_or(g) AS g FROM (
+  SELECT DISTINCT s.p, s.photo_id, i.photo_id IS NOT NULL AS g FROM (SELECT DISTINCT id AS photo_id, project_id AS p FROM photos) s LEFT JOIN inside i ON s.photo_id = i.photo_id) GROUP BY ALL)
+SELECT p AS project_id, count(*) AS n_photos, count(*) FILTER (g) AS n_grouped, count(*) FILTER (NOT g) AS n_ungrouped, 0::BIGINT AS n_both FROM marked GROUP BY p
+""")
+def browse_partition_check(spark, d):
+    return browse.partition_check(*_tables(spark, d, "group_members", "photos", "similar_groups"))
+
+
+@query(f"WITH {_BROWSE} SELECT group_id, min(shot_at) AS earliest, count(*) AS n FROM inside GROUP BY group_id")
+def group_earliest(spark, d):
+    rows = browse.grouped(*_tables(spark, d, "group_members", "photos", "similar_groups"))
+    return rows.groupBy("group_id").agg(F.min("shot_at").alias("earliest"), F.count("*").alias("n"))
+
+
+# --- records ------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH n AS (SELECT project_id, count(DISTINCT id) AS n FROM photos GROUP BY project_id)
+SELECT row_number() OVER (ORDER BY last_opened_at DESC NULLS LAST, created_at DESC, id) AS pos, id, name, created_at, last_opened_at, coalesce(n, 0) AS photo_count
+FROM projects LEFT JOIN n ON id = project_id
+""")
+def project_list(spark, d):
+    return records.project_list(*_tables(spark, d, "projects", "photos"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def status_latest(spark, d):
+    return records.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "value"])
+
+
+_CLICKS = "SELECT id, CASE WHEN length(path) % 3 = 0 THEN 'keep' WHEN length(path) % 3 = 1 THEN 'reject' ELSE 'unknown' END AS status FROM photos WHERE analysis_state = 'done'"
+
+
+@query(f"WITH clicks AS (SELECT DISTINCT * FROM ({_CLICKS}) WHERE status <> 'unknown') SELECT p.id, coalesce(c.status, p.status) AS status FROM photos p LEFT JOIN clicks c ON p.id = c.id")
+def status_applied(spark, d):
+    photos = table(spark, d, "photos")
+    n = F.length("path") % 3
+    clicks = photos.where("analysis_state = 'done'").select("id", F.lit(1).alias("seq"), F.when(n == 0, "keep").when(n == 1, "reject").otherwise("unknown").alias("status"))
+    return records.with_status(photos, clicks).select("id", "status")
+
+
+@query("""
+WITH o AS (SELECT DISTINCT id, length(path) % 2 = 0 AS ok FROM photos WHERE analysis_state = 'pending')
+SELECT p.id, CASE WHEN ok THEN 'done' WHEN NOT ok THEN 'failed' ELSE analysis_state END AS analysis_state,
+  CASE WHEN ok THEN NULL WHEN NOT ok THEN 'ValueError: unreadable' ELSE analysis_error END AS analysis_error,
+  CASE WHEN ok THEN 'ffff0000ffff0000' ELSE phash END AS phash
+FROM photos p LEFT JOIN o ON p.id = o.id
+""")
+def analysis_merge(spark, d):
+    photos = table(spark, d, "photos")
+    pending = photos.where("analysis_state = 'pending'").distinct()
+    made = {"shot_at": "2026-01-01T00:00:00", "blur_score": 120.5, "is_blurry": False, "exposure_score": 0.5, "exposure_flag": "normal", "phash": "ffff0000ffff0000"}
+    outcomes = pending.select("id", (F.length("path") % 2 == 0).alias("ok"), *[F.lit(v).alias(k) for k, v in made.items()], F.lit("ValueError: unreadable").alias("error"))
+    return records.with_analysis(photos, outcomes).select("id", "analysis_state", "analysis_error", "phash")
+
+
+@query("""
+SELECT project_id, count(*) FILTER (analysis_state = 'done') AS analyzed, count(*) FILTER (analysis_state = 'failed') AS failed, count(*) FILTER (analysis_state = 'pending') AS pending
+FROM (SELECT DISTINCT id, project_id, analysis_state FROM photos) GROUP BY project_id
+""")
+def analyze_summary(spark, d):
+    return records.analysis_summary(table(spark, d, "photos"))
+
+
+@query(r"""
+SELECT count(*) FILTER (ok) AS found, count(*) FILTER (NOT ok) AS other FROM (SELECT regexp_matches(path, '(?i)[^/\\]\.(jpg|jpeg|png|heic|heif)$') AS ok FROM photos)
+""")
+def scan_summary(spark, d):
+    ok = P.is_supported(F.col("path"))
+    return table(spark, d, "photos").agg(F.count_if(ok).alias("found"), F.count_if(~ok).alias("other"))
+
+
+@query("SELECT l_suppkey, round(var_pop(l_extendedprice), 2) AS variance, count(*) AS n, var_pop(l_quantity) < 100.0 AS blurry FROM lineitem GROUP BY l_suppkey")
+def blur_variance(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey")
+    return rows.agg(F.round(F.var_pop("l_extendedprice"), 2).alias("variance"), F.count("*").alias("n"), P.is_blurry(F.var_pop("l_quantity")).alias("blurry"))
+
+
+@query("""
+SELECT l_partkey, round(avg(l_quantity) / 50, 6) AS mean, round(count(*) FILTER (l_quantity >= 49) / count(*), 6) AS bright, round(count(*) FILTER (l_quantity <= 1) / count(*), 6) AS dark
+FROM lineitem GROUP BY l_partkey
+""")
+def exposure_shares(spark, d):
+    q = F.col("l_quantity")
+    share = lambda c: F.round(F.count_if(c) / F.count("*"), 6)
+    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.avg(q) / 50, 6).alias("mean"), share(q >= 49).alias("bright"), share(q <= 1).alias("dark"))
+
+
+_CASCADE = """
+gone AS (SELECT id FROM projects WHERE last_opened_at IS NULL),
+m AS (SELECT gm.* FROM group_members gm WHERE group_id NOT IN (SELECT id FROM similar_groups WHERE project_id IN (FROM gone)) AND photo_id NOT IN (SELECT id FROM photos WHERE project_id IN (FROM gone)))
+"""
+
+
+@query(f"""
+WITH {_CASCADE}
+SELECT 'projects' AS name, (SELECT count(*) FROM projects WHERE id NOT IN (FROM gone)) AS n
+UNION ALL SELECT 'photos', (SELECT count(*) FROM photos WHERE project_id NOT IN (FROM gone))
+UNION ALL SELECT 'similar_groups', (SELECT count(*) FROM similar_groups WHERE project_id NOT IN (FROM gone))
+UNION ALL SELECT 'group_members', (SELECT count(*) FROM m)
+""")
+def cascade_delete(spark, d):
+    projects, photos, groups, members = _tables(spark, d, "projects", "photos", "similar_groups", "group_members")
+    left = records.cascade(projects.where("last_opened_at IS NULL").select("id"), projects, photos, groups, members)
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+_PLANNED = r"""
+keeps AS (SELECT DISTINCT project_id AS dest, id, path, nullif(regexp_extract(path, '([^/\\]*)$', 1), '') AS name FROM photos WHERE status = 'keep'),
+planned AS (SELECT *, row_number() OVER (PARTITION BY dest, name ORDER BY id) - 1 AS n FROM keeps)
+"""
+
+
+@query(f"""
+WITH {_PLANNED}
+SELECT dest, id, path, name, CASE WHEN n = 0 THEN name ELSE regexp_replace(name, '^(.+?)(\\.[^.]*)?$', '\\1 (' || n || ')\\2') END AS target, CASE WHEN n = 0 THEN 'exported' ELSE 'renamed' END AS outcome
+FROM planned
+""")
+def export_plan(spark, d):
+    keeps = table(spark, d, "photos").where("status = 'keep'").select(F.col("project_id").alias("dest"), "id", "path")
+    nothing = spark.createDataFrame([], "dest string, name string")
+    return export.export_plan(keeps, nothing).select("dest", "id", "path", "name", "target", "outcome")
+
+
+@query(f"WITH {_PLANNED} SELECT dest, count(*) AS exported, count(*) FILTER (n > 0) AS renamed, 0::BIGINT AS skipped, 0::BIGINT AS failed FROM planned GROUP BY dest")
+def export_summary(spark, d):
+    keeps = table(spark, d, "photos").where("status = 'keep'").select(F.col("project_id").alias("dest"), "id", "path")
+    return export.export_summary(export.export_plan(keeps, spark.createDataFrame([], "dest string, name string")))
