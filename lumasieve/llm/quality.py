@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Stash
-from .text_shape import CJK, LETTERS, STATISTICS, WORD, Vocabulary, describe, language, letter_runs, plain
+from .text_shape import CJK, LETTERS, STATISTICS, WORD, Letters, Vocabulary, describe, language, letter_runs, plain
 
 #: Share of prose beyond the cutoff distance, if prose were normal; smallest deviation of each statistic; weight of all languages' covariance
 #: against a language's own, in texts; letter_fit below which letters are no language's.
@@ -42,8 +42,8 @@ def vocabulary(common_words: DataFrame) -> Vocabulary:
     return Vocabulary({k: frozenset(v) for k, v in words.items()})
 
 
-def _letter_models(texts: DataFrame, common: Vocabulary) -> dict[str, tuple[np.ndarray, float]]:
-    """By language the log probability of a letter after the two before, from all texts. At most LETTERS ** 3 counts a language reach the driver."""
+def _letter_models(texts: DataFrame, common: Vocabulary) -> dict[str, Letters]:
+    """By language the counts of runs of three letters, from all texts. At most LETTERS ** 3 counts a language reach the driver."""
 
     def count(batches):
         for batch in batches:
@@ -65,9 +65,7 @@ def _letter_models(texts: DataFrame, common: Vocabulary) -> dict[str, tuple[np.n
         for r in rows:
             if r.lang == lang:
                 counts[r.run] = r.n
-        pairs = counts.reshape(-1, LETTERS)
-        logs = np.log((pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * LETTERS)).ravel()
-        models[lang] = logs, float((logs * counts).sum() / counts.sum())
+        models[lang] = Letters(counts)
     return models
 
 

@@ -173,18 +173,33 @@ STATISTICS = (
 NO_LETTERS, PRIOR_RUNS = 0.0, 30
 
 
-def letter_fit(runs: np.ndarray, model: tuple[np.ndarray, float] | None) -> float:
-    """How much likelier than the average run the runs are in the language, in log units a run; 0 is as likely."""
-    if model is None or not len(runs):
-        return NO_LETTERS
-    logs, usual = model
-    return float((logs[runs] - usual).sum() / (len(runs) + PRIOR_RUNS))
+@dataclass
+class Letters:
+    """How often each run of three letters occurs in a language's texts, and the average log probability of a run's last letter."""
+
+    runs: np.ndarray
+
+    def __post_init__(self):
+        self.pairs = self.runs.reshape(-1, LETTERS).sum(1)
+        at = np.flatnonzero(self.runs)
+        logs = np.log((self.runs[at] + 0.5) / (self.pairs[at // LETTERS] + 0.5 * LETTERS))
+        self.usual = float((logs * self.runs[at]).sum() / max(1, self.runs.sum()))
+
+    def fit(self, runs: np.ndarray) -> float:
+        """How much likelier than the average run a text's runs are, in log units a run, as the other texts tell: its own are taken out."""
+        if not len(runs):
+            return NO_LETTERS
+        run, n = np.unique(runs, return_counts=True)
+        own = np.bincount(run // LETTERS, weights=n, minlength=LETTERS**2)[run // LETTERS]
+        others, pairs = np.maximum(self.runs[run] - n, 0), np.maximum(self.pairs[run // LETTERS] - own, 0)
+        logs = np.log((others + 0.5) / (np.maximum(pairs, others) + 0.5 * LETTERS))
+        return float(((logs - self.usual) * n).sum() / (len(runs) + PRIOR_RUNS))
 
 
-def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[str, tuple[np.ndarray, float]]) -> tuple[str, int, list[float]]:
+def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[str, Letters]) -> tuple[str, int, list[float]]:
     """Language, number of words and the values of STATISTICS of a text that isn't blank.
 
-    letters_of: by language the log probability of each run's last letter, and its average.
+    letters_of: the letters of each language that has any.
     """
     lines = [x for x in LINE_END.split(text) if x.strip()]
     kinds = [_line(x) for x in lines]
@@ -239,7 +254,7 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
     stats = [
         float(np.log1p(n)), lengths / max(1, n), (solid - letters - digits) / max(1, solid), digits / max(1, solid), ends,
         common.share(words, han, lang) if lang in common.words else 0.0, float(np.log1p(n / (1 + len(SENTENCE.findall(text))))),
-        letter_fit(letter_runs(prose), letters_of.get(lang)),
+        letters_of[lang].fit(letter_runs(prose)) if lang in letters_of else NO_LETTERS,
         share["list"] / total, share["table"] / total, share["junk"] / total,
     ]
     return lang, n, stats
