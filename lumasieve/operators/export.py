@@ -79,7 +79,7 @@ def export_plan(keeps: DataFrame, existing: DataFrame, on_disk: bool = False) ->
             new = _one_by_one(used, r.name)
             used.add(new)
             out.append((r.dest, r.id, r.path, r.name, new, "failed" if new is None else "exported" if new == r.name else "renamed", "no free name" if new is None else None))
-        return pd.DataFrame(out, columns=["dest", "id", "path", "name", "target", "outcome", "error"])
+        return pd.DataFrame(out, columns=["dest", "id", "path", "name", "target", "outcome", "error"], dtype=object)
 
     ranked_hard = open_.join(tangled, ["dest", "family"], "left_semi").withColumn("n", F.row_number().over(by_name) - 1)
     entangled = ranked_hard.where(F.col("n") <= MAX_RENAMES).drop("n").unionByName(there.drop("there").join(tangled, ["dest", "family"], "left_semi").withColumns({"id": F.lit(None).cast("string"), "path": F.lit(None).cast("string")}))
@@ -117,6 +117,6 @@ def copy_planned(plan: DataFrame) -> DataFrame:
                     outcome[i], error[i] = "failed", f"{type(e).__name__}: {e}"
                     if os.path.exists(part):
                         os.remove(part)
-            yield pdf.assign(outcome=outcome, error=error)
+            yield pdf.astype(object).assign(outcome=pd.Series(outcome, pdf.index, object), error=pd.Series(error, pdf.index, object))
 
     return plan.mapInPandas(copy, _PLAN)

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import photo as P
 from ..operators import browse, export, records, similarity
+from ..operators.analysis import analyse
 from ..operators.instants import photo_instants
-from ..runtime import table
+from ..runtime import Stash, table
 from ..schema import degraded
+from ..streaming.ingest import status_counts
 
 QUERIES = {}
 ORACLE = {}
@@ -119,9 +121,6 @@ def exposure_flag(spark, d):
     return rows.select("l_orderkey", "l_linenumber", P.exposure_flag(F.col("l_quantity") / 50, F.col("l_discount") * 6, F.col("l_tax") * 7).alias("flag"))
 
 
-_FIT = """CASE WHEN greatest(w, h) <= 30 THEN w ELSE greatest(1, CASE WHEN x - floor(x) = 0.5 THEN 2 * round(x / 2) ELSE floor(x + 0.5) END)::INT END"""
-
-
 @query("""
 WITH s AS (SELECT p_partkey, p_size * 3 AS w, (p_partkey % 97 + 1)::INT AS h FROM part),
 t AS (SELECT *, 30.0::DOUBLE / greatest(w, h) AS scale FROM s)
@@ -393,3 +392,47 @@ def export_plan(spark, d):
 def export_summary(spark, d):
     keeps = table(spark, d, "photos").where("status = 'keep'").select(F.col("project_id").alias("dest"), "id", "path")
     return export.export_summary(export.export_plan(keeps, spark.createDataFrame([], "dest string, name string")))
+
+
+# --- images and streams --------------------------------------------------------------------------------------------------
+
+
+def _drawn(batches):
+    """A small picture for each part: stripes whose width, tone and contrast follow its columns."""
+    import numpy as np
+    import pandas as pd
+
+    from ..sources.images import encode_png
+
+    for pdf in batches:
+        content = []
+        for key, size in zip(pdf["p_partkey"], pdf["p_size"]):
+            y, x = np.mgrid[:48, :64]
+            content.append(encode_png((128 + (key % 128) * np.sin((x + y * (key % 3)) / (1 + size % 9))).clip(0, 255).astype(np.uint8)))
+        yield pd.DataFrame({"id": pdf["p_partkey"].astype(str).astype(object), "content": pd.Series(content, dtype=object)})
+
+
+@query()
+def image_features(spark, d):
+    """Features of pictures drawn from the parts, encoded and decoded again."""
+    return analyse(table(spark, d, "part").select("p_partkey", "p_size").mapInPandas(_drawn, "id string, content binary"))
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL
+""")
+def streamed_counts(spark, d):
+    """Hourly counts by event time, taken by a stream that reads the events and ends with them."""
+    stash = Stash(spark, "streamed")
+    rows = stash.put(table(spark, d, "events").select(F.to_timestamp("ts").alias("at"), F.col("event_type").alias("status")))
+    counts = status_counts(spark.readStream.schema(rows.schema).parquet(rows._stash_path), "365 days", "1 hour")
+    out = f"{stash.root}/counts"
+
+    def keep(batch, n):
+        batch.write.mode("overwrite").parquet(f"{out}/{n}")
+
+    done = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{stash.root}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    last = done.lastProgress["batchId"] if done.lastProgress else 0
+    whole = spark.read.parquet(f"{out}/{last}")
+    return whole.select(F.to_timestamp_ntz(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")).alias("hour"), F.col("status").alias("event_type"), "n")
