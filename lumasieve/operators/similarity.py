@@ -17,55 +17,70 @@ def hashes(photos: DataFrame) -> DataFrame:
     return rows.where("h is not null and project_id is not null and id is not null").distinct()
 
 
-def _bands(h: Column, threshold: int) -> Column:
-    """The hash cut into threshold + 1 bands, as (band, value): two hashes within the threshold agree in one."""
+def _edges(threshold: int) -> list[tuple[int, int]]:
+    """The bits of each of threshold + 1 bands: two hashes within the threshold agree in one band."""
     n = threshold + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    cut = lambda i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    return F.array(*[F.struct(F.lit(i).alias("band"), cut(i).alias("value")) for i in range(n)])
+    return [(64 * i // n, 64 * (i + 1) // n) for i in range(n)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _bands(h: Column, threshold: int) -> Column:
+    """The hash cut into bands, as (value)s by band."""
+    cut = lambda lo, hi: F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << hi - lo) - 1))
+    return F.array(*[F.struct(cut(lo, hi).alias("value")) for lo, hi in _edges(threshold)])
 
 
 def near_hashes(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(project_id, a, b, distance), a < b: pairs of different hashes of a project within the threshold.
 
-    classes: (project_id, h), each once, so copies of a hash don't multiply. Hashes meet in an equi-join on their bands; of the bands in
-    which a pair agrees only the first counts, so that pairs need no second shuffle to become unique.
+    classes: (project_id, h), each once, so copies of a hash don't multiply; a number n of each comes out again as n_a and n_b. Hashes meet in
+    an equi-join on their bands; of the bands in which a pair agrees only the first counts, so that pairs need no second shuffle to
+    become unique.
     """
     if threshold > 15:
         raise ValueError("bands of less than four bits don't narrow anything down")
-    cut = classes.select("project_id", "h", F.posexplode(_bands(F.col("h"), threshold)).alias("band", "v")).select("project_id", "h", "band", "v.value")
-    a, b = cut.select("project_id", "band", "value", F.col("h").alias("a")), cut.select("project_id", "band", "value", F.col("h").alias("b"))
-    met = a.join(b, ["project_id", "band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold))
-    agree = F.transform(F.arrays_zip(_bands(F.col("a"), threshold).alias("x"), _bands(F.col("b"), threshold).alias("y")), lambda z: z["x"]["value"] == z["y"]["value"])
-    first = F.array_position(agree, True) - 1
-    return met.where(first == F.col("band")).select("project_id", "a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
-
-
-def connected(edges: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, node, root): each end of an edge with the smallest end of its component, within each key.
+    extra = [c for c in classes.columns if c == "n"]
+    cut = classes.select("project_id", "h", *extra, F.posexplode(_bands(F.col("h"), threshold)).alias("band", "v")).select("project_id", "h", *extra, "band", "v.value")
+    side = lambda end: cut.select("project_id", "band", "value", F.col("h").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in extra])
+    distance = hamming(F.col("a"), F.col("b"))
+    met = side("a").join(side("b"), ["project_id", "band", "value"]).where((F.col("a") < F.col("b")) & (distance <= threshold))
+    # The lowest band in which the two agree, by testing the bands below: plain arithmetic, so the join stays in generated code.
+    differing = F.col("a").bitwiseXOR(F.col("b"))
+    earlier = F.lit(False)
+    for i, (lo, hi) in enumerate(_edges(threshold)):
+        same = differing.bitwiseAND(F.lit(_signed(((1 << hi - lo) - 1) << lo))) == 0
+        earlier = earlier | ((F.col("band") > i) & same)
+    return met.where(~earlier).select("project_id", "a", "b", distance.alias("distance"), *[f"{c}_{e}" for c in extra for e in "ab"])
+
+
+def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): each end of an edge with the smallest end of its component.
 
     Alternates two contractions until nothing changes: each node links its larger neighbours to the smallest node around it, then its
-    smaller ones. Each round is written to the shared folder; only a count of changes reaches the driver.
+    smaller ones. Each round is written to the shared folder; only a digest of it reaches the driver.
     """
     stash = Stash(edges.sparkSession, "connected")
-    pair = lambda df: df.select(key, F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct()
+    pair = lambda df: df.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
     def star(now: DataFrame, larger: bool) -> DataFrame:
-        both = now.select(key, F.col("x").alias("u"), F.col("y").alias("v"))
+        both = now.select(F.col("x").alias("u"), F.col("y").alias("v"))
         if larger:
-            both = both.unionByName(now.select(key, F.col("y").alias("u"), F.col("x").alias("v")))
-        least = both.groupBy(key, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        to_least = both.join(least, [key, "u"])
+            both = both.unionByName(now.select(F.col("y").alias("u"), F.col("x").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        to_least = both.join(least, "u")
         if larger:
-            return pair(to_least.where("v > u").select(key, F.col("v").alias("x"), F.col("m").alias("y")))
-        own = least.select(key, F.col("u").alias("x"), F.col("m").alias("y"))
-        return pair(to_least.select(key, F.col("v").alias("x"), F.col("m").alias("y")).unionByName(own))
+            return pair(to_least.where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")))
+        own = least.select(F.col("u").alias("x"), F.col("m").alias("y"))
+        return pair(to_least.select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(own))
 
     def state(df: DataFrame):
-        code = F.xxhash64(key, "x", "y")
+        code = F.xxhash64("x", "y")
         return tuple(df.agg(F.count("*"), F.bit_xor(code), F.sum(F.pmod(code, F.lit(1 << 31)))).first())
 
-    now = stash.put(pair(edges.select(key, F.col(a).alias("x"), F.col(b).alias("y"))))
+    now = stash.put(pair(edges.select(F.col(a).alias("x"), F.col(b).alias("y"))))
     before = state(now)
     while True:
         new = stash.put(star(star(now, True), False))
@@ -75,21 +90,21 @@ def connected(edges: DataFrame, key: str, a: str, b: str) -> DataFrame:
         if after == before:
             break
         before = after
-    return now.select(key, F.col("x").alias("node"), F.col("y").alias("root")).unionByName(now.select(key, F.col("y").alias("node"), F.col("y").alias("root")).distinct())
+    return now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
 
 
 def clusters(photos: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(project_id, root, id): photos in a component of at least two, by hash distance alone, under the component's smallest hash.
 
-    Photos without valid hash are left out. Components are sought among different hashes; photos join theirs by hash.
+    Photos without valid hash are left out. Components are sought among different hashes, which get numbers first; photos join theirs by hash.
     """
     stash = Stash(photos.sparkSession, "clusters")
     rows = stash.put(hashes(photos))
-    classes = rows.groupBy("project_id", "h").agg(F.count("*").alias("n"))
-    edges = near_hashes(classes.select("project_id", "h"), threshold)
-    roots = connected(edges, "project_id", "a", "b").select("project_id", F.col("node").alias("h"), "root")
-    copies = classes.where("n > 1").select("project_id", "h").join(roots, ["project_id", "h"], "left_anti").select("project_id", "h", F.col("h").alias("root"))
-    return rows.join(roots.unionByName(copies), ["project_id", "h"]).select("project_id", "root", "id")
+    classes = stash.put(rows.groupBy("project_id", "h").agg(F.count("*").alias("copies")).withColumn("n", F.monotonically_increasing_id()))
+    found = connected(near_hashes(classes.select("project_id", "h", "n"), threshold), "n_a", "n_b")
+    placed = classes.join(found, F.col("n") == F.col("node"), "left").where("root IS NOT NULL OR copies > 1").select("project_id", "h", F.coalesce("root", "n").alias("c"))
+    least = placed.groupBy("c").agg(F.min("h").alias("root"))
+    return rows.join(placed.join(least, "c"), ["project_id", "h"]).select("project_id", "root", "id")
 
 
 def regrouped(photos: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -146,9 +146,10 @@ def test_near_hashes_once(spark):
 
 
 def test_connected_chain(spark):
-    edges = spark.createDataFrame([("x", i, i + 1) for i in range(200)] + [("y", 5, 1), ("y", 5, 1)], "k string, a int, b int")
-    got = {(r.k, r.node): r.root for r in connected(edges, "k", "a", "b").collect()}
-    assert got == {("x", i): 0 for i in range(201)} | {("y", 1): 1, ("y", 5): 1}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(505, 501), (505, 501), (7, 7)], "a int, b int")
+    got = {r.node: r.root for r in connected(edges, "a", "b").collect()}
+    assert got == {i: 0 for i in range(201)} | {501: 501, 505: 501}
+    assert connected(edges.limit(0), "a", "b").collect() == []
 
 
 def test_scalars(spark):
