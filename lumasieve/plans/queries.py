@@ -11,6 +11,7 @@ from ..operators.instants import photo_instants
 from ..runtime import Stash, table
 from ..schema import degraded
 from ..streaming.ingest import status_counts
+from .instants_sql import INSTANTS
 
 QUERIES = {}
 ORACLE = {}
@@ -33,7 +34,7 @@ def _tables(spark, d, *names):
 # --- problem 2 -----------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH {INSTANTS} SELECT photo_id, field, utc_micros FROM instants")
 def p2_found(spark, d):
     return photo_instants(*_tables(spark, d, "photos", "project_settings"))
 
