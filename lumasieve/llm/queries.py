@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..plans.instants_sql import INSTANTS
 from ..runtime import table
 from .components import photo_components
 from .cutoffs import kept_photos, project_cutoffs
@@ -29,6 +30,27 @@ def p1_found(spark, d):
     return near_duplicates(table(spark, d, "photos"), table(spark, d, "project_settings"))
 
 
+_PAIRS = f"""
+{INSTANTS},
+digits AS (SELECT DISTINCT id, project_id, list_transform(string_split(lower(phash), ''), lambda c: (instr('0123456789abcdef', c) - 1)::UBIGINT) AS x FROM photos WHERE regexp_full_match(phash, '[0-9a-fA-F]{{16}}')),
+points AS (SELECT id, project_id, list_reduce(x, lambda a, e: (a << 4) | e) AS h, utc_micros AS t FROM digits JOIN instants ON photo_id = id AND field = 'shot_at'),
+pairs AS (SELECT a.id AS photo_a, b.id AS photo_b FROM points a JOIN points b ON a.project_id = b.project_id AND a.id < b.id AND bit_count(xor(a.h, b.h)) <= 8 AND abs(a.t - b.t) <= 600000000)
+"""
+ORACLE["p1_found"] = f"WITH {_PAIRS} SELECT photo_a, photo_b FROM pairs"
+_OF_DUPLICATES = """
+kept AS (SELECT id AS g FROM similar_groups WHERE method IN ('phash_burst', 'import_match')),
+inside AS (SELECT DISTINCT group_id, photo_id FROM group_members WHERE group_id IN (FROM kept))
+"""
+ORACLE["p5_found"] = f"""
+WITH RECURSIVE {_PAIRS}, {_OF_DUPLICATES},
+firsts AS (SELECT group_id, min(photo_id) AS first FROM inside GROUP BY group_id),
+links AS (SELECT photo_a AS a, photo_b AS b FROM pairs UNION SELECT first, photo_id FROM inside JOIN firsts USING (group_id) WHERE first <> photo_id),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS id, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON r.id = e.a WHERE r.root < e.b)
+SELECT min(root) AS component_id, id AS photo_id FROM reach GROUP BY id
+"""
+
+
 @query
 def p5_found(spark, d):
     photos, settings, groups, members = (table(spark, d, x) for x in ("photos", "project_settings", "similar_groups", "group_members"))
@@ -113,3 +135,23 @@ def p9_found(spark, d):
 @query
 def p9_stats(spark, d):
     return text_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+ORACLE["p6_found"] = f"""
+WITH {INSTANTS}, {_OF_DUPLICATES},
+facts AS (
+  SELECT DISTINCT id AS photo_id, coalesce(analysis_state = 'done', false)::INT AS done, CASE WHEN blur_score >= 0 AND NOT isnan(blur_score) THEN blur_score END AS score,
+    coalesce(lower(regexp_replace(exposure_flag, '^\\s+|\\s+$', '', 'g')), '') AS flag, exposure_score IS NOT NULL AS exposed, coalesce(regexp_full_match(phash, '[0-9a-fA-F]{{16}}'), false) AS hashed
+  FROM photos),
+timed AS (SELECT f.*, s.utc_micros IS NOT NULL AS shot, c.utc_micros AS created FROM facts f
+  LEFT JOIN instants s ON s.photo_id = f.photo_id AND s.field = 'shot_at' LEFT JOIN instants c ON c.photo_id = f.photo_id AND c.field = 'created_at'),
+rated AS (SELECT group_id, t.*, flag IN ('normal', 'over', 'under') AS flagged,
+  (score IS NOT NULL)::INT + exposed::INT + (flag IN ('normal', 'over', 'under'))::INT + hashed::INT + shot::INT AS complete FROM inside JOIN timed t USING (photo_id)),
+ranked AS (SELECT *,
+  row_number() OVER (PARTITION BY group_id ORDER BY done DESC, complete DESC, flag = 'normal' DESC, score DESC NULLS LAST, created DESC NULLS LAST, photo_id) AS r,
+  row_number() OVER (PARTITION BY group_id ORDER BY score IS NULL, done DESC, score DESC, photo_id) AS rb,
+  row_number() OVER (PARTITION BY group_id ORDER BY NOT flagged, created DESC NULLS LAST, photo_id) AS rf FROM rated)
+SELECT group_id, max(CASE WHEN r = 1 THEN photo_id END) AS photo_id, coalesce(max(CASE WHEN rb = 1 AND score IS NOT NULL THEN photo_id END), '') AS blur_from,
+  coalesce(max(CASE WHEN rf = 1 AND flagged THEN photo_id END), '') AS flag_from
+FROM ranked GROUP BY group_id
+"""
