@@ -1,5 +1,7 @@
+import json
 import os
-import time
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -7,12 +9,13 @@ from pyspark.sql import functions as F
 
 from lumasieve.errors import EngineError, Invalid, NotFound
 from lumasieve.functions.pixels import blur, exposure, grey, normalised, phash
-from lumasieve.operators.analysis import analyse, features
+from lumasieve.operators.analysis import analyse, analyse_folder, features
 from lumasieve.operators.export import export_plan, export_summary
 from lumasieve.operators.transcode import fitted, transcode, transcode_file
 from lumasieve.schema import GROUP_MEMBERS, PHOTOS, checked, valid_rows
 from lumasieve.sources.exif import iso_time, shot_at
 from lumasieve.sources.images import Image, decode, decode_png, encode_png
+from lumasieve.sources.json_lines import read_outcomes
 from lumasieve.sources.media_files import media_files, scan_summary
 from lumasieve.store import Store
 from lumasieve.streaming.ingest import apply_statuses, clicks, found_files, ingest, status_counts
@@ -108,6 +111,38 @@ def test_analyse(spark, tmp_path):
     assert analyse(content).first().phash == rows["a"].phash
 
 
+def test_analyse_folder(spark, tmp_path):
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(64, 48, 1)
+    for x in range(0, 64, 2):
+        for y in range(48):
+            picture.setRGB(x, y, 0xFF8000)
+    os.makedirs(f"{tmp_path}/f/g")
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(f"{tmp_path}/f/g/a b.jpg"))
+    jvm.javax.imageio.ImageIO.write(picture, "png", jvm.java.io.File(f"{tmp_path}/f/a.png"))
+    with open(f"{tmp_path}/f/bad.jpg", "wb") as f:
+        f.write(b"x")
+    rows = {os.path.basename(r.id): r for r in analyse_folder(spark, f"{tmp_path}/f").collect()}
+    png = features(open(f"{tmp_path}/f/a.png", "rb").read())
+    assert rows["a.png"].ok and abs(rows["a.png"].exposure_score - png["exposure_score"]) < 1e-9 and rows["a.png"].phash == png["phash"]
+    assert not rows["bad.jpg"].ok and len(rows) == 3
+    jpg = next(r for n, r in rows.items() if n.endswith("b.jpg"))
+    assert jpg.ok and abs(jpg.exposure_score - png["exposure_score"]) < 0.05
+
+
+def test_json_lines(spark, tmp_path):
+    put(f"{tmp_path}/a.png", checkerboard(64))
+    requests = ['{"id": 1, "op": "echo", "payload": {"text": "hi"}}', '{"id": 2, "op": "nope"}', "not json", f'{{"id": 4, "op": "analyze", "payload": {{"path": "{tmp_path}/none"}}}}', f'{{"id": "5", "op": "analyze", "payload": {{"path": "{tmp_path}/a.png", "blurVarThreshold": 1e9}}}}',
+                f'{{"id": 6, "op": "transcode", "payload": {{"path": "{tmp_path}/a.png", "dest": "{tmp_path}/b.png", "maxSide": 8}}}}']
+    run = subprocess.run([sys.executable, "-m", "lumasieve.sources.json_lines"], input="\n".join([*requests, "", requests[0]]), capture_output=True, text=True, check=True)
+    got = [json.loads(x) for x in run.stdout.splitlines()]
+    assert got[0] == got[6] == {"id": 1, "result": "hi"} and "unknown op" in got[1]["error"] and got[2]["id"] is None and got[3]["error"].startswith("FileNotFoundError")
+    assert got[4]["result"]["isBlurry"] is True and got[5]["result"] == {"dest": f"{tmp_path}/b.png", "width": 8, "height": 8}
+    lines = spark.createDataFrame([(x,) for x in [*run.stdout.splitlines(), "odd"]], "value string")
+    rows = {r.id: r for r in read_outcomes(lines).collect()}
+    assert rows["5"].ok and rows["5"].phash == got[4]["result"]["phash"] and not rows["4"].ok and rows["4"].error.startswith("FileNotFoundError") and rows[None].error
+
+
 def test_transcode(spark, tmp_path):
     put(f"{tmp_path}/a.png", checkerboard(64))
     assert transcode_file(f"{tmp_path}/a.png", f"{tmp_path}/out/x.png", 16) == (16, 16)
