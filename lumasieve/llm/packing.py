@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import Stash
 
-#: Parts into which the documents of one length are ranked.
-SALTS = 32
+#: Documents of one length that one task ranks; of a length with more, each part of about so many is ranked on its own.
+RANKED = 1_000_000
 
 
 class _Sizes:
@@ -106,7 +106,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return rows, made
 
 
-def pack(sizes: DataFrame, packs: DataFrame, salts: int = SALTS) -> DataFrame:
+def pack(sizes: DataFrame, packs: DataFrame, ranked: int = RANKED) -> DataFrame:
     """(pack_name, doc_id, piece, tokens, container): every document assigned to a container of each pack.
 
     sizes: (doc_id, tokens); packs: (pack_name, capacity_tokens). A document is cut only if it exceeds the capacity: its pieces
@@ -127,8 +127,13 @@ def pack(sizes: DataFrame, packs: DataFrame, salts: int = SALTS) -> DataFrame:
     name = F.element_at(F.array(*[F.lit(n) for n, _ in capacities]), F.col("pack") + 1)
     each = docs.select("doc_id", "tokens", kind.alias("p")).select("doc_id", "tokens", "p.*")
     each = each.withColumn("whole", F.expr("tokens div capacity")).withColumn("size", F.expr("tokens % capacity"))
-    items = each.where("size > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    # At most capacity * salts rows a pack.
+    items = each.where("size > 0")
+    # A row for each length, at most as many as the capacities; and for lengths of very many documents, one for each ``ranked`` of them.
+    lengths = items.groupBy("pack", "size").agg(F.ceil(F.count("*") / F.lit(ranked)).cast("int").alias("parts"))
+    hot = [(r.pack, r["size"], r.parts) for r in lengths.where("parts > 1").collect()]
+    hot = F.broadcast(spark.createDataFrame(hot, "p int, s bigint, parts int"))
+    items = items.join(hot, (F.col("pack") == F.col("p")) & (F.col("size") == F.col("s")), "left").drop("p", "s")
+    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
     counted = items.groupBy("pack", "size", "salt").agg(F.count("*").alias("n")).collect()
     base, counts = {}, [{} for _ in capacities]
     for r in sorted(counted):

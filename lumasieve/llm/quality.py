@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Stash
-from .text_shape import CJK, LETTERS, STATISTICS, WORD, Letters, Vocabulary, describe, language, letter_runs, plain
+from .text_shape import LETTERS, STATISTICS, Letters, Vocabulary, describe, han_of, language, letter_runs, plain, words_of
 
-#: Share of prose beyond the cutoff distance, if prose were normal; smallest deviation of each statistic; weight of all languages' covariance
-#: against a language's own, in texts; letter_fit below which letters are no language's.
-TAIL, FLOOR, POOLED, NO_LANGUAGE = 0.001, 0.03, 60, -1.2
+#: Share of prose beyond the cutoff distance, if prose were normal; weight of all languages' covariance against a language's own, in texts;
+#: letter_fit below which letters are no language's.
+TAIL, POOLED, NO_LANGUAGE = 0.001, 60, -1.2
 _D = len(STATISTICS)
 _AT = {k: i for i, k in enumerate(STATISTICS)}
+#: Smallest deviation of each statistic; in short texts all lines or none may end in punctuation.
+FLOOR = np.array([0.25 if k == "punctuated_lines" else 0.03 for k in STATISTICS])
 
 
 def chi2_quantile(tail: float, d: int) -> float:
@@ -47,14 +49,18 @@ def _letter_models(texts: DataFrame, common: Vocabulary) -> dict[str, Letters]:
 
     def count(batches):
         for batch in batches:
-            sums: dict[str, np.ndarray] = {}
+            runs: dict[str, list[np.ndarray]] = {}
             for text, tag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text or not text.strip():
                     continue
-                words, han = [plain(w) for w in WORD.findall(text)], "".join(CJK.findall(text))
-                lang = language(tag, words, han, common)
-                sums[lang] = sums.get(lang, 0) + np.bincount(letter_runs(text), minlength=LETTERS**3)
-            for lang, n in sums.items():
+                low = plain(text)
+                lang = (tag or "").strip().lower()[:2]
+                if lang not in common.words:
+                    han = han_of(text)
+                    lang = language(tag, words_of(low, han), han, common)
+                runs.setdefault(lang, []).append(letter_runs(low))
+            for lang, found in runs.items():
+                n = np.bincount(np.concatenate(found), minlength=LETTERS**3)
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "run", "n"])
 
@@ -97,11 +103,10 @@ def _models(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
         def keep(batches):
             for b in batches:
-                langs, x = np.array(b["lang"].to_pylist(), object), _matrix(b["stats"])
-                d = np.full(len(x), np.inf)
-                for lang in set(langs):
-                    own = langs == lang
-                    d[own] = _distances(x[own], *models[lang])[0]
+                langs, x = b["lang"].dictionary_encode(), _matrix(b["stats"])
+                code, d = langs.indices.to_numpy(), np.full(len(x), np.inf)
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    d[code == k] = _distances(x[code == k], *models[lang])[0]
                 yield b.filter(pa.array(d <= limit))
 
         near = every.mapInArrow(keep, "lang string, stats array<double>")
@@ -117,7 +122,7 @@ def _models(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         _, all_mean, all_cov = found.get("", (0, median[""], np.diag(spread[""] ** 2)))
         for k in models:
             n, mean, cov = found.get(k, (0, median[k], all_cov))
-            cov = (n * cov + POOLED * all_cov) / (n + POOLED) + np.eye(_D) * FLOOR**2
+            cov = (n * cov + POOLED * all_cov) / (n + POOLED) + np.diag(FLOOR**2)
             made[k] = mean, np.linalg.inv(cov)
         return made
 

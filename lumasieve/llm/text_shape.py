@@ -6,102 +6,146 @@ sentences. Lines that don't tell by themselves are judged together with their ne
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-import regex
 
 # What marks lines, items and sentences.
-LINE_END = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-MARK = regex.compile(r"\s*(?:[-*+•◦▪‣·–—]|\[[ xX✓]?\]|[☐☑✓]|\(?(?:\d{1,4}|[A-Za-z]|[ivxlc]{1,6})[.)]|[①-⑳])\s+(?=\S)")
-SENTENCE_END = regex.compile(r"""[.!?…。！？]["'”’»」』)\]]*\s*$""")
-SENTENCE = regex.compile(r"""[.!?…]["'”’»)\]]*(?=\s|$)|[。！？]""")
-CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[\p{N}]+")
-HEX_ROW = regex.compile(r"\s*(?:[0-9a-fA-F]{4,8}:?\s+)?(?:[0-9a-fA-F]{2}\s+){6,}")
-CODED = regex.compile(r"[A-Za-z0-9+/=_%-]{24,}")
-TAG = regex.compile(r"<[^<>]{1,300}>|&#?\w{2,8};")
-NAMED = regex.compile(r"\s*([^\s:=][^:=\n]{0,48}?)(?:\s*[:：]\s+|\s*[:：]\s*\t\s*|\s+=\s+|\s*=\s*\t)(\S[^\n]{0,60})$")
-GAP = regex.compile(r" {2,}|\t+")
-TIGHT = regex.compile(r"[,;](?=\S)")
-LOOSE = regex.compile(r"[,;、；，](?=\s)|、|；|\s[/|·•]\s|\s*[•·]\s+")
-RULE = regex.compile(r"\s*[-=_*~#+|:. ]{3,}\s*$")
-NUMBERISH = regex.compile(r"[-+]?[\d.,:/%]*\d[\d.,:/%]*$|-$|—$")
-FILE = regex.compile(r"^[\w.-]*\d[\w.-]*\.[A-Za-z]{3,4}$")
-
-
-def plain(word: str) -> str:
+MARK = re.compile(r"\s*(?:[-*+•◦▪‣·–—]|\[[ xX✓]?\]|[☐☑✓]|\(?(?:\d{1,4}|[A-Za-z]|[ivxlc]{1,6})[.)]|[①-⑳])\s+(?=\S)")
+CLOSERS = "\"'”’»」』)]"
+ENDS = frozenset(".!?…。！？")
+SENTENCE = re.compile(r"""[.!?…]["'”’»)\]]*(?=\s|$)|[。！？]""")
+CJK = re.compile("[\u2e80-\u2fff\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+NOT_CJK = re.compile("[^\u2e80-\u2fff\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+MARKS = re.compile("[\u0300-\u036f]+")
+WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|\d+")
+NOT_ALNUM, NOT_DIGIT = re.compile(r"[\W_]+"), re.compile(r"\D+")
+NOT_ALNUM_ASCII = {c: None for c in range(128) if not chr(c).isalnum()}
+#: What damaged text is full of: characters between ASCII and the accented letters, replacement, private and drawing characters.
+ODD = re.compile("[^\x80-\xbf\ufffd\ue000-\uf8ff\u2190-\u2bff]+")
+HEX_ROW = re.compile(r"\s*(?:[0-9a-fA-F]{4,8}:?\s+)?(?:[0-9a-fA-F]{2}\s+){6,}")
+CODED = re.compile(r"[A-Za-z0-9+/=_%-]{24,}")
+TAG = re.compile(r"<[^<>]{1,300}>|&#?\w{2,8};")
+NAMED = re.compile(r"\s*([^\s:=][^:=\n]{0,48}?)(?:\s*[:：]\s+|\s*[:：]\s*\t\s*|\s+=\s+|\s*=\s*\t)(\S[^\n]{0,60})$")
+GAP = re.compile(r" {2,}|\t+")
+TIGHT = re.compile(r"[,;](?=\S)")
+LOOSE = re.compile(r"[,;、；，](?=\s)|、|；|\s[/|·•]\s|\s*[•·]\s+")
+RULE = frozenset("-=_*~#+|:.")
+NUMBERISH = re.compile(r"[-+]?[\d.,:/%]*\d[\d.,:/%]*$|-$|—$")
+FILE = re.compile(r"^[\w.-]*\d[\w.-]*\.[A-Za-z]{3,4}$")
+#: No number or file name is longer; the two patterns above would take time with the square of a text's length.
+NAME_CHARS = 80
+
+
+def plain(text: str) -> str:
     """Lower case without accents, as case and accents of the texts vary."""
-    word = word.lower().replace("’", "'").replace("ß", "ss")
-    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+    text = text.lower()
+    if text.isascii():
+        return text
+    return MARKS.sub("", unicodedata.normalize("NFD", text.replace("’", "'").replace("ß", "ss")))
+
+
+def han_of(text: str) -> str:
+    """The characters of scripts without spaces."""
+    return "" if text.isascii() else NOT_CJK.sub("", text)
+
+
+def words_of(text: str, han: str) -> list[str]:
+    """The words of a text that ``plain`` made."""
+    return WORD.findall(CJK.sub(" ", text) if han else text)
 
 
 def n_words(s: str) -> float:
     """Words of a line; two characters of a script without spaces count as one."""
-    han = len(CJK.findall(s))
-    return len(WORD.findall(CJK.sub(" ", s))) + han / 2 if han else len(s.split())
+    han = han_of(s)
+    return len(WORD.findall(CJK.sub(" ", s))) + len(han) / 2 if han else len(s.split())
+
+
+def ends_sentence(s: str) -> bool:
+    return s.rstrip().rstrip(CLOSERS)[-1:] in ENDS
+
+
+def _is_name(s: str) -> bool:
+    """Whether a field is a number or a file name."""
+    return len(s) <= NAME_CHARS and bool(NUMBERISH.match(s) or FILE.match(s))
 
 
 def _sentence(s: str) -> bool:
     """Whether an item is a sentence rather than a name."""
     words = n_words(s)
-    return bool(words >= 6 and SENTENCE_END.search(s)) or words >= 14
+    return words >= 14 or (words >= 6 and ends_sentence(s))
 
 
 def _cells(parts: list[str]) -> bool:
     """Whether parts look like fields: short, all of them."""
-    filled = [p for p in parts if p.strip()]
-    return bool(filled) and max(n_words(p) for p in filled) <= 9 and sum(n_words(p) for p in filled) / len(filled) <= 5
+    sizes = [n_words(p) for p in parts if p and not p.isspace()]
+    return bool(sizes) and max(sizes) <= 9 and sum(sizes) <= 5 * len(sizes)
+
 
+def _line(s: str) -> tuple[str, int]:
+    """Class of a line by itself, and the number of its characters that aren't blank.
 
-def _line(s: str) -> str:
-    """Class of a line by itself: list, table, junk, gaps, tight, named or loose (fields or items in one line), mark (an item that is a sentence), or ''."""
+    The class is list, table, junk, gaps, tight, named or loose (fields or items in one line), mark (an item that is a sentence), or ''.
+    """
     body = s.strip()
-    solid = "".join(body.split())
-    n = len(solid)
-    if RULE.match(s):
+    tokens = body.split()
+    solid = "".join(tokens)
+    return _class(s, body, tokens, solid, len(solid)), len(solid)
+
+
+def _class(s: str, body: str, tokens: list[str], solid: str, n: int) -> str:
+    plain_ascii = body.isascii()
+    letters = len(solid.translate(NOT_ALNUM_ASCII) if plain_ascii else NOT_ALNUM.sub("", solid))
+    if not letters and n >= 3 and RULE.issuperset(solid):
         return "rule" if not body.startswith(("+-", "|")) and "|" not in body else "table"
-    if HEX_ROW.match(s) and sum(len(t) == 2 for t in body.split()) >= 6:
+    if len(tokens) >= 6 and len(tokens[-1]) == 2 and HEX_ROW.match(s) and sum(len(t) == 2 for t in tokens) >= 6:
         return "junk"
-    if body.startswith("|") or body.startswith("+-") or body.count("|") >= 2 or body.count("│") >= 2:
+    if body.startswith(("|", "+-")) or body.count("|") >= 2 or body.count("│") >= 2:
         return "table"
     if n >= 12:
-        if sum(len(t) for t in TAG.findall(body)) > 0.4 * n:
+        if letters < 0.4 * n:
             return "junk"
-        if sum(len(t) for t in CODED.findall(solid if " " not in body else body)) > 0.5 * n and not FILE.match(body):
+        if ("<" in body or "&" in body) and sum(map(len, TAG.findall(body))) > 0.4 * n:
             return "junk"
-        letters = sum(c.isalnum() for c in solid)
-        odd = sum("\x80" <= c <= "\xbf" or c == "�" or unicodedata.category(c) in ("So", "Co", "Cn") for c in solid if not c.isascii())
-        if letters < 0.4 * n or odd > 0.12 * n:
+        if n >= 12 * len(tokens) and sum(map(len, CODED.findall(body))) > 0.5 * n and not _is_name(body):
             return "junk"
-    tokens = body.split()
-    if "\t" in body:
-        if _cells(body.split("\t")):
-            return "table"
-    if m := NAMED.match(s):
+        if not plain_ascii and len(ODD.sub("", solid)) > 0.12 * n:
+            return "junk"
+    if "\t" in body and _cells(body.split("\t")):
+        return "table"
+    if (":" in body or "=" in body or "：" in body) and (m := NAMED.match(s)):
         if n_words(m[1]) <= 6 and n_words(m[2]) <= 6 and not _sentence(body):
             return "named"
-    if len(tokens) >= 8 and sum(t.strip(",;").replace(".", "").isdigit() for t in tokens) >= 0.8 * len(tokens) and not GAP.search(body):
+    if len(tokens) >= 8 and tokens[0][0].isdigit() and sum(t.strip(",;").replace(".", "").isdigit() for t in tokens) >= 0.8 * len(tokens) and not GAP.search(body):
         return "junk"
-    if len(TIGHT.findall(body)) >= 2 and len(TIGHT.findall(body)) >= 0.8 * sum(c in ",;" for c in body) and _cells(TIGHT.split(body)):
-        return "tight"
+    commas = body.count(",") + body.count(";")
+    if commas >= 2:
+        tight = commas - body.count(", ") - body.count("; ")
+        if tight >= 2 and tight >= 0.8 * commas and len(cells := TIGHT.split(body)) > max(2, 0.8 * commas) and _cells(cells):
+            return "tight"
     if m := MARK.match(s):
-        rest = s[m.end() :]
-        return "mark" if _sentence(rest) else "list"
+        return "mark" if _sentence(s[m.end() :]) else "list"
     if "  " in body:
         cells = GAP.split(body)
-        if len(cells) >= 2 and _cells(cells) and sum(" " in c for c in cells) + sum(bool(NUMBERISH.match(c) or FILE.match(c)) for c in cells) >= 1 and not SENTENCE_END.search(body):
+        if len(cells) >= 2 and _cells(cells) and any(" " in c or _is_name(c) for c in cells) and not ends_sentence(body):
             return "gaps"
-    items = LOOSE.split(body)
-    if len(items) >= 6 and _cells(items) and len(SENTENCE.findall(body)) <= 0.15 * len(items):
-        return "loose"
+    if commas >= 5 or " / " in body or " | " in body or (not plain_ascii and any(c in body for c in "、；，•·")):
+        sentences = len(SENTENCE.findall(body))
+        if sentences <= 0.15 * (commas + 1) or commas < 5:
+            items = LOOSE.split(" ".join(tokens))
+            if len(items) >= 6 and sentences <= 0.15 * len(items) and _cells(items):
+                return "loose"
     return ""
 
 
 def _bare(s: str) -> bool:
     """A short line that doesn't end like a sentence."""
-    return n_words(s) <= 9 and len(s.strip()) <= 60 and not (SENTENCE_END.search(s) and n_words(s) >= 6)
+    if len(s) > 60 and len(s.strip()) > 60:
+        return False
+    words = n_words(s)
+    return words <= 9 and not (words >= 6 and ends_sentence(s))
 
 
 def _itemised(run: list[str]) -> bool:
@@ -126,23 +170,31 @@ def _repeats(text: str) -> bool:
 
 @dataclass
 class Vocabulary:
-    """Common words by language, as ``plain`` gives them; for Chinese also their characters' text."""
+    """Common words by language, as ``plain`` gives them; for Chinese they are looked for among the characters."""
 
     words: dict[str, frozenset[str]]
 
+    def __post_init__(self):
+        self.spaced = sorted(k for k in self.words if k != "zh")
+        self.any = frozenset().union(*(self.words[k] for k in self.spaced))
+
+    def shares(self, words: list[str]) -> dict[str, float]:
+        """The share of words that are common ones, by language."""
+        common = [w for w in words if w in self.any]
+        return {k: sum(map(self.words[k].__contains__, common)) / max(1, len(words)) for k in self.spaced}
+
     def share(self, words: list[str], han: str, lang: str) -> float:
         known = self.words[lang]
         if lang == "zh":
-            hits = sum(han.count(w) * len(w) for w in known)
-            return min(1.0, hits / len(han)) if han else 0.0
-        return sum(w in known for w in words) / len(words) if words else 0.0
+            return min(1.0, sum(han.count(w) * len(w) for w in known) / len(han)) if han else 0.0
+        return sum(map(known.__contains__, words)) / len(words) if words else 0.0
 
 
 def language(tag: str | None, words: list[str], han: str, common: Vocabulary) -> str:
     """The tag's language if it is a known one and the text doesn't speak for another, else the language of most common words."""
-    if len(han) > sum(map(len, words)):
+    if han and len(han) > sum(map(len, words)):
         return "zh" if "zh" in common.words else "other"
-    shares = {lang: common.share(words, "", lang) for lang in sorted(common.words) if lang != "zh"}
+    shares = common.shares(words)
     tagged = (tag or "").strip().lower()[:2]
     best = max(shares, key=shares.get, default="other")
     if tagged in shares and shares[tagged] >= shares[best] - 0.1:
@@ -156,10 +208,8 @@ _CODE[ord("a") : ord("z") + 1] = np.arange(1, LETTERS)
 
 
 def letter_runs(text: str) -> np.ndarray:
-    """Numbers of the runs of three letters of a text; a word's edge counts as a letter, the middle one is none."""
-    low = unicodedata.normalize("NFD", text.lower())
-    code = _CODE[np.frombuffer(regex.sub(r"\p{M}+", "", low).encode("ascii", "replace"), np.uint8)]
-    code = np.concatenate([[0], code, [0]])
+    """Numbers of the runs of three letters of a text that ``plain`` made; a word's edge counts as a letter, the middle one is none."""
+    code = _CODE[np.frombuffer(f" {text} ".encode("ascii", "replace"), np.uint8)]
     run = (code[:-2] * LETTERS + code[1:-1]) * LETTERS + code[2:]
     return run[code[1:-1] > 0]
 
@@ -201,9 +251,11 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
 
     letters_of: the letters of each language that has any.
     """
-    lines = [x for x in LINE_END.split(text) if x.strip()]
-    kinds = [_line(x) for x in lines]
-    weights = [len("".join(x.split())) for x in lines]
+    low = plain(text)
+    pairs = [(x, y) for x, y in zip(text.splitlines(), low.splitlines()) if x and not x.isspace()]
+    lines = [x for x, _ in pairs]
+    classes = [_line(x) for x in lines]
+    kinds, weights = [k for k, _ in classes], [w for _, w in classes]
     # Runs of bare lines are items, one to a line; so are fields and gaps that neighbours confirm.
     bare = [k in ("", "loose", "list", "rule") and _bare(x) for k, x in zip(kinds, lines)]
     i = 0
@@ -216,10 +268,10 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
                 kinds[q] = kinds[q] if kinds[q] == "rule" else "list"
         i = max(j, i + 1)
     gaps, tight, named = (kinds.count(k) for k in ("gaps", "tight", "named"))
-    total = max(1, sum(weights))
+    solid = max(1, sum(weights))
     share = {"list": 0, "table": 0, "junk": 0, "prose": 0}
     rest = []
-    for k, w, x in zip(kinds, weights, lines):
+    for k, w, (_, x) in zip(kinds, weights, pairs):
         if k == "gaps":
             k = "table" if gaps >= 3 else "prose"
         elif k == "tight":
@@ -233,28 +285,24 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
         share[k] += w
         if k == "prose":
             rest.append(x)
-    han = "".join(CJK.findall(text))
-    words = [plain(w) for w in WORD.findall(CJK.sub(" ", text) if han else text)]
-    prose = "\n".join(rest)
-    prose_han = "".join(CJK.findall(prose)) if han else ""
-    prose_words = [plain(w) for w in WORD.findall(CJK.sub(" ", prose) if prose_han else prose)]
+    han = han_of(text)
+    words = words_of(low, han)
+    if len(rest) == len(lines):
+        prose, prose_han, prose_words = low, han, words
+    else:
+        prose = "\n".join(rest)
+        prose_han = han_of(prose)
+        prose_words = words_of(prose, prose_han)
     lang = language(tag, prose_words or words, prose_han or han, common)
     if _repeats(text):
-        share = {"list": 0, "table": 0, "junk": total, "prose": 0}
-    solid = sum(weights)
-    letters, digits = 0, 0
-    for c in text:
-        if c.isalpha():
-            letters += 1
-        elif c.isdigit():
-            digits += 1
+        share = {"list": 0, "table": 0, "junk": solid, "prose": 0}
     n = len(words) + len(han)
     lengths = sum(map(len, words)) + len(han)
-    ends = sum(bool(SENTENCE_END.search(x)) for x in lines) / max(1, len(lines))
+    bare_low = max(1, len("".join(low.split())))
     stats = [
-        float(np.log1p(n)), lengths / max(1, n), (solid - letters - digits) / max(1, solid), digits / max(1, solid), ends,
+        float(np.log1p(n)), lengths / max(1, n), max(0, bare_low - lengths) / bare_low, len(NOT_DIGIT.sub("", low)) / bare_low, sum(map(ends_sentence, lines)) / max(1, len(lines)),
         common.share(words, han, lang) if lang in common.words else 0.0, float(np.log1p(n / (1 + len(SENTENCE.findall(text))))),
         letters_of[lang].fit(letter_runs(prose)) if lang in letters_of else NO_LETTERS,
-        share["list"] / total, share["table"] / total, share["junk"] / total,
+        share["list"] / solid, share["table"] / solid, share["junk"] / solid,
     ]
     return lang, n, stats

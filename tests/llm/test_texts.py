@@ -75,13 +75,14 @@ def test_plan(seed):
     assert made <= best_fit(sizes, capacity)
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("ranked", [1_000_000, 7])
+def test_pack(spark, ranked):
     r = random.Random(9)
     lengths = {i: r.choice([0, 1, 3, 10, 33, 50, 51, 100, 101, 250, 1000]) for i in range(300)}
     rows = [*lengths.items(), *list(lengths.items())[:50], (None, 5), (900, None)]
     sizes = with_clashes(spark.createDataFrame(rows, "doc_id bigint, tokens bigint"))
     packs = spark.createDataFrame([("a", 100), ("b", 7), ("b", 9), (None, 5), ("c", None), ("d", 0)], "pack_name string, capacity_tokens int")
-    got = pack(sizes, packs).collect()
+    got = pack(sizes, packs, ranked).collect()
     for name, capacity in (("a", 100), ("b", 7)):
         fill, parts = defaultdict(int), defaultdict(list)
         for x in got:
@@ -144,3 +145,18 @@ def test_quality_of_nothing(spark):
 
 def test_cutoff():
     assert abs(chi2_quantile(0.05, 10) - 18.307) < 0.05 and CUTOFF > chi2_quantile(0.05, len(STATISTICS))
+
+
+def test_long_runs_take_little_time():
+    import time
+
+    from lumasieve.llm.text_shape import Vocabulary, describe
+
+    common = Vocabulary({"en": frozenset({"the"})})
+    began = time.time()
+    for unit in (" ", "-", "7", "a", "a1.", "- ", "a,", " • ", "[", "a:", "\t", "\n", "'", "<a", "&", "|", "0a ", "。", "é", "x=", "- a\n", "1 "):
+        for end in ("", "¤", "x", "x."):
+            text = unit * (60_000 // len(unit)) + end
+            if text.strip():
+                describe(text, "en", common, {})
+    assert time.time() - began < 20
