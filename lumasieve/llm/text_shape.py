@@ -21,7 +21,10 @@ CJK = re.compile("[\u2e80-\u2fff\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3040-\u
 NOT_CJK = re.compile("[^\u2e80-\u2fff\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 MARKS = re.compile("[\u0300-\u036f]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|\d+")
-NOT_ALNUM, NOT_DIGIT = re.compile(r"[\W_]+"), re.compile(r"\D+")
+NOT_ALNUM = re.compile(r"[\W_]+")
+BLANKS = (" ", "\n", "\r", "\t", "\xa0", "\u3000")
+TO_LETTERS = "".join(chr(c) if chr(c) in "abcdefghijklmnopqrstuvwxyz'" else " " for c in range(128))
+TO_DIGITS = "".join(chr(c) if chr(c).isdigit() else " " for c in range(128))
 NOT_ALNUM_ASCII = {c: None for c in range(128) if not chr(c).isalnum()}
 #: What damaged text is full of: characters between ASCII and the accented letters, replacement, private and drawing characters.
 ODD = re.compile("[^\x80-\xbf\ufffd\ue000-\uf8ff\u2190-\u2bff]+")
@@ -53,7 +56,11 @@ def han_of(text: str) -> str:
 
 
 def words_of(text: str, han: str) -> list[str]:
-    """The words of a text that ``plain`` made."""
+    """The words of a text that ``plain`` made: runs of letters, with apostrophes inside, and of digits; in no order."""
+    if text.isascii():
+        letters = f" {text.translate(TO_LETTERS)} ".replace(" '", " ").replace("' ", " ")
+        if "''" not in letters and " '" not in letters and "' " not in letters:
+            return letters.split() + text.translate(TO_DIGITS).split()
     return WORD.findall(CJK.sub(" ", text) if han else text)
 
 
@@ -298,9 +305,11 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
         share = {"list": 0, "table": 0, "junk": solid, "prose": 0}
     n = len(words) + len(han)
     lengths = sum(map(len, words)) + len(han)
-    bare_low = max(1, len("".join(low.split())))
+    blank = sum(map(low.count, BLANKS))
+    bare_low = max(1, len(low) - blank)
+    digits = sum(map(low.count, "0123456789"))
     stats = [
-        float(np.log1p(n)), lengths / max(1, n), max(0, bare_low - lengths) / bare_low, len(NOT_DIGIT.sub("", low)) / bare_low, sum(map(ends_sentence, lines)) / max(1, len(lines)),
+        float(np.log1p(n)), lengths / max(1, n), max(0, bare_low - lengths) / bare_low, digits / bare_low, sum(map(ends_sentence, lines)) / max(1, len(lines)),
         common.share(words, han, lang) if lang in common.words else 0.0, float(np.log1p(n / (1 + len(SENTENCE.findall(text))))),
         letters_of[lang].fit(letter_runs(prose)) if lang in letters_of else NO_LETTERS,
         share["list"] / solid, share["table"] / solid, share["junk"] / solid,
