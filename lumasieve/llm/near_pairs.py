@@ -94,9 +94,9 @@ def _join_shards(radius: int, window: int):
         kind = rows["kind"].to_numpy()
         own = np.ones(int(shard[-1]) + 1, bool)
         own[shard[kind == 2]] = False
-        i, j = near_pairs(shard[keep], kind[keep] == 1, rows["h"].to_numpy()[keep].view(np.uint64), rows["t"].to_numpy()[keep], radius, window, own)
-        for lo in range(0, len(i), 50_000):
-            yield pa.RecordBatch.from_arrays([k.take(pa.array(keep[i[lo : lo + 50_000]])), k.take(pa.array(keep[j[lo : lo + 50_000]]))], names=["a", "b"])
+        for i, j in near_pairs(shard[keep], kind[keep] == 1, rows["h"].to_numpy()[keep].view(np.uint64), rows["t"].to_numpy()[keep], radius, window, own):
+            for lo in range(0, len(i), 50_000):
+                yield pa.RecordBatch.from_arrays([k.take(pa.array(keep[i[lo : lo + 50_000]])), k.take(pa.array(keep[j[lo : lo + 50_000]]))], names=["a", "b"])
 
     def run(batches):
         held: list = []

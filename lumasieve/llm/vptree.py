@@ -17,6 +17,9 @@ import numpy as np
 
 LEAF = 24
 CHUNK = 2_000_000
+#: A node of more rows is left whole if its children would have more than this share of its comparisons: fingerprints that spread evenly are all
+#: near each other's boundaries, and their visiting rows would only multiply.
+LARGE, WORTH = 4096, 0.9
 
 
 def _expand(first: np.ndarray, count: np.ndarray):
@@ -35,7 +38,7 @@ def _expand(first: np.ndarray, count: np.ndarray):
         start = stop
 
 
-def _leaf_pairs(hi, hs, vi, vs, h, t, radius, window, own, out):
+def _leaf_pairs(hi, hs, vi, vs, h, t, radius, window, own):
     """Pairs of leaf nodes: rows are ordered by node and time, so that each meets only those in its window."""
     base = int(t.min())
     span = int(t.max()) - base + 2 * window + 2
@@ -47,7 +50,7 @@ def _leaf_pairs(hi, hs, vi, vs, h, t, radius, window, own, out):
     for a, b in _expand(first, np.where(own[hs], end - first, 0)):
         i, j = hi[a], hi[b]
         near = np.bitwise_count(h[i] ^ h[j]) <= radius
-        out.append((i[near], j[near]))
+        yield i[near], j[near]
     if len(vi):
         order = np.lexsort((t[vi], vs))
         vi, vs = vi[order], vs[order]
@@ -56,20 +59,18 @@ def _leaf_pairs(hi, hs, vi, vs, h, t, radius, window, own, out):
         for a, b in _expand(lo, np.maximum(up - lo, 0)):
             i, j = hi[a], vi[b]
             near = np.bitwise_count(h[i] ^ h[j]) <= radius
-            out.append((i[near], j[near]))
+            yield i[near], j[near]
 
 
 def near_pairs(shard: np.ndarray, visits: np.ndarray, h: np.ndarray, t: np.ndarray, radius: int, window: int, own: np.ndarray | None = None):
-    """Index arrays (i, j) of all pairs of a shard within ``radius`` bits and ``window`` time units.
+    """Index arrays (i, j), in pieces of at most CHUNK, of all pairs of a shard within ``radius`` bits and ``window`` time units.
 
     shard: number of each row's shard, 0 to n - 1. visits: true for visiting rows, which don't pair among
     themselves. own: per shard, whether its home rows pair among themselves (default: yes). Fewer than two rows
     give no pair; rows of equal fingerprints pair like any others.
     """
-    out: list = []
-    none = np.zeros(0, np.int64)
     if len(shard) < 2:
-        return none, none
+        return
     hi, vi = np.flatnonzero(~visits), np.flatnonzero(visits)
     hs, vs = shard[hi].astype(np.int64), shard[vi].astype(np.int64)
     n_nodes = int(shard.max()) + 1
@@ -91,24 +92,28 @@ def near_pairs(shard: np.ndarray, visits: np.ndarray, h: np.ndarray, t: np.ndarr
             low, high, mid = ranked[begin[nodes]], ranked[begin[nodes] + size[nodes] - 1], ranked[begin[nodes] + size[nodes] // 2]
             mu[nodes] = np.where(mid < high, mid, mid - 1)
             split[nodes[low == high]] = False  # equally far from the vantage: no radius parts them
+        inner = dist <= mu[hs]
+        border = ~inner & (dist <= mu[hs] + radius) & own[hs]
+        v_dist = np.bitwise_count(h[vi] ^ vantage[vs]).astype(np.int64)
+        v_in, v_out = v_dist <= mu[vs] + radius, v_dist > mu[vs] - radius
+        per = lambda nodes: np.bincount(nodes, minlength=n_nodes).astype(np.float64)
+        n_in, n_visits = per(hs[inner]), per(vs)
+        n_out = size - n_in
+        work = size * (own * size / 2 + n_visits)
+        below = n_in * (own * n_in / 2 + per(hs[border]) + per(vs[v_in])) + n_out * (own * n_out / 2 + per(vs[v_out]))
+        split &= (size + n_visits <= LARGE) | (below <= WORTH * work)
         at_leaf, v_leaf = ~split[hs], ~split[vs]
         if at_leaf.any():
-            _leaf_pairs(hi[at_leaf], hs[at_leaf], vi[v_leaf], vs[v_leaf], h, t, radius, window, own, out)
-        hi, hs, dist, vi, vs = hi[~at_leaf], hs[~at_leaf], dist[~at_leaf], vi[~v_leaf], vs[~v_leaf]
+            yield from _leaf_pairs(hi[at_leaf], hs[at_leaf], vi[v_leaf], vs[v_leaf], h, t, radius, window, own)
+        hi, hs, inner, border = hi[~at_leaf], hs[~at_leaf], inner[~at_leaf], border[~at_leaf]
+        vi, vs, v_in, v_out = vi[~v_leaf], vs[~v_leaf], v_in[~v_leaf], v_out[~v_leaf]
         if not len(hi):
             break
         number = np.cumsum(split) - 1
-        inner = dist <= mu[hs]
-        border = ~inner & (dist <= mu[hs] + radius) & own[hs]
-        v_dist = np.bitwise_count(h[vi] ^ vantage[vs]).astype(np.int64)
-        v_in, v_out = v_dist <= mu[vs] + radius, v_dist > mu[vs] - radius
         vi, vs = np.concatenate([hi[border], vi[v_in], vi[v_out]]), np.concatenate([2 * number[hs[border]], 2 * number[vs[v_in]], 2 * number[vs[v_out]] + 1])
         own = np.repeat(own[split], 2)
         hs = 2 * number[hs] + ~inner
         n_nodes = 2 * int(split.sum())
-    if not out:
-        return none, none
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 class Trunk:

@@ -55,8 +55,7 @@ def test_near_pairs_kernel(seed):
     if seed == 0:
         h[:] = 7
     shard, visits, t = np.sort(r.integers(0, 5, n)), r.random(n) < 0.3, r.integers(-1000, 1000, n)
-    i, j = near_pairs(shard, visits, h, t, 8, 500)
-    got = Counter(frozenset(x) for x in zip(i.tolist(), j.tolist()))
+    got = Counter(frozenset(x) for i, j in near_pairs(shard, visits, h, t, 8, 500) for x in zip(i.tolist(), j.tolist()))
     want = Counter(
         frozenset((a, b)) for a in range(n) for b in range(a + 1, n)
         if shard[a] == shard[b] and not (visits[a] and visits[b]) and (int(h[a]) ^ int(h[b])).bit_count() <= 8 and abs(int(t[a]) - int(t[b])) <= 500
@@ -64,6 +63,22 @@ def test_near_pairs_kernel(seed):
     assert got == want
 
 
+def test_large_shards():
+    """Even spread, bursts and copies of one fingerprint, beyond the size up to which nodes always split."""
+    r = np.random.default_rng(1)
+    n = 6000
+    base = r.integers(0, 2**63, n // 20, dtype=np.uint64)
+    t = r.integers(0, 3000, n)
+    for h in (r.integers(0, 2**63, n, dtype=np.uint64), base[r.integers(0, n // 20, n)] ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)), np.full(n, 9, np.uint64)):
+        visits = np.arange(n) % 3 == 0
+        got = sorted(x for i, j in near_pairs(np.zeros(n, np.int64), visits, h, t, 8, 20) for x in zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+        want = []
+        for a in range(n):
+            b = np.flatnonzero((np.abs(t[a + 1 :] - t[a]) <= 20) & (np.bitwise_count(h[a + 1 :] ^ h[a]) <= 8) & ~(visits[a] & visits[a + 1 :])) + a + 1
+            want += [(a, int(x)) for x in b]
+        assert got == want
+
+
 def test_trunk_keeps_every_pair():
     r = np.random.default_rng(5)
     base = np.array([0, 2**64 - 1, 0xFFFFFFFF, 0xFFFFFFFF00000000], np.uint64)  # far apart, so that radii can part them
