@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import photo as P
@@ -10,6 +11,7 @@ from ..operators.analysis import analyse
 from ..operators.instants import photo_instants
 from ..runtime import Stash, table
 from ..schema import degraded
+from ..sources.exif import iso_time
 from ..streaming.ingest import status_counts
 from .instants_sql import INSTANTS
 
@@ -437,3 +439,50 @@ def streamed_counts(spark, d):
     last = done.lastProgress["batchId"] if done.lastProgress else 0
     whole = spark.read.parquet(f"{out}/{last}")
     return whole.select(F.to_timestamp_ntz(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")).alias("hour"), F.col("status").alias("event_type"), "n")
+
+
+# --- further shapes of the browse model and single functions -------------------------------------------------------------
+
+
+@query(f"WITH {_BROWSE} SELECT project_id, group_pos, group_id, string_agg(photo_id, ',' ORDER BY pos) AS photos FROM browsed GROUP BY ALL")
+def browse_model(spark, d):
+    nested = browse.browse_model(*_tables(spark, d, "group_members", "photos", "similar_groups"))
+    return nested.withColumn("photos", F.array_join("photos", ","))
+
+
+@query(f"WITH {_BROWSE} SELECT group_id, photo_id, 'Group ' || group_pos AS title, (pos - 1) // 4 AS shelf, (pos - 1) % 4 AS slot FROM browsed")
+def group_shelves(spark, d):
+    """Display rows of four photos under the group's numbered title."""
+    rows = browse.browse_grouped(*_tables(spark, d, "group_members", "photos", "similar_groups"))
+    at = F.col("pos") - 1
+    return rows.select("group_id", "photo_id", F.concat(F.lit("Group "), F.col("group_pos").cast("string")).alias("title"), F.expr("(pos - 1) div 4").alias("shelf"), (at % 4).alias("slot"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linenumber % 2 <> 0 END AS flag FROM lineitem")
+def int_to_bool(spark, d):
+    n = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber") % 2)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.int_to_bool(n).alias("flag"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS shot_at FROM orders")
+def exif_times(spark, d):
+    """The EXIF form of each order's time, or a broken one, as ISO text."""
+    text = F.when(F.col("o_orderkey") % 7 == 0, "0000:00:00 00:00:00").otherwise(F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))
+    rows = table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+
+    def read(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["o_orderkey"], pa.array([iso_time(t) for t in b["text"].to_pylist()], pa.string())], names=["o_orderkey", "shot_at"])
+
+    return rows.mapInArrow(read, "o_orderkey bigint, shot_at string")
+
+
+@query(f"""
+WITH RECURSIVE {_GROUPS}
+SELECT project_id, method, count(*) AS n FROM (SELECT project_id, 'phash_burst' AS method FROM ids UNION ALL SELECT project_id, method FROM (SELECT DISTINCT id, project_id, method FROM similar_groups WHERE method <> 'phash_burst')) GROUP BY ALL
+""")
+def groups_after_regroup(spark, d):
+    """Regrouping replaces the groups of its own method alone."""
+    groups, _ = similarity.regrouped(table(spark, d, "photos"))
+    kept = table(spark, d, "similar_groups").where(F.col("method") != similarity.METHOD).select("id", "project_id", "method").distinct()
+    return groups.select("id", "project_id", "method").unionByName(kept).groupBy("project_id", "method").agg(F.count("*").alias("n"))
