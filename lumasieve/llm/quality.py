@@ -14,11 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Stash
-from .text_shape import LETTERS, STATISTICS, Letters, Vocabulary, describe, han_of, language, letter_runs, plain, words_of
+from .text_shape import LETTERS, NO_LANGUAGE, STATISTICS, Letters, Vocabulary, describe, han_of, language, letter_runs, plain, words_of
 
-#: Share of prose beyond the cutoff distance, if prose were normal; weight of all languages' covariance against a language's own, in texts;
-#: letter_fit below which letters are no language's.
-TAIL, POOLED, NO_LANGUAGE = 0.001, 60, -1.2
+#: Share of prose beyond the cutoff distance, if prose were normal; weight of all languages' covariance against a language's own, in texts.
+TAIL, POOLED = 0.001, 60
 _D = len(STATISTICS)
 _AT = {k: i for i, k in enumerate(STATISTICS)}
 #: Smallest deviation of each statistic; in short texts all lines or none may end in punctuation.

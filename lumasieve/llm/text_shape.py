@@ -85,10 +85,10 @@ def _sentence(s: str) -> bool:
     return words >= 14 or (words >= 6 and ends_sentence(s))
 
 
-def _cells(parts: list[str]) -> bool:
+def _cells(parts: list[str], most: int = 9, usual: float = 5) -> bool:
     """Whether parts look like fields: short, all of them."""
     sizes = [n_words(p) for p in parts if p and not p.isspace()]
-    return bool(sizes) and max(sizes) <= 9 and sum(sizes) <= 5 * len(sizes)
+    return bool(sizes) and max(sizes) <= most and sum(sizes) <= usual * len(sizes)
 
 
 def _line(s: str) -> tuple[str, int]:
@@ -136,13 +136,13 @@ def _class(s: str, body: str, tokens: list[str], solid: str, n: int) -> str:
         return "mark" if _sentence(s[m.end() :]) else "list"
     if "  " in body:
         cells = GAP.split(body)
-        if len(cells) >= 2 and _cells(cells) and any(" " in c or _is_name(c) for c in cells) and not ends_sentence(body):
+        if len(cells) >= 2 and _cells(cells) and ("   " in body or any(" " in c or _is_name(c) for c in cells)) and not ends_sentence(body):
             return "gaps"
     if commas >= 5 or " / " in body or " | " in body or (not plain_ascii and any(c in body for c in "、；，•·")):
         sentences = len(SENTENCE.findall(body))
         if sentences <= 0.15 * (commas + 1) or commas < 5:
             items = LOOSE.split(" ".join(tokens))
-            if len(items) >= 6 and sentences <= 0.15 * len(items) and _cells(items):
+            if len(items) >= 6 and sentences <= 0.15 * len(items) and _cells(items, 12, 6.5):
                 return "loose"
     return ""
 
@@ -228,6 +228,8 @@ STATISTICS = (
 
 #: letter_fit of a text without letters, and the number of runs that a text's own count against.
 NO_LETTERS, PRIOR_RUNS = 0.0, 30
+#: letter_fit below which letters are no language's.
+NO_LANGUAGE = -1.5
 
 
 @dataclass
@@ -259,10 +261,22 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
     letters_of: the letters of each language that has any.
     """
     low = plain(text)
-    pairs = [(x, y) for x, y in zip(text.splitlines(), low.splitlines()) if x and not x.isspace()]
+    pairs, blocks, blank_before = [], [], True
+    for x, y in zip(text.splitlines(), low.splitlines()):
+        blank = not x or x.isspace()
+        if not blank:
+            if blank_before:
+                blocks.append(len(pairs))
+            pairs.append((x, y))
+        blank_before = blank
     lines = [x for x, _ in pairs]
     classes = [_line(x) for x in lines]
     kinds, weights = [k for k, _ in classes], [w for _, w in classes]
+    # Lines between rows of aligned columns are rows too, with empty columns.
+    for a, b in zip(blocks, [*blocks[1:], len(lines)]):
+        rows = kinds[a:b].count("gaps")
+        if rows >= 3 and rows >= 0.3 * (b - a):
+            kinds[a:b] = ["table" if k in ("", "gaps", "list", "loose", "named", "rule") and n_words(x) <= 30 else k for k, x in zip(kinds[a:b], lines[a:b])]
     # Runs of bare lines are items, one to a line; so are fields and gaps that neighbours confirm.
     bare = [k in ("", "loose", "list", "rule") and _bare(x) for k, x in zip(kinds, lines)]
     i = 0
@@ -277,7 +291,7 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
     gaps, tight, named = (kinds.count(k) for k in ("gaps", "tight", "named"))
     solid = max(1, sum(weights))
     share = {"list": 0, "table": 0, "junk": 0, "prose": 0}
-    rest = []
+    rest, loose = [], []
     for k, w, (_, x) in zip(kinds, weights, pairs):
         if k == "gaps":
             k = "table" if gaps >= 3 else "prose"
@@ -287,6 +301,7 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
             k = "table" if named >= 2 else "prose"
         elif k == "loose":
             k = "list"
+            loose.append((w, x))
         elif k in ("", "mark", "rule"):
             k = "prose"
         share[k] += w
@@ -301,6 +316,10 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
         prose_han = han_of(prose)
         prose_words = words_of(prose, prose_han)
     lang = language(tag, prose_words or words, prose_han or han, common)
+    if loose and lang in letters_of and letters_of[lang].fit(letter_runs(" ".join(w for _, x in loose for w in x.split() if w.strip(",;/").isalpha()))) < NO_LANGUAGE:
+        moved = sum(w for w, _ in loose)
+        share["list"] -= moved
+        share["junk"] += moved
     if _repeats(text):
         share = {"list": 0, "table": 0, "junk": solid, "prose": 0}
     n = len(words) + len(han)
