@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.photo import BLUR_VARIANCE, CLIP_RATIO, OVER_MEAN, UNDER_MEAN
 from ..functions.pixels import NORM_SIDE, blur, exposure, grey, normalised, phash
+from ..runtime import ship
 from ..sources.exif import shot_at
 from ..sources.images import decode
 
@@ -46,6 +47,7 @@ def analyse(files: DataFrame, **thresholds) -> DataFrame:
 
     Reading is what takes time, so files should be spread evenly: repartition before, if there are few partitions.
     """
+    ship(files.sparkSession)
     has_content = "content" in files.columns
 
     def run(batches):
@@ -72,6 +74,7 @@ def analyse_folder(spark: SparkSession, folder: str, **thresholds) -> DataFrame:
     For clusters without an imaging library in Python. The source leaves out names that begin with a dot or an underscore; capture times are
     read from the head of the file. A file that can't be decoded has ok false.
     """
+    ship(spark)
     images = spark.read.format("image").option("recursiveFileLookup", True).load(folder).select("image.*")
 
     def run(batches):

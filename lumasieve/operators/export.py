@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.photo import MAX_RENAMES, renamed
-from ..runtime import Stash
+from ..runtime import Stash, ship
 
 _NUMBERED = r"^(.*?)( \(\d+\))+(\.[^.]*)?\z"
 _PLAN = "dest string, id string, path string, name string, target string, outcome string, error string"
@@ -47,6 +47,7 @@ def export_plan(keeps: DataFrame, existing: DataFrame, on_disk: bool = False) ->
     A name whose numbered forms occur nowhere else is settled by its files' ranks; of very many files of one name only the first
     10,000 can get one. Names that do occur in numbered form are settled one by one, each family of them on its own.
     """
+    ship(keeps.sparkSession)
     stash = Stash(keeps.sparkSession, "export")
     whole = keeps.select("dest", "id", "path").distinct()
     named = whole.withColumn("name", F.nullif(F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/\\]*)\z", 1), F.lit("")))
@@ -119,4 +120,5 @@ def copy_planned(plan: DataFrame) -> DataFrame:
                         os.remove(part)
             yield pdf.astype(object).assign(outcome=pd.Series(outcome, pdf.index, object), error=pd.Series(error, pdf.index, object))
 
+    ship(plan.sparkSession)
     return plan.mapInPandas(copy, _PLAN)

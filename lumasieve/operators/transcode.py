@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.photo import cache_key
+from ..runtime import ship
 
 # Longest side and quality of a display copy.
 MOST, QUALITY = 4096, 90
@@ -59,6 +60,7 @@ def transcode_file(path: str, dest: str, most: int = MOST) -> tuple[int, int]:
 def transcode(files: DataFrame, folder: str, most: int = MOST, ending: str = "jpg") -> DataFrame:
     """(id, dest, width, height, error) of files (id, path, mtime_ns). Copies are named after path and time of change; an existing one is kept
     (width and height are null then). A file that fails has an error. Writing is an effect: use the result once."""
+    ship(files.sparkSession)
     named = files.select("id", "path", F.concat(F.lit(f"{folder}/"), cache_key(F.col("path"), F.col("mtime_ns")), F.lit(f".{ending}")).alias("dest"))
 
     def run(batches):

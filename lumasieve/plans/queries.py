@@ -9,7 +9,7 @@ from ..functions import photo as P
 from ..operators import browse, export, records, similarity
 from ..operators.analysis import analyse
 from ..operators.instants import photo_instants
-from ..runtime import Stash, table
+from ..runtime import Stash, ship, table
 from ..schema import degraded
 from ..sources.exif import iso_time
 from ..streaming.ingest import status_counts
@@ -418,6 +418,7 @@ def _drawn(batches):
 @query()
 def image_features(spark, d):
     """Features of pictures drawn from the parts, encoded and decoded again."""
+    ship(spark)
     return analyse(table(spark, d, "part").select("p_partkey", "p_size").mapInPandas(_drawn, "id string, content binary"))
 
 
@@ -470,6 +471,8 @@ def exif_times(spark, d):
     text = F.when(F.col("o_orderkey") % 7 == 0, "0000:00:00 00:00:00").otherwise(F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))
     rows = table(spark, d, "orders").select("o_orderkey", text.alias("text"))
 
+    ship(spark)
+
     def read(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["o_orderkey"], pa.array([iso_time(t) for t in b["text"].to_pylist()], pa.string())], names=["o_orderkey", "shot_at"])

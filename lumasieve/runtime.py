@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,23 @@ def work_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lumasieve_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="lumasieve-code-"), f"lumasieve-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    whole = os.path.join(folder, name)
+                    z.write(whole, os.path.relpath(whole, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._lumasieve_shipped = True
+
+
 class Stash:
     """Tables written to the shared folder in order to cut lineage.
 

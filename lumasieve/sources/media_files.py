@@ -15,6 +15,8 @@ import stat
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..runtime import ship
+
 SCHEMA = "path string, size bigint, mtime_ns bigint, error string"
 
 
@@ -69,6 +71,7 @@ class MediaFiles(DataSource):
 
 
 def media_files(spark: SparkSession, root: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(MediaFiles)
     return spark.read.format("media_files").option("path", root).load()
 
