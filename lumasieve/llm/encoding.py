@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import ship
 from .byte_bpe import ByteBpe
 
 #: Where the vocabulary files lie; a parameter of every operator here.
@@ -26,6 +27,7 @@ def _tokenizer(key: str, content) -> ByteBpe:
 
 def _vocabulary(df: DataFrame, path: str):
     """The vocabulary file, read once and sent to the executors: a few MB, whatever the data."""
+    ship(df.sparkSession)
     with open(path, "rb") as f:
         return path, df.sparkSession.sparkContext.broadcast(f.read())
 

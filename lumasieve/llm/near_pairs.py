@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import pack_id, unpack_id
 from ..operators.instants import shot_micros, with_zones
-from ..runtime import Stash
+from ..runtime import Stash, ship
 from .vptree import Trunk, near_pairs
 
 RADIUS = 8
@@ -130,6 +130,7 @@ def near_pairs_of_points(points: DataFrame, radius: int = RADIUS, window: int =
     whether), and what that can't part, such as copies of one fingerprint, by blocks of ids. So no task holds more than
     two blocks of a shard, and no pair is lost.
     """
+    ship(points.sparkSession)
     stash = Stash(points.sparkSession, "near-pairs")
     kind = points.schema["k"].dataType.simpleString()
     rows = _slots(points)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..runtime import Stash
+from ..runtime import Stash, ship
 
 #: Documents of one length that one task ranks; of a length with more, each part of about so many is ranked on its own.
 RANKED = 1_000_000
@@ -116,6 +116,7 @@ def pack(sizes: DataFrame, packs: DataFrame, ranked: int = RANKED) -> DataFrame:
     Empty tables give no row.
     """
     spark = sizes.sparkSession
+    ship(spark)
     stash = Stash(spark, "packing")
     named = packs.where("pack_name is not null and capacity_tokens >= 1").groupBy("pack_name").agg(F.min("capacity_tokens").cast("bigint").alias("capacity")).orderBy("pack_name")
     capacities = [(r.pack_name, r.capacity) for r in named.collect()]  # the list of packs, not of documents

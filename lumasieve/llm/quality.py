@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import Stash
+from ..runtime import Stash, ship
 from .text_shape import LETTERS, NO_LANGUAGE, STATISTICS, Letters, Vocabulary, describe, han_of, language, letter_runs, plain, words_of
 
 #: Share of prose beyond the cutoff distance, if prose were normal; weight of all languages' covariance against a language's own, in texts.
@@ -139,6 +139,7 @@ def text_quality(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     A null, empty or blank text has no words and nulls otherwise. Repeated rows each come out and count. A language with few texts borrows from all
     languages' covariance. Whole texts are read, however long. Other columns don't matter; empty tables give no row.
     """
+    ship(docs.sparkSession)
     stash = Stash(docs.sparkSession, "quality")
     common = vocabulary(common_words)
     letters = docs.sparkSession.sparkContext.broadcast(_letter_models(docs.select("text", "lang"), common))
