@@ -4,7 +4,8 @@ A member is dominated if another one of its group is at least as good in trust,
 The first member by the lexicographic policy is never dominated, so it is resolved among the undominated ones. Fields that the
 survivor should carry are filled likewise: only members that have the field count (the layers above that lack it are peeled off),
 and the first member by the field's own policy is undominated among them. Being undominated in a part of a group is necessary for being so
-in the whole, so groups are hashed into subgroups, skylines taken there, and only the survivors meet.
+in the whole, so skylines are taken among the members of a group that lie in one partition of the join with the photos, a hash of the
+photo: however large a group, its parts are as bounded as a partition, and only the survivors meet.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from .cutoffs import usable_score
 
 FLAGS = ("normal", "over", "under")
 COMPLETE = 5  # the number of fields that completeness counts
-SUBGROUPS = 16
 _NEVER = -(1 << 63)
 
 
@@ -53,7 +53,7 @@ def skyline(rows: DataFrame, keys: list[str]) -> DataFrame:
     return kept.where("in_main or in_score or in_flag").drop("__trust", "__ge", "__gt", "__done", "__rest", "__flag")
 
 
-def group_survivors(members: DataFrame, groups: DataFrame, photos: DataFrame, settings: DataFrame, methods: tuple[str, ...], subgroups: int = SUBGROUPS) -> DataFrame:
+def group_survivors(members: DataFrame, groups: DataFrame, photos: DataFrame, settings: DataFrame, methods: tuple[str, ...]) -> DataFrame:
     """(group_id, photo_id, blur_from, flag_from) of each group of ``methods`` that has members.
 
     photo_id: first by state done, completeness, flag normal, usable score (none last), later created_at instant (none last), smaller id.
@@ -78,10 +78,10 @@ def group_survivors(members: DataFrame, groups: DataFrame, photos: DataFrame, se
     wanted = groups.where(F.col("method").isin(*methods) & F.col("id").isNotNull()).select(pack_id(F.col("id")).alias("g"))
     pairs = members.where("group_id is not null and photo_id is not null").select(pack_id(F.col("group_id")).alias("g"), pack_id(F.col("photo_id")).alias("k"))
     rows = pairs.join(wanted, "g", "left_semi").join(facts, "k", "left")
-    rows = rows.select("g", "k", "score", F.coalesce("recent", F.lit(_NEVER)).alias("recent"), F.coalesce("facts", F.lit(0).cast("short")).alias("facts"), F.pmod(F.xxhash64("k"), F.lit(subgroups)).cast("byte").alias("sub"))
+    rows = rows.select("g", "k", "score", F.coalesce("recent", F.lit(_NEVER)).alias("recent"), F.coalesce("facts", F.lit(0).cast("short")).alias("facts"), F.spark_partition_id().alias("part"))
     digit = lambda power: (F.floor(F.col("facts") / power) % 10).cast("int")
     rows = rows.withColumns({"done": digit(1000), "normal": digit(100), "has_flag": digit(10) == 1, "complete": digit(1)}).drop("facts")
-    left = skyline(rows, ["g", "sub"]).withColumn("id", unpack_id(F.col("k")))
+    left = skyline(rows, ["g", "part"]).withColumn("id", unpack_id(F.col("k")))
     down = lambda c: (-F.col(c)).alias(c)
     late = F.bitwise_not(F.col("recent")).alias("recent")  # falls as recent rises, without overflow
     lost = F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("score")
