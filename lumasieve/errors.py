@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# The kinds, as callers of the interface tell errors apart by them.
+
 
 class EngineError(Exception):
     kind = "Engine"
