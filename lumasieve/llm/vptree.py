@@ -39,12 +39,17 @@ def _expand(first: np.ndarray, count: np.ndarray):
 
 
 def _leaf_pairs(hi, hs, vi, vs, h, t, radius, window, own):
-    """Pairs of leaf nodes: rows are ordered by node and time, so that each meets only those in its window."""
-    base = int(t.min())
-    span = int(t.max()) - base + 2 * window + 2
-    order = np.lexsort((t[hi], hs))
-    hi, hs = hi[order], hs[order]
-    hk = hs * span + (t[hi] - base)
+    """Pairs of leaf nodes: rows are ordered by node and time, so that each meets only those in its window.
+
+    A row's key is the sum of the gaps before it in that order, each counted as window + 1 at most; a change of node counts as such a gap. So two
+    keys differ by at most ``window`` just if the rows are of one node and that close in time, and no key exceeds the number of rows times window + 1.
+    """
+    rows, nodes, guest = np.concatenate([hi, vi]), np.concatenate([hs, vs]), np.repeat([False, True], [len(hi), len(vi)])
+    order = np.lexsort((t[rows], nodes))
+    rows, nodes, guest = rows[order], nodes[order], guest[order]
+    gap = np.where(nodes[1:] == nodes[:-1], np.minimum(np.diff(t[rows]), window + 1), window + 1)
+    key = np.concatenate([[0], np.cumsum(gap)])
+    hi, hs, hk, vi, vk = rows[~guest], nodes[~guest], key[~guest], rows[guest], key[guest]
     end = np.searchsorted(hk, hk + window, "right")
     first = np.arange(len(hi)) + 1
     for a, b in _expand(first, np.where(own[hs], end - first, 0)):
@@ -52,11 +57,8 @@ def _leaf_pairs(hi, hs, vi, vs, h, t, radius, window, own):
         near = np.bitwise_count(h[i] ^ h[j]) <= radius
         yield i[near], j[near]
     if len(vi):
-        order = np.lexsort((t[vi], vs))
-        vi, vs = vi[order], vs[order]
-        vk = vs * span + (t[vi] - base)
-        lo, up = np.searchsorted(vk, np.maximum(hk - window, hs * span), "left"), np.searchsorted(vk, hk + window, "right")
-        for a, b in _expand(lo, np.maximum(up - lo, 0)):
+        lo, up = np.searchsorted(vk, hk - window, "left"), np.searchsorted(vk, hk + window, "right")
+        for a, b in _expand(lo, up - lo):
             i, j = hi[a], vi[b]
             near = np.bitwise_count(h[i] ^ h[j]) <= radius
             yield i[near], j[near]

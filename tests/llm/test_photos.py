@@ -79,6 +79,23 @@ def test_large_shards():
         assert got == want
 
 
+def test_many_shards_far_apart_in_time():
+    """Shards times the range of their instants, 1970 to 9999, exceed 64 bits by far; rows of other shards have the same fingerprint."""
+    r = np.random.default_rng(4)
+    shards, each, last = 3000, 8, 253_402_300_799_000_000
+    base = np.r_[0, last, r.integers(0, last, shards - 2)]
+    shard = np.repeat(np.arange(shards), each)
+    t = base[shard] + r.integers(-1000, 1000, len(shard))
+    t[shard == 7] = np.resize([0, last], each)
+    visits, h = r.random(len(shard)) < 0.3, np.full(len(shard), 9, np.uint64)
+    got = Counter(frozenset(x) for i, j in near_pairs(shard, visits, h, t, 8, 500) for x in zip(i.tolist(), j.tolist()))
+    want = Counter(
+        frozenset((a, b)) for a in range(len(shard)) for b in range(a + 1, (a // each + 1) * each)
+        if not (visits[a] and visits[b]) and abs(int(t[a]) - int(t[b])) <= 500
+    )
+    assert got == want
+
+
 def test_trunk_keeps_every_pair():
     r = np.random.default_rng(5)
     base = np.array([0, 2**64 - 1, 0xFFFFFFFF, 0xFFFFFFFF00000000], np.uint64)  # far apart, so that radii can part them
