@@ -1,7 +1,7 @@
 """Quality statistics of texts, their distance from prose, and the shape of what isn't prose.
 
 Each text gets the values of STATISTICS. For each language the location and covariance of prose are estimated robustly
-over all texts: medians and median deviations give a first core of texts, whose mean and covariance give the distances
+over all texts, of which copies count once: medians and median deviations give a first core of texts, whose mean and covariance give the distances
 by which the final core is chosen. A text's Mahalanobis distance from its language's prose tells how much of an
 outlier it is, and splits into one contribution per statistic. A text is a list, table or junk if it is an outlier
 and most of its characters are of that class, or, for junk, if what reads like sentences has the letters of no language.
@@ -86,8 +86,9 @@ def _matrix(column) -> np.ndarray:
 
 
 def _models(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """By language the mean and inverse covariance of prose; '' has those of all languages. stats: (lang, stats)."""
-    every = stats.select("lang", "stats").unionByName(stats.select(F.lit("").alias("lang"), "stats"))
+    """By language the mean and inverse covariance of prose; '' has those of all languages. stats: (key, lang, stats), one row for each text and language."""
+    once = stats.groupBy("key").agg(F.min(F.struct("lang", "stats")).alias("v"))
+    every = stats.select("lang", "stats").unionByName(once.select(F.lit("").alias("lang"), "v.stats"))
     half = lambda cols: [F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(cols)]
     values = [F.col("stats")[i] for i in range(_D)]
     median = {r.lang: np.array(r[1:], float) for r in every.groupBy("lang").agg(*half(values)).collect()}
@@ -136,7 +137,8 @@ def text_quality(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     likewise; list_share, table_share and junk_share are shares of the characters that aren't blank. distance is the squared Mahalanobis distance from
     the language's prose, and the from_ columns, one a statistic, sum to it. shape is prose, list, table or junk.
 
-    A null, empty or blank text has no words and nulls otherwise. Repeated rows each come out and count. A language with few texts borrows from all
+    A null, empty or blank text has no words and nulls otherwise. Repeated rows each come out; the models count a text once, however
+    many rows have it (texts that differ in any character are different ones). A language with few texts borrows from all
     languages' covariance. Whole texts are read, however long. Other columns don't matter; empty tables give no row.
     """
     ship(docs.sparkSession)
@@ -150,11 +152,12 @@ def text_quality(docs: DataFrame, common_words: DataFrame) -> DataFrame:
                 b = batch.slice(lo, 1000)
                 made = [describe(t, g, common, letters.value) if t and t.strip() else (None, 0, None) for t, g in zip(b["text"].to_pylist(), b["lang"].to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.float64()))],
-                    names=["doc_id", "lang", "n_words", "stats"])
+                    [b["doc_id"], b["key"], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.float64()))],
+                    names=["doc_id", "key", "lang", "n_words", "stats"])
 
-    stats = stash.put(docs.select("doc_id", "text", "lang").mapInArrow(measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, n_words bigint, stats array<double>"))
-    models = _models(stats.where("stats is not null"))
+    keyed = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text", "lang")
+    stats = stash.put(keyed.mapInArrow(measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, lang string, n_words bigint, stats array<double>"))
+    models = _models(stash.put(stats.where("stats is not null").select("key", "lang", "stats").distinct()))
 
     def score(batches):
         for b in batches:

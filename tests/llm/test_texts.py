@@ -136,6 +136,34 @@ def test_quality(spark):
     assert found == Counter((x.doc_id, x["shape"]) for x in rows if x["shape"] in ("list", "table", "junk"))
 
 
+GERMAN = [
+    "Das Licht war weg, bevor wir das letzte Bild hatten, und niemand wollte bleiben.", "Nach dem Export hatten sich die Namen geändert, denn es gab zwei von der gleichen Art.", "Wenn der Wert niedrig ist, sieh dir das ganze Bild an, bevor du etwas behältst.",
+    "Sie sagten, dass es regnen würde, aber die Sonne kam, als wir auf dem Dach waren.", "Es ist schwer zu sagen, welches der beiden das bessere ist, also blieben sie uns.", "Meine eigene Wahl wäre das mit dem roten Mantel, weil die Augen dort offen sind.",
+]
+
+
+def common(spark):
+    rows = [("en", w) for w in "the of and to a in is it that was for on with as be at we not are but what all were when which if".split()]
+    rows += [("de", w) for w in "der die das und war wir nicht ist es zu dem den in auf mit dass aber als wenn von sie sich du weil also".split()]
+    return spark.createDataFrame(rows, "lang string, word string")
+
+
+def many_prose(seed):
+    r = random.Random(seed)
+    docs = [(i, " ".join(r.sample(PROSE, r.randint(3, 6))), "en") for i in range(150)]
+    return docs + [(200 + i, " ".join(r.sample(GERMAN, r.randint(3, 6))), "de") for i in range(20)]
+
+
+@pytest.mark.parametrize("kind", ["list", "table"])
+def test_copies_are_no_language(spark, kind):
+    """A third of all rows, and most of a small language's, are copies of one text that is no prose."""
+    docs = many_prose(5)
+    docs += [(1000 + i, ODD[kind][0], "de") for i in range(85)]
+    shape = {x.doc_id: x["shape"] for x in text_quality(spark.createDataFrame(docs, DOCS), common(spark)).collect()}
+    assert Counter(shape[i] for i in range(1000, 1085)) == {kind: 85}
+    assert all(shape[i] == "prose" for i, *_ in docs if i < 1000)
+
+
 def test_quality_of_nothing(spark):
     words = spark.createDataFrame([], "lang string, word string")
     assert text_quality(spark.createDataFrame([], DOCS), words).collect() == []
