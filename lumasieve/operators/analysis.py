@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import mmap
 from urllib.parse import unquote
 
 import numpy as np
@@ -72,7 +73,7 @@ def analyse_folder(spark: SparkSession, folder: str, **thresholds) -> DataFrame:
     """Outcomes of the JPEG, PNG, GIF and BMP files below a folder, decoded by the JVM in Spark's image source; the id is the file's address.
 
     For clusters without an imaging library in Python. The source leaves out names that begin with a dot or an underscore; capture times are
-    read from the head of the file. A file that can't be decoded has ok false.
+    read from the file, wherever in it they are. A file that can't be decoded has ok false.
     """
     ship(spark)
     images = spark.read.format("image").option("recursiveFileLookup", True).load(folder).select("image.*")
@@ -86,7 +87,7 @@ def analyse_folder(spark: SparkSession, folder: str, **thresholds) -> DataFrame:
                         raise ValueError("no image")
                     pixels = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
                     colours = pixels[:, :, 2::-1] if r.nChannels >= 3 else pixels  # the source has blue first
-                    rows.append({"id": r.origin, "ok": True, "shot_at": _head_time(r.origin)} | pixel_features(colours, **thresholds))
+                    rows.append({"id": r.origin, "ok": True, "shot_at": _time_of(r.origin)} | pixel_features(colours, **thresholds))
                 except Exception as e:  # one file's failure is its own
                     rows.append({"id": r.origin, "ok": False, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame({k: pd.Series([r.get(k) for r in rows], dtype=object) for k in _NAMES})
@@ -94,10 +95,10 @@ def analyse_folder(spark: SparkSession, folder: str, **thresholds) -> DataFrame:
     return images.mapInPandas(run, OUTCOMES)
 
 
-def _head_time(address: str) -> str | None:
+def _time_of(address: str) -> str | None:
     path = unquote(address.removeprefix("file://"))
     try:
-        with open(path, "rb") as f:
-            return shot_at(f.read(1 << 18))
-    except OSError:
+        with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:  # only what the parser looks at is read
+            return shot_at(data)
+    except (OSError, ValueError):  # an empty file can't be mapped
         return None

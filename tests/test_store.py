@@ -1,5 +1,6 @@
 import json
 import os
+import struct
 import subprocess
 import sys
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumasieve.errors import EngineError, Invalid, NotFound
 from lumasieve.functions.pixels import blur, exposure, grey, normalised, phash
+from lumasieve.operators import analysis
 from lumasieve.operators.analysis import analyse, analyse_folder, features
 from lumasieve.operators.export import export_plan, export_summary
 from lumasieve.operators.transcode import fitted, transcode, transcode_file
@@ -111,6 +113,17 @@ def test_analyse(spark, tmp_path):
     assert analyse(content).first().phash == rows["a"].phash
 
 
+def test_capture_time_after_the_image_data(tmp_path):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"\0\0\0\0"
+    exif = b"II*\0" + struct.pack("<IHHHIII", 8, 1, 0x0132, 2, 20, 26, 0) + b"2026:05:24 10:30:00\0"
+    (tmp_path / "late one.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IDAT", bytes(300_000)) + chunk(b"eXIf", exif))
+    segment = b"\xff\xe2" + struct.pack(">H", 60_002) + bytes(60_000)
+    (tmp_path / "late.jpg").write_bytes(b"\xff\xd8" + segment * 5 + b"\xff\xe1" + struct.pack(">H", 8 + len(exif)) + b"Exif\0\0" + exif)
+    (tmp_path / "empty.png").write_bytes(b"")
+    assert analysis._time_of(f"file://{tmp_path}/late%20one.png") == analysis._time_of(f"{tmp_path}/late.jpg") == "2026-05-24T10:30:00"
+    assert analysis._time_of(f"{tmp_path}/empty.png") is None and analysis._time_of(f"{tmp_path}/none.png") is None
+
+
 def test_analyse_folder(spark, tmp_path):
     jvm = spark._jvm
     picture = jvm.java.awt.image.BufferedImage(64, 48, 1)
