@@ -44,20 +44,31 @@ def vocabulary(common_words: DataFrame) -> Vocabulary:
 
 
 def _letter_models(texts: DataFrame, common: Vocabulary) -> dict[str, Letters]:
-    """By language the counts of runs of three letters, from all texts. At most LETTERS ** 3 counts a language reach the driver."""
+    """By language the counts of runs of three letters, from all texts, each once a language however many copies there are.
+
+    At most LETTERS ** 3 counts a language reach the driver.
+    """
+    known = sorted(common.words)
+    tag = F.lower(F.substring(F.regexp_replace("lang", r"(?U)^\s+|\s+\z", ""), 1, 2))
+    # Flags rather than a set of tags, so that copies are gathered by hashing in fixed space, before the shuffle too.
+    tagged = [F.max(F.coalesce(tag == F.lit(k), F.lit(False))).alias(f"tag{i}") for i, k in enumerate(known)]
+    untagged = F.max(F.coalesce(~tag.isin(known), F.lit(True))).alias("untagged")
+    texts = texts.where("text is not null").groupBy("text").agg(untagged, *tagged)
 
     def count(batches):
         for batch in batches:
             runs: dict[str, list[np.ndarray]] = {}
-            for text, tag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text or not text.strip():
+            for text, untagged, *tags in zip(*(c.to_pylist() for c in batch.columns)):
+                if not text.strip():
                     continue
                 low = plain(text)
-                lang = (tag or "").strip().lower()[:2]
-                if lang not in common.words:
+                langs = {k for k, has in zip(known, tags) if has}
+                if untagged:
                     han = han_of(text)
-                    lang = language(tag, words_of(low, han), han, common)
-                runs.setdefault(lang, []).append(letter_runs(low))
+                    langs.add(language(None, words_of(low, han), han, common))
+                found = letter_runs(low)
+                for lang in langs:
+                    runs.setdefault(lang, []).append(found)
             for lang, found in runs.items():
                 n = np.bincount(np.concatenate(found), minlength=LETTERS**3)
                 at = np.flatnonzero(n)

@@ -234,7 +234,7 @@ NO_LANGUAGE = -1.5
 
 @dataclass
 class Letters:
-    """How often each run of three letters occurs in a language's texts, and the average log probability of a run's last letter."""
+    """How often each run of three letters occurs in a language's different texts, and the average log probability of a run's last letter."""
 
     runs: np.ndarray
 
@@ -245,7 +245,7 @@ class Letters:
         self.usual = float((logs * self.runs[at]).sum() / max(1, self.runs.sum()))
 
     def fit(self, runs: np.ndarray) -> float:
-        """How much likelier than the average run a text's runs are, in log units a run, as the other texts tell: its own are taken out."""
+        """How much likelier than the average run a text's runs are, in log units a run, as the other texts tell: its own are taken out (copies were counted once)."""
         if not len(runs):
             return NO_LETTERS
         run, n = np.unique(runs, return_counts=True)

@@ -164,6 +164,17 @@ def test_copies_are_no_language(spark, kind):
     assert all(shape[i] == "prose" for i, *_ in docs if i < 1000)
 
 
+@pytest.mark.parametrize("copies", [2, 20, 85])
+def test_copies_teach_no_letters(spark, copies):
+    """Copies of random letters in sentences, in all ways of tagging; at most a third of all rows."""
+    r = random.Random(8)
+    junk = " ".join(" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 8))) for _ in range(9)).capitalize() + "." for _ in range(8))
+    docs = many_prose(6) + [(1000 + i, junk, ("en", "EN", " en-GB", None, "xx")[i % 5]) for i in range(copies)]
+    shape = {x.doc_id: x["shape"] for x in text_quality(spark.createDataFrame(docs, DOCS), common(spark)).collect()}
+    assert Counter(shape[i] for i in range(1000, 1000 + copies)) == {"junk": copies}
+    assert all(shape[i] == "prose" for i, *_ in docs if i < 1000)
+
+
 def test_quality_of_nothing(spark):
     words = spark.createDataFrame([], "lang string, word string")
     assert text_quality(spark.createDataFrame([], DOCS), words).collect() == []
