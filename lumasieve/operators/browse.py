@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.photo import file_name, is_heic, quality_badges
+from ..runtime import Stash
 from .ordinal import ordinal
 from .similarity import METHOD
 
 
-def _sharp() -> Column:
-    """The score to sort by: NaN is no score."""
-    return F.when(~F.isnan("blur_score"), F.col("blur_score"))
+def _score() -> Column:
+    """The score to show and to sort by: NaN is no score."""
+    return F.when(~F.isnan("blur_score"), F.col("blur_score")).alias("blur_score")
 
 
 def photo_order() -> list[Column]:
     """Time first, nulls last; then the sharper photo, nulls last; then the id."""
-    return [F.asc_nulls_last("shot_at"), F.desc_nulls_last("sharp"), F.asc("photo_id")]
+    return [F.asc_nulls_last("shot_at"), F.desc_nulls_last("blur_score"), F.asc("photo_id")]
 
 
 def once(photos: DataFrame) -> DataFrame:
@@ -25,16 +26,17 @@ def once(photos: DataFrame) -> DataFrame:
 
 
 def grouped(members: DataFrame, photos: DataFrame, groups: DataFrame, method: str = METHOD) -> DataFrame:
-    """(project_id, group_id, photo_id, shot_at, blur_score, sharp): members of a method's groups with their photos."""
+    """(project_id, group_id, photo_id, shot_at, blur_score): members of a method's groups with their photos."""
     of_method = groups.where(F.col("method") == method).select(F.col("id").alias("group_id"), "project_id").distinct()
-    shown = once(photos.select(F.col("id").alias("photo_id"), "shot_at", "blur_score", _sharp().alias("sharp")))
-    return members.select("group_id", "photo_id").distinct().join(shown, "photo_id").join(of_method, "group_id").select("project_id", "group_id", "photo_id", "shot_at", "blur_score", "sharp")
+    shown = once(photos.select(F.col("id").alias("photo_id"), "shot_at", _score()))
+    return members.select("group_id", "photo_id").distinct().join(shown, "photo_id").join(of_method, "group_id").select("project_id", "group_id", "photo_id", "shot_at", "blur_score")
 
 
 def browse_grouped(members: DataFrame, photos: DataFrame, groups: DataFrame, method: str = METHOD) -> DataFrame:
     """(project_id, group_pos, pos, group_id, photo_id, shot_at, blur_score): a project's groups by their earliest capture (none last), then id;
-    in each group photos by capture time (none last), sharpness from high to low (none last) and id. Times compare as texts."""
-    rows = grouped(members, photos, groups, method)
+    in each group photos by capture time (none last), sharpness from high to low (none last) and id. Times compare as texts; a score that is NaN
+    is none. The joined rows are written once, as the groups' positions and the photos' both need them."""
+    rows = Stash(photos.sparkSession, "browse").put(grouped(members, photos, groups, method))
     first = rows.groupBy("project_id", "group_id").agg(F.min("shot_at").alias("earliest"))
     placed = ordinal(first, ["project_id"], [F.asc_nulls_last("earliest"), F.asc("group_id")], "group_pos")
     inside = ordinal(rows, ["group_id"], photo_order(), "pos")
@@ -44,7 +46,7 @@ def browse_grouped(members: DataFrame, photos: DataFrame, groups: DataFrame, met
 def ungrouped(members: DataFrame, photos: DataFrame, groups: DataFrame, method: str = METHOD) -> DataFrame:
     """Photos in no group of the method; one in groups of other methods only is among them."""
     inside = members.join(groups.where(F.col("method") == method).select(F.col("id").alias("group_id")), "group_id", "left_semi").select(F.col("photo_id").alias("id"))
-    shown = once(photos.select("id", "project_id", "shot_at", "blur_score", _sharp().alias("sharp")))
+    shown = once(photos.select("id", "project_id", "shot_at", _score()))
     return shown.join(inside, "id", "left_anti").withColumnRenamed("id", "photo_id")
 
 

@@ -235,12 +235,12 @@ def group_summary(spark, d):
 # --- browsing ----------------------------------------------------------------------------------------------------------
 
 _BROWSE = """
-shown AS (SELECT DISTINCT id AS photo_id, project_id AS p, shot_at, blur_score, CASE WHEN NOT isnan(blur_score) THEN blur_score END AS sharp FROM photos),
+shown AS (SELECT DISTINCT id AS photo_id, project_id AS p, shot_at, CASE WHEN NOT isnan(blur_score) THEN blur_score END AS blur_score FROM photos),
 bursts AS (SELECT DISTINCT id AS group_id, project_id FROM similar_groups WHERE method = 'phash_burst'),
 members AS (SELECT DISTINCT group_id, photo_id FROM group_members),
-inside AS (SELECT project_id, group_id, photo_id, shot_at, blur_score, sharp FROM members JOIN bursts USING (group_id) JOIN shown USING (photo_id)),
+inside AS (SELECT project_id, group_id, photo_id, shot_at, blur_score FROM members JOIN bursts USING (group_id) JOIN shown USING (photo_id)),
 firsts AS (SELECT project_id, group_id, row_number() OVER (PARTITION BY project_id ORDER BY min(shot_at) NULLS LAST, group_id) AS group_pos FROM inside GROUP BY project_id, group_id),
-browsed AS (SELECT project_id, group_pos, row_number() OVER (PARTITION BY group_id ORDER BY shot_at NULLS LAST, sharp DESC NULLS LAST, photo_id) AS pos,
+browsed AS (SELECT project_id, group_pos, row_number() OVER (PARTITION BY group_id ORDER BY shot_at NULLS LAST, blur_score DESC NULLS LAST, photo_id) AS pos,
   group_id, photo_id, shot_at, blur_score FROM inside JOIN firsts USING (project_id, group_id))
 """
 
@@ -252,7 +252,7 @@ def browse_grouped(spark, d):
 
 @query(f"""
 WITH {_BROWSE}
-SELECT p AS project_id, row_number() OVER (PARTITION BY p ORDER BY shot_at NULLS LAST, sharp DESC NULLS LAST, photo_id) AS pos, photo_id, shot_at, blur_score
+SELECT p AS project_id, row_number() OVER (PARTITION BY p ORDER BY shot_at NULLS LAST, blur_score DESC NULLS LAST, photo_id) AS pos, photo_id, shot_at, blur_score
 FROM shown s WHERE NOT EXISTS (SELECT 1 FROM members m JOIN bursts USING (group_id) WHERE m.photo_id = s.photo_id)
 """)
 def browse_ungrouped(spark, d):
