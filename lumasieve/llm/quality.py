@@ -1,27 +1,37 @@
 """Quality statistics of texts, their distance from prose, and the shape of what isn't prose.
 
-Each text gets the values of STATISTICS. For each language the location and covariance of prose are estimated robustly
-over all texts, of which copies count once: medians and median deviations give a first core of texts, whose mean and covariance give the distances
-by which the final core is chosen. A text's Mahalanobis distance from its language's prose tells how much of an
-outlier it is, and splits into one contribution per statistic. A text is a list, table or junk if it is an outlier
-and most of its characters are of that class, or, for junk, if what reads like sentences has the letters of no language.
+Each different text is looked at once in Python, which gives the values of STATISTICS, and its letter runs for the letter counts of its
+language. For each language the mean and covariance of prose are estimated robustly over all different texts: medians and median deviations
+give a first core of texts; the mean and covariance of the core give the distances by which the next core is chosen, until it no longer changes.
+A text's squared Mahalanobis distance from its language's prose alone decides whether it is prose; it splits into one contribution a statistic.
+An outlier gets the name of what is farthest from prose about it: the letters, the repetition, or the look of its lines as items, rows or noise.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import Stash, ship
-from .text_shape import LETTERS, NO_LANGUAGE, STATISTICS, Letters, Vocabulary, describe, han_of, language, letter_runs, plain, words_of
+from .text_shape import EVIDENCE, LETTERS, NO_LETTERS, STATISTICS, Letters, Vocabulary, language, measure, plain
 
-#: Share of prose beyond the cutoff distance, if prose were normal; weight of all languages' covariance against a language's own, in texts.
-TAIL, POOLED = 0.001, 60
+#: Share of prose beyond the cutoff distance, and beyond the core, if prose were normal.
+TAIL, CORE_TAIL = 0.001, 0.025
+#: Weight of all languages' covariance against a language's own, in texts; rounds of the core after which it is taken as it is.
+POOLED, ROUNDS = 60, 20
 _D = len(STATISTICS)
 _AT = {k: i for i, k in enumerate(STATISTICS)}
-#: Smallest deviation of each statistic; in short texts all lines or none may end in punctuation.
-FLOOR = np.array([0.25 if k == "punctuated_lines" else 0.03 for k in STATISTICS])
+#: Smallest deviation of each statistic in prose. Length says little, in short texts all lines or none end in punctuation, and a few sentences are few letters.
+FLOORS = {
+    "log_words": 1.0, "mean_word_length": 0.2, "symbol_ratio": 0.05, "digit_ratio": 0.05, "punctuated_lines": 0.25, "sentence_length": 0.15, "short_lines": 0.15, "repeated": 0.1, "common_share": 0.06, "letter_fit": 0.2,
+}
+FLOOR = np.array([FLOORS[k] for k in STATISTICS])
+#: Deviation of the shares in EVIDENCE, which prose has little of.
+EVIDENCE_FLOOR = 0.15
+_NAMES = ("list", "table", "junk", "junk", "junk")  # for the first three of EVIDENCE, for letters of no language, for repetition
 
 
 def chi2_quantile(tail: float, d: int) -> float:
@@ -33,6 +43,8 @@ def chi2_quantile(tail: float, d: int) -> float:
 
 
 CUTOFF = chi2_quantile(TAIL, _D)
+#: Squared deviations that one sign of a shape must exceed to name it.
+SIGN = chi2_quantile(TAIL, 1)
 
 
 def vocabulary(common_words: DataFrame) -> Vocabulary:
@@ -43,110 +55,180 @@ def vocabulary(common_words: DataFrame) -> Vocabulary:
     return Vocabulary({k: frozenset(v) for k, v in words.items()})
 
 
-def _letter_models(texts: DataFrame, common: Vocabulary) -> dict[str, Letters]:
-    """By language the counts of runs of three letters, from all texts, each once a language however many copies there are.
+def _tag(lang: Column, known: list[str]) -> Column:
+    """The known language that a row states, else the empty text."""
+    tag = F.lower(F.substring(F.regexp_replace(lang, r"(?U)^\s+|\s+\z", ""), 1, 2))
+    return F.when(tag.isin(known), tag).otherwise("") if known else F.lit("")
+
+
+def _lists(rows: list, kind: pa.DataType) -> pa.Array:
+    """A list column of arrays of numbers or texts; None stays null."""
+    if not rows or isinstance(rows[0], list) or any(r is None for r in rows):
+        return pa.array(rows, pa.list_(kind))
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows)).cast(kind))
+
+
+_MEASURED = "key binary, tags array<string>, lang string, n_words bigint, stats array<double>, evidence array<double>, run array<int>, n array<bigint>"
+_FULL = "key binary, tags array<string>, lang string, n_words bigint, stats array<double>, evidence array<double>"
+
 
-    At most LETTERS ** 3 counts a language reach the driver.
+def _measured(docs: DataFrame, common: Vocabulary, known: list[str]) -> DataFrame:
+    """One row for each different text and language found for it, and one row without key for each language of a partition, with its letter counts.
+
+    tags: the tags of the text's rows for which that language was found. letter_fit is left open, as it takes the counts of all texts.
     """
-    known = sorted(common.words)
-    tag = F.lower(F.substring(F.regexp_replace("lang", r"(?U)^\s+|\s+\z", ""), 1, 2))
     # Flags rather than a set of tags, so that copies are gathered by hashing in fixed space, before the shuffle too.
-    tagged = [F.max(F.coalesce(tag == F.lit(k), F.lit(False))).alias(f"tag{i}") for i, k in enumerate(known)]
-    untagged = F.max(F.coalesce(~tag.isin(known), F.lit(True))).alias("untagged")
-    texts = texts.where("text is not null").groupBy("text").agg(untagged, *tagged)
+    tag = _tag(F.col("lang"), known)
+    texts = docs.where("text is not null").groupBy("text").agg(*[F.max(tag == k).alias(f"tag{i}") for i, k in enumerate(["", *known])])
 
-    def count(batches):
+    def look(batches):
+        counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            runs: dict[str, list[np.ndarray]] = {}
-            for text, untagged, *tags in zip(*(c.to_pylist() for c in batch.columns)):
-                if not text.strip():
-                    continue
-                low = plain(text)
-                langs = {k for k, has in zip(known, tags) if has}
-                if untagged:
-                    han = han_of(text)
-                    langs.add(language(None, words_of(low, han), han, common))
-                found = letter_runs(low)
-                for lang in langs:
-                    runs.setdefault(lang, []).append(found)
-            for lang, found in runs.items():
-                n = np.bincount(np.concatenate(found), minlength=LETTERS**3)
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "run", "n"])
-
-    rows = texts.mapInArrow(count, "lang string, run int, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n")).collect()
-    models = {}
-    for lang in {r.lang for r in rows} - {"zh", "other"}:
-        counts = np.zeros(LETTERS**3)
-        for r in rows:
-            if r.lang == lang:
-                counts[r.run] = r.n
-        models[lang] = Letters(counts)
-    return models
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                rows = []
+                for text, *has in zip(*(c.to_pylist() for c in part.columns)):
+                    if not text.strip():
+                        continue
+                    m = measure(text)
+                    run, n = np.unique(m.runs, return_counts=True)
+                    tags: dict[str, list[str]] = {}
+                    for k, there in zip(["", *known], has):
+                        if there:
+                            tags.setdefault(language(k, m.words, m.han, common), []).append(k)
+                    key = hashlib.md5(text.encode()).digest()
+                    for lang, own in tags.items():
+                        share = common.share(m.words, m.han, lang) if lang in common.words else 0.0
+                        rows.append((key, own, lang, m.n_words, np.array([*m.stats, share, NO_LETTERS]), np.array(m.evidence), run, n))
+                        if lang not in counts:
+                            counts[lang] = np.zeros(LETTERS**3, np.int64)
+                        counts[lang][run] += n
+                if rows:
+                    yield _batch(*zip(*rows))
+        for lang, n in counts.items():
+            at = np.flatnonzero(n)
+            yield _batch([None], [None], [lang], [None], [None], [None], [at], [n[at]])
+
+    return texts.mapInArrow(look, _MEASURED)
+
+
+def _batch(key, tags, lang, n_words, stats, evidence, run, n) -> pa.RecordBatch:
+    f8 = pa.float64()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key, pa.binary()), _lists(list(tags), pa.string()), pa.array(lang, pa.string()), pa.array(n_words, pa.int64()), _lists(list(stats), f8), _lists(list(evidence), f8), _lists(list(run), pa.int32()), _lists(list(n), pa.int64())],
+        names=["key", "tags", "lang", "n_words", "stats", "evidence", "run", "n"])
+
+
+def _letters(measured: DataFrame) -> dict[str, Letters]:
+    """By language the counts of runs of three letters. At most LETTERS ** 3 counts a language reach the driver."""
+    each = measured.where("key is null").select("lang", F.explode(F.arrays_zip("run", "n")).alias("v"))
+    found: dict[str, np.ndarray] = {}
+    for r in each.groupBy("lang", "v.run").agg(F.sum("v.n").alias("n")).collect():
+        found.setdefault(r.lang, np.zeros(LETTERS**3))[r.run] = r.n
+    return {k: Letters(v) for k, v in found.items() if k not in ("zh", "other")}
+
+
+def _fitted(measured: DataFrame, letters) -> DataFrame:
+    """The texts' rows with letter_fit, without their letter runs. letters: a broadcast of what _letters gives."""
+
+    def fit(batches):
+        for b in batches:
+            stats = b["stats"].flatten().to_numpy().reshape(-1, _D).copy()
+            at, run, n = b["run"].offsets.to_numpy(), b["run"].values.to_numpy(), b["n"].values.to_numpy()
+            for i, lang in enumerate(b["lang"].to_pylist()):
+                if lang in letters.value:
+                    stats[i, _AT["letter_fit"]] = letters.value[lang].fit(run[at[i] : at[i + 1]], n[at[i] : at[i + 1]])
+            cols = [b["key"], b["tags"], b["lang"], b["n_words"], _matrix_column(stats), b["evidence"]]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "tags", "lang", "n_words", "stats", "evidence"])
 
+    return measured.where("key is not null").mapInArrow(fit, _FULL)
 
-def _distances(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances and their parts by statistic, which sum to them."""
-    delta = x - mean
-    parts = delta * (delta @ inverse)
-    return parts.sum(1), parts
+
+def _matrix_column(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, _D)
+def _matrix(column, width: int = _D) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, width)
 
 
-def _models(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """By language the mean and inverse covariance of prose; '' has those of all languages. stats: (key, lang, stats), one row for each text and language."""
-    once = stats.groupBy("key").agg(F.min(F.struct("lang", "stats")).alias("v"))
-    every = stats.select("lang", "stats").unionByName(once.select(F.lit("").alias("lang"), "v.stats"))
+def _distances(x: np.ndarray, langs: np.ndarray, models: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances from the own language's prose, and their parts by statistic, which sum to them."""
+    parts = np.zeros_like(x)
+    for lang in set(langs.tolist()):
+        own = langs == lang
+        mean, inverse = models[lang]
+        delta = x[own] - mean
+        parts[own] = delta * (delta @ inverse)
+    return parts.sum(1), parts
+
+
+def _core_sums(stats: DataFrame, models: dict, limit: float) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """By language the number, the mean and the covariance of the texts within ``limit`` of the language's model."""
+    upper = np.triu_indices(_D)
+
+    def add(batches):
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            langs, x = np.array(b["lang"].to_pylist(), object), _matrix(b["stats"])
+            near = _distances(x, langs, models)[0] <= limit
+            for lang in set(langs[near].tolist()):
+                z = x[near & (langs == lang)] - models[lang][0]
+                got = np.concatenate([[len(z)], z.sum(0), (z.T @ z)[upper]])
+                sums[lang] = sums.get(lang, 0) + got
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), _matrix_column(np.stack(list(sums.values())))], names=["lang", "v"])
+
+    size = 1 + _D + len(upper[0])
+    whole = stats.select("lang", "stats").mapInArrow(add, "lang string, v array<double>").groupBy("lang").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(size)])
+    found = {}
+    for r in whole.collect():
+        n, shift = r[1], np.array(r[2 : 2 + _D]) / r[1]
+        second = np.zeros((_D, _D))
+        second[upper] = r[2 + _D :]
+        second += np.triu(second, 1).T
+        found[r.lang] = n, models[r.lang][0] + shift, second / n - np.outer(shift, shift)
+    return found
+
+
+def prose_models(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By language the mean and inverse covariance of prose. stats: (lang, stats), a written table of one row for each text and language.
+
+    The core is chosen anew until no language's changes (ROUNDS times at most); a round is one job, and sends one row a language to the driver.
+    """
     half = lambda cols: [F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(cols)]
     values = [F.col("stats")[i] for i in range(_D)]
-    median = {r.lang: np.array(r[1:], float) for r in every.groupBy("lang").agg(*half(values)).collect()}
+    median = {r.lang: np.array(r[1:], float) for r in stats.groupBy("lang").agg(*half(values)).collect()}
     if not median:
         return {}
     at = F.create_map(*[x for k, v in median.items() for x in (F.lit(k), F.array(*map(F.lit, v.tolist())))])
-    spread = {r.lang: np.array(r[1:], float) for r in every.withColumn("m", at[F.col("lang")]).groupBy("lang").agg(*half([F.abs(v - F.col("m")[i]) for i, v in enumerate(values)])).collect()}
-    first = {k: (v, np.diag(1 / (1.4826 * spread[k] + FLOOR) ** 2)) for k, v in median.items()}
-
-    def core(models: dict, limit: float) -> dict:
-        """Mean and covariance of the texts within ``limit`` of their language's model."""
-
-        def keep(batches):
-            for b in batches:
-                langs, x = b["lang"].dictionary_encode(), _matrix(b["stats"])
-                code, d = langs.indices.to_numpy(), np.full(len(x), np.inf)
-                for k, lang in enumerate(langs.dictionary.to_pylist()):
-                    d[code == k] = _distances(x[code == k], *models[lang])[0]
-                yield b.filter(pa.array(d <= limit))
-
-        near = every.mapInArrow(keep, "lang string, stats array<double>")
-        sums = [F.avg(v).alias(f"a{i}") for i, v in enumerate(values)] + [F.avg(values[i] * values[j]).alias(f"b{i}_{j}") for i in range(_D) for j in range(i, _D)]
-        found = {}
-        for r in near.groupBy("lang").agg(F.count("*").alias("n"), *sums).collect():
-            mean = np.array(r[2 : 2 + _D], float)
-            second = np.zeros((_D, _D))
-            second[np.triu_indices(_D)] = r[2 + _D :]
-            second += np.triu(second, 1).T
-            found[r.lang] = r.n, mean, second - np.outer(mean, mean)
-        made = {}
-        _, all_mean, all_cov = found.get("", (0, median[""], np.diag(spread[""] ** 2)))
+    spread = {r.lang: np.array(r[1:], float) for r in stats.withColumn("m", at[F.col("lang")]).groupBy("lang").agg(*half([F.abs(v - F.col("m")[i]) for i, v in enumerate(values)])).collect()}
+    models = {k: (v, np.diag(1 / (1.4826 * spread[k] + FLOOR) ** 2)) for k, v in median.items()}
+    sizes = None
+    for _ in range(ROUNDS):
+        found = _core_sums(stats, models, chi2_quantile(CORE_TAIL, _D))
+        total = sum(n for n, *_ in found.values())
+        pooled = sum(n * cov for n, _, cov in found.values()) / total if total else np.zeros((_D, _D))
+        new = {}
         for k in models:
-            n, mean, cov = found.get(k, (0, median[k], all_cov))
-            cov = (n * cov + POOLED * all_cov) / (n + POOLED) + np.diag(FLOOR**2)
-            made[k] = mean, np.linalg.inv(cov)
-        return made
-
-    limit = 2 * chi2_quantile(0.025, _D)
-    return core(core(first, 2 * limit), limit)
+            n, mean, cov = found.get(k, (0, median[k], pooled))
+            new[k] = mean, np.linalg.inv((n * cov + POOLED * pooled) / (n + POOLED) + np.diag(FLOOR**2))
+        moved = max(float(np.abs((new[k][0] - models[k][0]) / FLOOR).max()) for k in models)
+        before, sizes, models = sizes, {k: n for k, (n, *_) in found.items()}, new
+        if sizes == before and moved < 1e-6:
+            break
+    return models
 
 
-def text_quality(docs: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_words, STATISTICS, distance, from_..., shape) of every text.
+def text_quality(docs: DataFrame, common_words: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """(doc_id, lang, n_words, STATISTICS, EVIDENCE, distance, from_..., shape) of every text.
 
     lang is the language found: the row's own if it is a known one and the text doesn't speak for another. log_words is ln(1 + words), sentence_length
-    likewise; list_share, table_share and junk_share are shares of the characters that aren't blank. distance is the squared Mahalanobis distance from
-    the language's prose, and the from_ columns, one a statistic, sum to it. shape is prose, list, table or junk.
+    likewise; EVIDENCE are shares of the characters that aren't blank, see text_shape. distance is the squared Mahalanobis distance from the language's prose over all
+    STATISTICS, and the from_ columns, one a statistic, sum to it. shape is prose up to ``cutoff``; beyond it list, table or junk, after the largest of the
+    standardised deviations of the shares, letter_fit (if low, for what the shares don't tell) and repeated; an outlier with none of them beyond
+    SIGN, such as a single word, is prose of an unusual kind. EVIDENCE has no part in the distance.
 
     A null, empty or blank text has no words and nulls otherwise. Repeated rows each come out; the models count a text once, however
     many rows have it (texts that differ in any character are different ones). A language with few texts borrows from all
@@ -155,53 +237,36 @@ def text_quality(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     stash = Stash(docs.sparkSession, "quality")
     common = vocabulary(common_words)
-    letters = docs.sparkSession.sparkContext.broadcast(_letter_models(docs.select("text", "lang"), common))
-
-    def measure(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                b = batch.slice(lo, 1000)
-                made = [describe(t, g, common, letters.value) if t and t.strip() else (None, 0, None) for t, g in zip(b["text"].to_pylist(), b["lang"].to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"], b["key"], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.float64()))],
-                    names=["doc_id", "key", "lang", "n_words", "stats"])
-
-    keyed = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text", "lang")
-    stats = stash.put(keyed.mapInArrow(measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, lang string, n_words bigint, stats array<double>"))
-    models = _models(stash.put(stats.where("stats is not null").select("key", "lang", "stats").distinct()))
+    known = sorted(common.words)
+    measured = stash.put(_measured(docs.select("text", "lang"), common, known))
+    letters = docs.sparkSession.sparkContext.broadcast(_letters(measured))
+    full = stash.put(_fitted(measured, letters))
+    stash.drop(measured)
+    models = prose_models(full.select("lang", "stats"))
 
     def score(batches):
         for b in batches:
-            full = b.filter(b["stats"].is_valid())
-            langs, x = full["lang"].to_pylist(), _matrix(full["stats"])
-            d, parts, shape = np.zeros(len(x)), np.zeros((len(x), _D)), []
-            tags = np.array(langs, object)
-            for lang in set(langs):
-                own = tags == lang
-                d[own], parts[own] = _distances(x[own], *models[lang])
-            shares = x[:, [_AT["list_share"], _AT["table_share"], _AT["junk_share"]]]
-            wordless = x[:, _AT["letter_fit"]] < NO_LANGUAGE
-            for i in range(len(x)):
-                top = int(shares[i].argmax())
-                if d[i] <= CUTOFF:
-                    shape.append("prose")
-                elif shares[i, top] > 0.5:
-                    shape.append(("list", "table", "junk")[top])
-                elif wordless[i]:
-                    shape.append("junk")
-                else:
-                    shape.append("prose")
-            flat = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * _D, pa.int32()), pa.array(m.ravel()))
-            yield pa.RecordBatch.from_arrays([full["doc_id"], full["lang"], full["n_words"], full["stats"], pa.array(d), flat(parts), pa.array(shape, pa.string())], names=["doc_id", "lang", "n_words", "stats", "distance", "parts", "shape"])
-            blank = b.filter(b["stats"].is_null())
-            none = pa.nulls(len(blank), pa.float64())
-            yield pa.RecordBatch.from_arrays([blank["doc_id"], blank["lang"], blank["n_words"], blank["stats"], none, pa.nulls(len(blank), pa.list_(pa.float64())), pa.nulls(len(blank), pa.string())], names=["doc_id", "lang", "n_words", "stats", "distance", "parts", "shape"])
-
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, n_words bigint, stats array<double>, distance double, parts array<double>, shape string"
-    scored = stats.mapInArrow(score, kinds)
-    named = [F.col("stats")[i].alias(k) for i, k in enumerate(STATISTICS)]
+            if not b.num_rows:
+                continue
+            x, evidence = _matrix(b["stats"]), _matrix(b["evidence"], len(EVIDENCE))
+            d, parts = _distances(x, np.array(b["lang"].to_pylist(), object), models)
+            fit = _AT["letter_fit"]
+            low = x[:, fit] < np.array([models[k][0][fit] for k in b["lang"].to_pylist()])
+            told = evidence[:, :3].sum(1) - evidence[:, 3]  # items and values have letters of their own; many in one line are too weak a sign
+            away = np.column_stack([(evidence[:, :3] / EVIDENCE_FLOOR) ** 2, np.where(low, parts[:, fit], 0.0) * (1 - told), parts[:, _AT["repeated"]]])
+            far = (d > cutoff) & (away.max(1) > SIGN)
+            shape = [_NAMES[k] if out else "prose" for k, out in zip(away.argmax(1).tolist(), far.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [b["key"], b["tags"], b["lang"], b["n_words"], b["stats"], b["evidence"], pa.array(d), _matrix_column(parts), pa.array(shape, pa.string())], names=["key", "tags", "lang", "n_words", "stats", "evidence", "distance", "parts", "shape"]
+            )
+
+    scored = full.mapInArrow(score, f"{_FULL}, distance double, parts array<double>, shape string")
+    named = [F.col("stats")[i].alias(k) for i, k in enumerate(STATISTICS)] + [F.col("evidence")[i].alias(k) for i, k in enumerate(EVIDENCE)]
     parts = [F.col("parts")[i].alias(f"from_{k}") for i, k in enumerate(STATISTICS)]
-    return scored.select("doc_id", "lang", "n_words", *named, "distance", *parts, "shape")
+    wide = scored.select("key", F.explode("tags").alias("tag"), F.col("lang").alias("found"), "n_words", *named, "distance", *parts, "shape")
+    rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), _tag(F.col("lang"), known).alias("tag"))
+    shown = [c for c in wide.columns if c not in ("key", "tag", "found", "n_words")]
+    return rows.join(wide, ["key", "tag"], "left").select("doc_id", F.col("found").alias("lang"), F.coalesce("n_words", F.lit(0)).alias("n_words"), *shown)
 
 
 def text_shapes(docs: DataFrame, common_words: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What the characters of one text belong to, and its quality statistics.
+"""The quality statistics of one text, and what the characters of its lines look like.
 
 Each line's characters go to one class: enumerated items, rows of fields or named values, matter no one would read, or
 sentences. Lines that don't tell by themselves are judged together with their neighbours. All of a text is looked at.
@@ -30,16 +30,13 @@ NOT_ALNUM_ASCII = {c: None for c in range(128) if not chr(c).isalnum()}
 ODD = re.compile("[^\x80-\xbf\ufffd\ue000-\uf8ff\u2190-\u2bff]+")
 HEX_ROW = re.compile(r"\s*(?:[0-9a-fA-F]{4,8}:?\s+)?(?:[0-9a-fA-F]{2}\s+){6,}")
 CODED = re.compile(r"[A-Za-z0-9+/=_%-]{24,}")
-TAG = re.compile(r"<[^<>]{1,300}>|&#?\w{2,8};")
-NAMED = re.compile(r"\s*([^\s:=][^:=\n]{0,48}?)(?:\s*[:：]\s+|\s*[:：]\s*\t\s*|\s+=\s+|\s*=\s*\t)(\S[^\n]{0,60})$")
+TAG = re.compile(r"<[^<>]+>|&#?\w{2,8};")
 GAP = re.compile(r" {2,}|\t+")
 TIGHT = re.compile(r"[,;](?=\S)")
 LOOSE = re.compile(r"[,;、；，](?=\s)|、|；|\s[/|·•]\s|\s*[•·]\s+")
 RULE = frozenset("-=_*~#+|:.")
-NUMBERISH = re.compile(r"[-+]?[\d.,:/%]*\d[\d.,:/%]*$|-$|—$")
-FILE = re.compile(r"^[\w.-]*\d[\w.-]*\.[A-Za-z]{3,4}$")
-#: No number or file name is longer; the two patterns above would take time with the square of a text's length.
-NAME_CHARS = 80
+NUMERIC = frozenset("0123456789.,:/%")
+FILE_CHARS = re.compile(r"[\w.-]+")
 
 
 def plain(text: str) -> str:
@@ -75,8 +72,26 @@ def ends_sentence(s: str) -> bool:
 
 
 def _is_name(s: str) -> bool:
-    """Whether a field is a number or a file name."""
-    return len(s) <= NAME_CHARS and bool(NUMBERISH.match(s) or FILE.match(s))
+    """Whether a field is a number, a dash for none, or a file name with a number in it."""
+    if s in ("-", "—"):
+        return True
+    bare = s[1:] if s[:1] in ("-", "+") else s
+    if NUMERIC.issuperset(bare):
+        return any(map(str.isdigit, bare))
+    stem, _, ending = s.rpartition(".")
+    return 3 <= len(ending) <= 4 and ending.isascii() and ending.isalpha() and any(map(str.isdigit, stem)) and FILE_CHARS.fullmatch(stem) is not None
+
+
+def _named(body: str) -> tuple[str, str] | None:
+    """Name and value of a line 'name: value' or 'name = value'."""
+    at = min((i for i in map(body.find, ":=：") if i >= 0), default=0)
+    name, value = body[:at], body[at + 1 :]
+    if not name or not value[:1].isspace():
+        return None
+    inside = value.strip()
+    if not inside or (body[at] == "=" and not name[-1].isspace() and "\t" not in value[: value.index(inside[0])]):
+        return None
+    return name.strip(), inside
 
 
 def _sentence(s: str) -> bool:
@@ -122,8 +137,8 @@ def _class(s: str, body: str, tokens: list[str], solid: str, n: int) -> str:
             return "junk"
     if "\t" in body and _cells(body.split("\t")):
         return "table"
-    if (":" in body or "=" in body or "：" in body) and (m := NAMED.match(s)):
-        if n_words(m[1]) <= 6 and n_words(m[2]) <= 6 and not _sentence(body):
+    if (":" in body or "=" in body or "：" in body) and (m := _named(body)):
+        if n_words(m[0]) <= 6 and n_words(m[1]) <= 6 and not _sentence(body):
             return "named"
     if len(tokens) >= 8 and tokens[0][0].isdigit() and sum(t.strip(",;").replace(".", "").isdigit() for t in tokens) >= 0.8 * len(tokens) and not GAP.search(body):
         return "junk"
@@ -148,9 +163,7 @@ def _class(s: str, body: str, tokens: list[str], solid: str, n: int) -> str:
 
 
 def _bare(s: str) -> bool:
-    """A short line that doesn't end like a sentence."""
-    if len(s) > 60 and len(s.strip()) > 60:
-        return False
+    """A line of few words that doesn't end like a sentence."""
     words = n_words(s)
     return words <= 9 and not (words >= 6 and ends_sentence(s))
 
@@ -161,18 +174,31 @@ def _itemised(run: list[str]) -> bool:
     return sum(map(n_words, run)) <= 5.5 * len(run) and inner <= 0.1 * len(run)
 
 
-def _repeats(text: str) -> bool:
-    """Whether the text is one piece again and again, three times at least: it equals itself when shifted by the piece's length."""
-    solid = " ".join(text.split()).lower()
-    n = len(solid)
+#: Characters whose recurrence tells a period, and the number of periods tried.
+GRAM, PERIODS = 8, 3
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(GRAM)], np.uint64)
+
+
+def repeated(low: str, words: list[str], han: str) -> float:
+    """Share of a text's characters that are the same one period before, for the best period of at most a third of the text; 0 without any.
+
+    The periods tried are the commonest distances at which runs of GRAM characters recur, so a piece that comes with small changes is found too.
+    """
+    if not han and 20 * len(set(words)) > 9 * len(words):  # three copies of anything have at most a third of their words once
+        return 0.0
+    a = np.frombuffer(" ".join(low.split()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(a)
     if n < 60:
-        return False
-    a = np.frombuffer(solid.encode("utf-32-le"), np.uint32)
-    for m in (n // 3, n // 2, 2 * n // 3):
-        p = m - solid.rfind(solid[m : m + 12], 0, m + 11)
-        if 3 * p <= n and p <= m and (a[p:] == a[:-p]).mean() > 0.9:
-            return True
-    return False
+        return 0.0
+    code = sum(a[k : n - GRAM + 1 + k] * _POWERS[k] for k in range(GRAM))
+    order = np.argsort(code, kind="stable")
+    gaps = np.diff(order)[code[order[1:]] == code[order[:-1]]]
+    found = np.bincount(gaps[3 * gaps <= n])
+    best = 0.0
+    for p in np.argsort(found)[: -PERIODS - 1 : -1].tolist() if len(found) else []:
+        if found[p]:
+            best = max(best, float((a[p:] == a[:-p]).mean()))
+    return best
 
 
 @dataclass
@@ -210,26 +236,33 @@ def language(tag: str | None, words: list[str], han: str, common: Vocabulary) ->
 
 
 LETTERS = 27
+EDGES = ".,;:!?()[]\"'/…"
 _CODE = np.zeros(256, np.int64)
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, LETTERS)
 
 
 def letter_runs(text: str) -> np.ndarray:
-    """Numbers of the runs of three letters of a text that ``plain`` made; a word's edge counts as a letter, the middle one is none."""
-    code = _CODE[np.frombuffer(f" {text} ".encode("ascii", "replace"), np.uint8)]
+    """Numbers of the runs of three letters of a text that ``plain`` made; a word's edge counts as a letter, the middle one is none.
+
+    Only words all of letters count, so that names of files and codes are no language.
+    """
+    words = " ".join([w for w in text.split() if w.isalpha() or w.strip(EDGES).isalpha()])
+    code = _CODE[np.frombuffer(f" {words} ".encode("ascii", "replace"), np.uint8)]
     run = (code[:-2] * LETTERS + code[1:-1]) * LETTERS + code[2:]
     return run[code[1:-1] > 0]
 
 
+#: What a text's distance from prose is taken over; the last two of them, and no other, need a language.
 STATISTICS = (
-    "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_share", "sentence_length", "letter_fit", "list_share", "table_share", "junk_share",
+    "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "sentence_length", "short_lines", "repeated", "common_share", "letter_fit",
 )
+#: Shares of a text's characters by what their lines look like; inline_share, that of lines with many items each, is a part of list_share. They name
+#: the shape of an outlier and don't make a text one.
+EVIDENCE = ("list_share", "table_share", "junk_share", "inline_share")
 
 
 #: letter_fit of a text without letters, and the number of runs that a text's own count against.
 NO_LETTERS, PRIOR_RUNS = 0.0, 30
-#: letter_fit below which letters are no language's.
-NO_LANGUAGE = -1.5
 
 
 @dataclass
@@ -244,32 +277,21 @@ class Letters:
         logs = np.log((self.runs[at] + 0.5) / (self.pairs[at // LETTERS] + 0.5 * LETTERS))
         self.usual = float((logs * self.runs[at]).sum() / max(1, self.runs.sum()))
 
-    def fit(self, runs: np.ndarray) -> float:
-        """How much likelier than the average run a text's runs are, in log units a run, as the other texts tell: its own are taken out (copies were counted once)."""
-        if not len(runs):
+    def fit(self, run: np.ndarray, n: np.ndarray) -> float:
+        """How much likelier than the average run a text's runs are, in log units a run, as the other texts tell: its own are taken out (copies were counted once).
+
+        run, n: the different runs of the text and how often each occurs.
+        """
+        if not len(run):
             return NO_LETTERS
-        run, n = np.unique(runs, return_counts=True)
         own = np.bincount(run // LETTERS, weights=n, minlength=LETTERS**2)[run // LETTERS]
         others, pairs = np.maximum(self.runs[run] - n, 0), np.maximum(self.pairs[run // LETTERS] - own, 0)
         logs = np.log((others + 0.5) / (np.maximum(pairs, others) + 0.5 * LETTERS))
-        return float(((logs - self.usual) * n).sum() / (len(runs) + PRIOR_RUNS))
-
+        return float(((logs - self.usual) * n).sum() / (n.sum() + PRIOR_RUNS))
 
-def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[str, Letters]) -> tuple[str, int, list[float]]:
-    """Language, number of words and the values of STATISTICS of a text that isn't blank.
 
-    letters_of: the letters of each language that has any.
-    """
-    low = plain(text)
-    pairs, blocks, blank_before = [], [], True
-    for x, y in zip(text.splitlines(), low.splitlines()):
-        blank = not x or x.isspace()
-        if not blank:
-            if blank_before:
-                blocks.append(len(pairs))
-            pairs.append((x, y))
-        blank_before = blank
-    lines = [x for x, _ in pairs]
+def _shares(lines: list[str], blocks: list[int]) -> tuple[float, ...]:
+    """EVIDENCE of a text's lines, and the share of its characters in bare lines. blocks: numbers of the lines that follow a blank one."""
     classes = [_line(x) for x in lines]
     kinds, weights = [k for k, _ in classes], [w for _, w in classes]
     # Lines between rows of aligned columns are rows too, with empty columns.
@@ -278,7 +300,8 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
         if rows >= 3 and rows >= 0.3 * (b - a):
             kinds[a:b] = ["table" if k in ("", "gaps", "list", "loose", "named", "rule") and n_words(x) <= 30 else k for k, x in zip(kinds[a:b], lines[a:b])]
     # Runs of bare lines are items, one to a line; so are fields and gaps that neighbours confirm.
-    bare = [k in ("", "loose", "list", "rule") and _bare(x) for k, x in zip(kinds, lines)]
+    short = [_bare(x) for x in lines]
+    bare = [b and k in ("", "loose", "list", "rule") for k, b in zip(kinds, short)]
     i = 0
     while i < len(lines):
         j = i
@@ -289,48 +312,48 @@ def describe(text: str, tag: str | None, common: Vocabulary, letters_of: dict[st
                 kinds[q] = kinds[q] if kinds[q] == "rule" else "list"
         i = max(j, i + 1)
     gaps, tight, named = (kinds.count(k) for k in ("gaps", "tight", "named"))
+    stands_for = {
+        "list": "list", "table": "table", "junk": "junk", "loose": "list", "gaps": "table" if gaps >= 3 else "prose", "tight": "table" if tight >= 2 else "list", "named": "table" if named >= 2 else "prose",
+    }
+    share = dict.fromkeys(("list", "table", "junk", "prose"), 0)
+    for k, w in zip(kinds, weights):
+        share[stands_for.get(k, "prose")] += w
     solid = max(1, sum(weights))
-    share = {"list": 0, "table": 0, "junk": 0, "prose": 0}
-    rest, loose = [], []
-    for k, w, (_, x) in zip(kinds, weights, pairs):
-        if k == "gaps":
-            k = "table" if gaps >= 3 else "prose"
-        elif k == "tight":
-            k = "table" if tight >= 2 else "list"
-        elif k == "named":
-            k = "table" if named >= 2 else "prose"
-        elif k == "loose":
-            k = "list"
-            loose.append((w, x))
-        elif k in ("", "mark", "rule"):
-            k = "prose"
-        share[k] += w
-        if k == "prose":
-            rest.append(x)
+    inline, brief = (sum(w for w, x in zip(weights, is_) if x) for is_ in ([k == "loose" for k in kinds], short))
+    return share["list"] / solid, share["table"] / solid, share["junk"] / solid, inline / solid, brief / solid
+
+
+@dataclass
+class Measured:
+    """What one look at a text gives: STATISTICS but the last two, EVIDENCE, and what those two need."""
+
+    n_words: int
+    stats: list[float]
+    evidence: list[float]
+    words: list[str]
+    han: str
+    runs: np.ndarray
+
+
+def measure(text: str) -> Measured:
+    """The measures of a text that isn't blank, all of it, whatever its language."""
+    low = plain(text)
     han = han_of(text)
     words = words_of(low, han)
-    if len(rest) == len(lines):
-        prose, prose_han, prose_words = low, han, words
-    else:
-        prose = "\n".join(rest)
-        prose_han = han_of(prose)
-        prose_words = words_of(prose, prose_han)
-    lang = language(tag, prose_words or words, prose_han or han, common)
-    if loose and lang in letters_of and letters_of[lang].fit(letter_runs(" ".join(w for _, x in loose for w in x.split() if w.strip(",;/").isalpha()))) < NO_LANGUAGE:
-        moved = sum(w for w, _ in loose)
-        share["list"] -= moved
-        share["junk"] += moved
-    if _repeats(text):
-        share = {"list": 0, "table": 0, "junk": solid, "prose": 0}
+    lines, blocks, blank_before = [], [], True
+    for x in text.splitlines():
+        blank = not x or x.isspace()
+        if not blank:
+            if blank_before:
+                blocks.append(len(lines))
+            lines.append(x)
+        blank_before = blank
+    *evidence, short = _shares(lines, blocks)
     n = len(words) + len(han)
     lengths = sum(map(len, words)) + len(han)
-    blank = sum(map(low.count, BLANKS))
-    bare_low = max(1, len(low) - blank)
-    digits = sum(map(low.count, "0123456789"))
+    solid = max(1, len(low) - sum(map(low.count, BLANKS)))
     stats = [
-        float(np.log1p(n)), lengths / max(1, n), max(0, bare_low - lengths) / bare_low, digits / bare_low, sum(map(ends_sentence, lines)) / max(1, len(lines)),
-        common.share(words, han, lang) if lang in common.words else 0.0, float(np.log1p(n / (1 + len(SENTENCE.findall(text))))),
-        letters_of[lang].fit(letter_runs(prose)) if lang in letters_of else NO_LETTERS,
-        share["list"] / solid, share["table"] / solid, share["junk"] / solid,
+        float(np.log1p(n)), lengths / max(1, n), max(0, solid - lengths) / solid, sum(map(low.count, "0123456789")) / solid, sum(map(ends_sentence, lines)) / max(1, len(lines)),
+        float(np.log1p(n / (1 + len(SENTENCE.findall(text))))), short, repeated(low, words, han),
     ]
-    return lang, n, stats
+    return Measured(n, stats, evidence, words, han, letter_runs(low))

@@ -7,7 +7,7 @@ from lumasieve.llm.byte_bpe import ByteBpe
 from lumasieve.llm.encoding import VOCABULARY, count_tokens, decode_ids, encode_texts
 from lumasieve.llm.packing import fill_report, pack, plan
 from lumasieve.llm.quality import CUTOFF, chi2_quantile, text_quality, text_shapes
-from lumasieve.llm.text_shape import STATISTICS
+from lumasieve.llm.text_shape import STATISTICS, _is_name, _named, measure, repeated
 
 from .helpers import with_clashes
 
@@ -129,6 +129,7 @@ def test_quality(spark):
             assert x.n_words == 0 and x.shape is None and x.distance is None
         else:
             assert abs(sum(x[f"from_{k}"] for k in STATISTICS) - x.distance) < 1e-6 * max(1, x.distance)
+            assert x["shape"] == "prose" or x.distance > CUTOFF
     shape = {x.doc_id: x["shape"] for x in rows}
     assert {i: shape[i] for i in odd} == {i: s for i, (s, _) in odd.items()}
     assert all(shape[i] == "prose" for i in [*range(150), 203, 204])
@@ -175,6 +176,32 @@ def test_copies_teach_no_letters(spark, copies):
     assert all(shape[i] == "prose" for i, *_ in docs if i < 1000)
 
 
+def test_the_distance_decides(spark):
+    """However clear the signs of a shape, no text within the cutoff has one; all of a text in items puts it beyond, a few items don't."""
+    docs = many_prose(7) + [(900, ODD["list"][0], "en"), (901, " ".join(PROSE[:4]) + "\n\n- red coat\n- roof", "en")]
+    df, words = spark.createDataFrame(docs, DOCS), common(spark)
+    assert all(x["shape"] == "prose" for x in text_quality(df, words, 1e12).collect())
+    rows = {x.doc_id: x for x in text_quality(df, words).collect()}
+    assert rows[900]["shape"] == "list" and rows[901]["shape"] == "prose" and 0 < rows[901].list_share < 0.3
+    assert text_quality(df, words, rows[900].distance).where("doc_id = 900").first()["shape"] == "prose"
+
+
+def test_no_length_changes_a_class():
+    for n in (1, 100, 5000):
+        assert _is_name("7" * n) and _is_name("a" * n + "7.jpg") and not _is_name("a" * n + ".jpg") and not _is_name("x" * n)
+        assert _named("a" * n + ": " + "b" * n) == ("a" * n, "b" * n)
+    assert _named("no name") is None and _named(": x") is None and _named("10:30 o'clock") is None and _named("a=b") is None and _named("a =\tb") == ("a", "b") and _named("a = b") == ("a", "b")
+
+
+def test_repeated_with_changes():
+    r = random.Random(1)
+    piece = " ".join(r.choices("abcdefghijk lmno pqrs tu".split(), k=12)) + " then all of it went on."
+    text = " ".join(piece if i % 3 else piece.replace("then", f"th{i % 10}n") for i in range(12)).lower()
+    assert repeated(text, text.split(), "") > 0.9
+    assert repeated(" ".join(PROSE).lower(), " ".join(PROSE).split(), "") == 0.0 and repeated("word", ["word"], "") == 0.0
+    assert repeated("我们比较了左右两张。" * 9, [], "我们比较了左右两张" * 9) > 0.9
+
+
 def test_quality_of_nothing(spark):
     words = spark.createDataFrame([], "lang string, word string")
     assert text_quality(spark.createDataFrame([], DOCS), words).collect() == []
@@ -189,13 +216,10 @@ def test_cutoff():
 def test_long_runs_take_little_time():
     import time
 
-    from lumasieve.llm.text_shape import Vocabulary, describe
-
-    common = Vocabulary({"en": frozenset({"the"})})
     began = time.time()
     for unit in (" ", "-", "7", "a", "a1.", "- ", "a,", " • ", "[", "a:", "\t", "\n", "'", "<a", "&", "|", "0a ", "。", "é", "x=", "- a\n", "1 "):
         for end in ("", "¤", "x", "x."):
             text = unit * (60_000 // len(unit)) + end
             if text.strip():
-                describe(text, "en", common, {})
+                measure(text)
     assert time.time() - began < 20
