@@ -10,7 +10,7 @@ from .encoding import count_tokens, encode_texts
 from .near_pairs import near_duplicates
 from .packing import fill_report, pack
 from .quality import text_quality, text_shapes
-from .survivors import group_survivors
+from .survivors import group_skyline, group_survivors
 from .top_n import top_members
 
 #: Methods whose groups hold duplicates.
@@ -109,7 +109,14 @@ SELECT group_id, photo_id FROM ranked WHERE r <= 3
 @query
 def p6_found(spark, d):
     members, groups, photos, settings = (table(spark, d, x) for x in ("group_members", "similar_groups", "photos", "project_settings"))
-    return group_survivors(members, groups, photos, settings, DUPLICATES)
+    return group_survivors(members, groups, photos, settings, DUPLICATES).select("group_id", "photo_id", "blur_from", "flag_from")
+
+
+@query
+def p6_skyline(spark, d):
+    """The undominated members of every group of duplicates."""
+    members, groups, photos, settings = (table(spark, d, x) for x in ("group_members", "similar_groups", "photos", "project_settings"))
+    return group_skyline(members, groups, photos, settings, DUPLICATES)
 
 
 @query
@@ -137,8 +144,8 @@ def p9_stats(spark, d):
     return text_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
-ORACLE["p6_found"] = f"""
-WITH {INSTANTS}, {_OF_DUPLICATES},
+_RATED = f"""
+{INSTANTS}, {_OF_DUPLICATES},
 facts AS (
   SELECT DISTINCT id AS photo_id, coalesce(analysis_state = 'done', false)::INT AS done, CASE WHEN blur_score >= 0 AND NOT isnan(blur_score) THEN blur_score END AS score,
     coalesce(lower(regexp_replace(exposure_flag, '^\\s+|\\s+$', '', 'g')), '') AS flag, exposure_score IS NOT NULL AS exposed, coalesce(regexp_full_match(phash, '[0-9a-fA-F]{{16}}'), false) AS hashed
@@ -146,7 +153,10 @@ facts AS (
 timed AS (SELECT f.*, s.utc_micros IS NOT NULL AS shot, c.utc_micros AS created FROM facts f
   LEFT JOIN instants s ON s.photo_id = f.photo_id AND s.field = 'shot_at' LEFT JOIN instants c ON c.photo_id = f.photo_id AND c.field = 'created_at'),
 rated AS (SELECT group_id, t.*, flag IN ('normal', 'over', 'under') AS flagged,
-  (score IS NOT NULL)::INT + exposed::INT + (flag IN ('normal', 'over', 'under'))::INT + hashed::INT + shot::INT AS complete FROM inside JOIN timed t USING (photo_id)),
+  (score IS NOT NULL)::INT + exposed::INT + (flag IN ('normal', 'over', 'under'))::INT + hashed::INT + shot::INT AS complete FROM inside JOIN timed t USING (photo_id))
+"""
+ORACLE["p6_found"] = f"""
+WITH {_RATED},
 ranked AS (SELECT *,
   row_number() OVER (PARTITION BY group_id ORDER BY done DESC, complete DESC, flag = 'normal' DESC, score DESC NULLS LAST, created DESC NULLS LAST, photo_id) AS r,
   row_number() OVER (PARTITION BY group_id ORDER BY score IS NULL, done DESC, score DESC, photo_id) AS rb,
@@ -155,3 +165,13 @@ SELECT group_id, max(CASE WHEN r = 1 THEN photo_id END) AS photo_id, coalesce(ma
   coalesce(max(CASE WHEN rf = 1 AND flagged THEN photo_id END), '') AS flag_from
 FROM ranked GROUP BY group_id
 """
+
+#: Trust as one number, by rank in the group: done, then flag normal, then score.
+ORACLE["p6_skyline"] = f"""
+WITH {_RATED},
+trusted AS (SELECT DISTINCT group_id, photo_id, complete, coalesce(created, -9223372036854775807) AS recent,
+  dense_rank() OVER (PARTITION BY group_id ORDER BY done, flag = 'normal', coalesce(score, -1)) AS trust FROM rated)
+SELECT group_id, photo_id FROM trusted x WHERE NOT EXISTS (
+  SELECT 1 FROM trusted y WHERE y.group_id = x.group_id AND y.trust >= x.trust AND y.complete >= x.complete AND y.recent >= x.recent
+    AND (y.trust > x.trust OR y.complete > x.complete OR y.recent > x.recent))
+"""

@@ -10,7 +10,7 @@ from lumasieve.llm.components import components, consolidate, photo_components
 from lumasieve.llm.cutoffs import DyadicCountTree, _scored, kept_photos, project_cutoffs, score_code
 from lumasieve.llm.near_pairs import near_duplicates
 from lumasieve.llm.queries import DUPLICATES
-from lumasieve.llm.survivors import group_survivors
+from lumasieve.llm.survivors import group_skyline, group_survivors, layered_members, layers
 from lumasieve.llm.top_n import top_members
 from lumasieve.llm.vptree import Trunk, near_pairs
 from lumasieve.operators.instants import photo_instants
@@ -218,7 +218,35 @@ def test_survivors(small):
         blur = min((i for i in m if f[i][3]), key=lambda i: (-f[i][0], -f[i][4], i), default="")
         flag = min((i for i in m if f[i][6]), key=lambda i: (-f[i][5], i), default="")
         want.append((g, first, blur, flag))
-    assert Counter(map(tuple, group_survivors(members, groups, photos, settings, DUPLICATES).collect())) == Counter(want)
+    rows_ = group_survivors(members, groups, photos, settings, DUPLICATES).collect()
+    assert Counter(tuple(r)[:4] for r in rows_) == Counter(want)
+    assert all((r.blur_layer is None) == (r.blur_from == "") and (r.flag_layer is None) == (r.flag_from == "") for r in rows_)
+    # The skyline of the whole group, against all pairs; trust is the triple of done, normal and score, no score lowest.
+    sky = set()
+    for g, m in of.items():
+        f = {i: facts.get(i, (False, 0, False, False, 0.0, -(2**70), False)) for i in m}
+        value = {i: ((v[0], v[2], v[4] if v[3] else -1.0), v[1], v[5]) for i, v in f.items()}
+        sky |= {(g, i) for i, x in value.items() if not any(y != x and all(p >= q for p, q in zip(y, x)) for y in value.values())}
+    got = group_skyline(members, groups, photos, settings, DUPLICATES).collect()
+    assert Counter(map(tuple, got)) == Counter(sky)
+    assert 0 < len(sky) < sum(map(len, of.values()))
+    assert layered_members(members, groups, photos, settings, DUPLICATES).where("layer > 0").count() > 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dominance_layers(spark, seed):
+    """Layers of all members, against their definition: one more than the deepest of those that dominate."""
+    r = random.Random(seed)
+    rows = [(g, i, r.randrange(2), r.randrange(2), r.choice([None, 1.0, 2.0, r.random()]), r.randrange(6), r.choice([-(1 << 63), 5, r.randrange(40)]), True) for g in ("a", "b") for i in range(120)]
+    rows += [("c", i, 1, 1, float(i), 5, i, True) for i in range(50)] + [("d", i, 1, 1, float(i), 5, -i, True) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, k int, done int, normal int, score double, complete int, recent bigint, has_flag boolean")
+    got = {(x.g, x.k): x.layer for x in layers(df.repartition(5)).collect()}
+    value = {(x[0], x[1]): ((x[2], x[3], -1.0 if x[4] is None else x[4]), x[5], x[6]) for x in rows}
+    want = {}
+    for at in sorted(value, key=value.get, reverse=True):
+        want[at] = max((want[o] + 1 for o in want if o[0] == at[0] and value[o] != value[at] and all(p >= q for p, q in zip(value[o], value[at]))), default=0)
+    assert got == want
+    assert max(v for k, v in got.items() if k[0] == "c") == 49 and max(v for k, v in got.items() if k[0] == "d") == 0
 
 
 def test_empty_tables(spark):
