@@ -16,7 +16,7 @@ RADIUS = 8
 WINDOW_MICROS = 600_000_000
 SLOT_MICROS = 3 * WINDOW_MICROS
 #: Rows of one time slot from which on it is split further, fingerprints of the routing tree's sample, its depth.
-SHARD_ROWS, TRUNK_SAMPLE, TRUNK_DEPTH = 20_000, 4096, 6
+SHARD_ROWS, TRUNK_SAMPLE, TRUNK_DEPTH = 100_000, 4096, 6
 _KEYS = ["project_id", "slot", "leaf", "i", "j"]
 
 
@@ -86,9 +86,10 @@ def _join_shards(radius: int, window: int):
         for c in _KEYS:
             x = rows[c].combine_chunks()
             new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
-        k = rows["k"].combine_chunks()
-        again = np.zeros(len(rows), bool)
-        again[1:] = pc.equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False) & ~new[1:]
+        k, h, t = (rows[c].combine_chunks() for c in ("k", "h", "t"))
+        again = ~new
+        for x in (k, h, t):
+            again[1:] &= pc.equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
         shard = np.cumsum(new) - 1
         keep = np.flatnonzero(~again)
         kind = rows["kind"].to_numpy()
@@ -122,13 +123,13 @@ def _join_shards(radius: int, window: int):
 
 def near_pairs_of_points(points: DataFrame, radius: int = RADIUS, window: int = WINDOW_MICROS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): the k of each pair of rows of one project within ``radius`` bits and ``window`` microseconds (at most
-    WINDOW_MICROS), once, in no order. points: (project_id, k, h, t), a written table without nulls.
+    WINDOW_MICROS), in no order; once, if no k has several rows that differ. points: (project_id, k, h, t), a written table without nulls.
 
     Rows are sharded by project and time slot, rows near the slot before visit that one too; in each shard a
     vantage-point tree finds the pairs. A slot of more than ``shard_rows`` rows is first parted by a routing tree,
     fitted on at most TRUNK_SAMPLE of the overfull slots' fingerprints (it decides only where rows meet, never
     whether), and what that can't part, such as copies of one fingerprint, by blocks of ids. So no task holds more than
-    two blocks of a shard, and no pair is lost.
+    two blocks of a shard, and no pair is lost. Within a task, large nodes that can't be parted are searched by pigeonholes, not pair by pair.
     """
     ship(points.sparkSession)
     stash = Stash(points.sparkSession, "near-pairs")
@@ -145,7 +146,7 @@ def near_pairs_of_points(points: DataFrame, radius: int = RADIUS, window: int =
         routed = stash.put(full.mapInArrow(_route(trunk), f"project_id string, slot bigint, leaf int, kind int, k {kind}, h bigint, t bigint"))
         split = _blocks(routed, shard_rows)
         plain = plain.join(hot, same, "left_anti").unionByName(split)
-    shards = plain.select(*_KEYS, "kind", "k", "h", "t").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "k")
+    shards = plain.select(*_KEYS, "kind", "k", "h", "t").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "k", "h", "t")
     found = shards.mapInArrow(_join_shards(radius, window), f"a {kind}, b {kind}")
     return found.where("a <> b")
 
@@ -158,5 +159,6 @@ def near_duplicates(photos: DataFrame, settings: DataFrame, **how) -> DataFrame:
     don't matter.
     """
     points = Stash(photos.sparkSession, "fingerprints").put(fingerprints(photos, settings)).where("t is not null")
-    pairs = near_pairs_of_points(points, **how).select(unpack_id(F.col("a")).alias("a"), unpack_id(F.col("b")).alias("b"))
+    pairs = near_pairs_of_points(points, **how).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # of rows that differ, several may link
+    pairs = pairs.select(unpack_id(F.col("a")).alias("a"), unpack_id(F.col("b")).alias("b"))
     return pairs.select(F.least("a", "b").alias("photo_a"), F.greatest("a", "b").alias("photo_b"))

@@ -30,13 +30,19 @@ def p1_found(spark, d):
     return near_duplicates(table(spark, d, "photos"), table(spark, d, "project_settings"))
 
 
+@query
+def p1_overfull(spark, d):
+    """The same pairs with a tiny limit of rows a slot, so that the routing tree and the blocks, which only overfull slots need, do the work."""
+    return near_duplicates(table(spark, d, "photos"), table(spark, d, "project_settings"), shard_rows=20)
+
+
 _PAIRS = f"""
 {INSTANTS},
 digits AS (SELECT DISTINCT id, project_id, list_transform(string_split(lower(phash), ''), lambda c: (instr('0123456789abcdef', c) - 1)::UBIGINT) AS x FROM photos WHERE regexp_full_match(phash, '[0-9a-fA-F]{{16}}')),
 points AS (SELECT id, project_id, list_reduce(x, lambda a, e: (a << 4) | e) AS h, utc_micros AS t FROM digits JOIN instants ON photo_id = id AND field = 'shot_at'),
 pairs AS (SELECT a.id AS photo_a, b.id AS photo_b FROM points a JOIN points b ON a.project_id = b.project_id AND a.id < b.id AND bit_count(xor(a.h, b.h)) <= 8 AND abs(a.t - b.t) <= 600000000)
 """
-ORACLE["p1_found"] = f"WITH {_PAIRS} SELECT photo_a, photo_b FROM pairs"
+ORACLE["p1_found"] = ORACLE["p1_overfull"] = f"WITH {_PAIRS} SELECT photo_a, photo_b FROM pairs"
 _OF_DUPLICATES = """
 kept AS (SELECT id AS g FROM similar_groups WHERE method IN ('phash_burst', 'import_match')),
 inside AS (SELECT DISTINCT group_id, photo_id FROM group_members WHERE group_id IN (FROM kept))

@@ -8,6 +8,9 @@ most mu) has a distance of at most mu + radius itself, and a row near an outer o
 all other rows are pruned. Outer home rows near the boundary visit the inner child, never the reverse, so that no
 pair comes out twice.
 
+A node with many rows that no radius parts, such as fingerprints that spread evenly, is a leaf that is searched by pigeonholes: the 64 bits are cut into
+radius + 2 pieces, of which a pair within the radius shares two at least, so that only rows which agree in two pieces meet.
+
 ``Trunk`` is the same tree fitted on a bounded sample; it only routes the rows of overfull shards to smaller ones.
 """
 
@@ -18,7 +21,7 @@ import numpy as np
 LEAF = 24
 CHUNK = 2_000_000
 #: A node of more rows is left whole if its children would have more than this share of its comparisons: fingerprints that spread evenly are all
-#: near each other's boundaries, and their visiting rows would only multiply.
+#: near each other's boundaries, and their visiting rows would only multiply. Such a node is searched by pigeonholes.
 LARGE, WORTH = 4096, 0.9
 
 
@@ -64,6 +67,65 @@ def _leaf_pairs(hi, hs, vi, vs, h, t, radius, window, own):
             yield i[near], j[near]
 
 
+def _pieces(radius: int) -> list[int]:
+    """Masks of radius + 2 pieces of the 64 bits."""
+    n = radius + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+
+
+def _near_classes(node: np.ndarray, h: np.ndarray, radius: int):
+    """Index pairs of different fingerprints of one node within ``radius`` bits, by pigeonholes; each once, at the first two pieces in which it agrees."""
+    masks = [np.uint64(m) for m in _pieces(radius)]
+    every, none, still = np.arange(len(h)), np.zeros(0, np.int64), np.zeros(len(h), np.int64)
+    for q in range(1, len(masks)):
+        for p in range(q):
+            # The holes: numbers in place of (node, bits of both pieces).
+            bits = h & (masks[p] | masks[q])
+            order = np.lexsort((bits, node))
+            new = np.ones(len(h), np.int64)
+            new[1:] = (node[order][1:] != node[order][:-1]) | (bits[order][1:] != bits[order][:-1])
+            hole = np.empty(len(h), np.int64)
+            hole[order] = np.cumsum(new) - 1
+            for i, j in _leaf_pairs(every, hole, none, none, h, still, radius, 0, np.ones(len(h), bool)):
+                differ = h[i] ^ h[j]
+                earlier = np.zeros(len(i), bool)
+                for k in range(q):
+                    if k != p:
+                        earlier |= (differ & masks[k]) == 0
+                yield i[~earlier], j[~earlier]
+
+
+def _pigeonhole_pairs(hi, hs, vi, vs, h, t, radius, window, own):
+    """Pairs of large leaf nodes: rows of one fingerprint, then rows of near ones; so copies don't multiply the search."""
+    rows, node, guest = np.concatenate([hi, vi]), np.concatenate([hs, vs]), np.repeat([False, True], [len(hi), len(vi)])
+    order = np.lexsort((t[rows], h[rows], node))
+    rows, node, guest = rows[order], node[order], guest[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (node[1:] != node[:-1]) | (h[rows[1:]] != h[rows[:-1]])
+    kind, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    yield from _leaf_pairs(rows[~guest], kind[~guest], rows[guest], kind[guest], h, t, radius, window, own[node[first]])
+    # Times as ranks among all bounds, so that (class, time) fits one number whatever the times.
+    _, rank = np.unique(np.concatenate([t[rows], t[rows] - window, t[rows] + window]), return_inverse=True)
+    span = int(rank.max()) + 1
+    at, low, high = rank.reshape(3, -1)
+    sides = {g: (np.flatnonzero(guest == g), kind[guest == g] * span + at[guest == g]) for g in (False, True)}
+    for a, b in _near_classes(node[first], h[rows[first]], radius):
+        for g1, g2 in ((False, False), (False, True), (True, False)):
+            mine, keys1 = sides[g1]
+            theirs, keys2 = sides[g2]
+            x, y = a, b
+            if not (g1 or g2):
+                among = own[node[first[a]]]
+                x, y = a[among], b[among]
+            begin, end = np.searchsorted(keys1, x * span), np.searchsorted(keys1, (x + 1) * span)
+            for pair, k in _expand(begin, end - begin):
+                row, other = mine[k], y[pair]
+                lo, up = np.searchsorted(keys2, other * span + low[row]), np.searchsorted(keys2, other * span + high[row], "right")
+                for i, j in _expand(lo, up - lo):
+                    yield rows[row[i]], rows[theirs[j]]
+
+
 def near_pairs(shard: np.ndarray, visits: np.ndarray, h: np.ndarray, t: np.ndarray, radius: int, window: int, own: np.ndarray | None = None):
     """Index arrays (i, j), in pieces of at most CHUNK, of all pairs of a shard within ``radius`` bits and ``window`` time units.
 
@@ -105,8 +167,11 @@ def near_pairs(shard: np.ndarray, visits: np.ndarray, h: np.ndarray, t: np.ndarr
         below = n_in * (own * n_in / 2 + per(hs[border]) + per(vs[v_in])) + n_out * (own * n_out / 2 + per(vs[v_out]))
         split &= (size + n_visits <= LARGE) | (below <= WORTH * work)
         at_leaf, v_leaf = ~split[hs], ~split[vs]
-        if at_leaf.any():
-            yield from _leaf_pairs(hi[at_leaf], hs[at_leaf], vi[v_leaf], vs[v_leaf], h, t, radius, window, own)
+        large = size + n_visits > LARGE
+        for search, of_kind in ((_leaf_pairs, ~large), (_pigeonhole_pairs, large)):
+            a, b = at_leaf & of_kind[hs], v_leaf & of_kind[vs]
+            if a.any():
+                yield from search(hi[a], hs[a], vi[b], vs[b], h, t, radius, window, own)
         hi, hs, inner, border = hi[~at_leaf], hs[~at_leaf], inner[~at_leaf], border[~at_leaf]
         vi, vs, v_in, v_out = vi[~v_leaf], vs[~v_leaf], v_in[~v_leaf], v_out[~v_leaf]
         if not len(hi):

@@ -46,6 +46,16 @@ def test_near_duplicates(small, shard_rows):
     assert len(want) > 20 and Counter(got) == Counter(want)
 
 
+@pytest.mark.parametrize("shard_rows", [20_000, 2])
+def test_rows_of_one_id_that_differ(spark, shard_rows):
+    """Each counts with its own hash and time: no link is lost, none comes out twice, none is of an id with itself."""
+    at = "2024-05-01T12:00:00Z"
+    rows = [("A", "0" * 16, at), ("A", "f" * 16, at), ("A", "0" * 15 + "1", "2024-05-01T12:01:00Z"), ("A", "f" * 16, at), ("B", "0" * 16, at), ("C", "f" * 16, at)]
+    photos = spark.createDataFrame([(i, "p", h, t) for i, h, t in rows], "id string, project_id string, phash string, shot_at string")
+    got = sorted(map(tuple, near_duplicates(photos, empty(spark, SETTINGS), shard_rows=shard_rows).collect()))
+    assert got == [("A", "B"), ("A", "C")]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_near_pairs_kernel(seed):
     r = np.random.default_rng(seed)
@@ -69,7 +79,7 @@ def test_large_shards():
     n = 6000
     base = r.integers(0, 2**63, n // 20, dtype=np.uint64)
     t = r.integers(0, 3000, n)
-    for h in (r.integers(0, 2**63, n, dtype=np.uint64), base[r.integers(0, n // 20, n)] ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)), np.full(n, 9, np.uint64)):
+    for h in (r.integers(0, 2**63, n, dtype=np.uint64), base[r.integers(0, n // 20, n)] ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)), np.full(n, 9, np.uint64), np.where(np.arange(n) % 2 == 0, r.integers(0, 2**63, n, dtype=np.uint64), base[np.arange(n) % 3] ^ (np.uint64(1) << r.integers(0, 9, n).astype(np.uint64)))):
         visits = np.arange(n) % 3 == 0
         got = sorted(x for i, j in near_pairs(np.zeros(n, np.int64), visits, h, t, 8, 20) for x in zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
         want = []
@@ -79,6 +89,23 @@ def test_large_shards():
         assert got == want
 
 
+def test_large_shards_of_several_kinds():
+    """Shards whose home rows pair and others whose don't, evenly spread and full of copies, side by side."""
+    r = np.random.default_rng(2)
+    n = 12_000
+    shard, own = np.sort(r.integers(0, 2, n)), np.array([True, False])
+    h = r.integers(0, 2**63, n, dtype=np.uint64)
+    h[::3] = h[7] ^ (np.uint64(1) << r.integers(0, 64, len(h[::3])).astype(np.uint64))
+    visits, t = r.random(n) < 0.4, r.integers(0, 2**62, 40)[r.integers(0, 40, n)]
+    got = sorted(x for i, j in near_pairs(shard, visits, h, t, 8, 1000, own) for x in zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+    want = []
+    for a in range(n):
+        rest = slice(a + 1, n)
+        meet = np.where(visits[a], ~visits[rest], visits[rest] | own[shard[a]])
+        want += [(a, int(x)) for x in np.flatnonzero((shard[rest] == shard[a]) & meet & (np.abs(t[rest] - t[a]) <= 1000) & (np.bitwise_count(h[rest] ^ h[a]) <= 8)) + a + 1]
+    assert got == want and len(want) > 1000
+
+
 def test_many_shards_far_apart_in_time():
     """Shards times the range of their instants, 1970 to 9999, exceed 64 bits by far; rows of other shards have the same fingerprint."""
     r = np.random.default_rng(4)
