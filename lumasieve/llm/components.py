@@ -2,10 +2,11 @@
 
 Each vertex draws an exponential head start from a hash of its number. Clusters grow hop by hop from the vertices
 with the largest head starts, a vertex joining the cluster that reaches it first; a level stops after HOPS hops.
-Clusters become the vertices of the next level, links between clusters its edges, until no edge is left. A link is
-cut with a chance of about 1 - exp(-BETA), so edges shrink by a constant factor each level, whatever the shape of
-the graph. Each level's assignment and edges are written to the shared folder; assignments are composed backwards,
-from the smallest level to the largest. Nothing but an emptiness flag reaches the driver.
+Clusters become the vertices of the next level, links between clusters its edges, until no edge is left. Growth
+without that stop would cut a link with a chance of about 1 - exp(-BETA); the stop, which bounds the joins of a level,
+cuts more of those in wide clusters, which the next levels join. Each level's assignment and edges are written to the
+shared folder; assignments are composed backwards, from the smallest level to the largest. Nothing but an emptiness
+flag reaches the driver.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def components(edges: DataFrame, stash: Stash) -> DataFrame:
 
     Nulls and loops link nothing; repeated and reversed edges count once. No edge gives no row.
     """
-    edges = stash.put(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    edges = stash.put(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     levels = []
     while not edges.isEmpty():
         grown = stash.put(_grow(edges, len(levels)))

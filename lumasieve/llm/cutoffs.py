@@ -67,8 +67,9 @@ class DyadicCountTree:
 
 
 def refine(scored: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(source, cutoff, kept, total): the exact score at each source's rank within its leaf."""
-    within = scored.join(leaves, ["source", "code"]).groupBy("source", "score", "rank", "above", "total").agg(F.count("*").alias("n"))
+    """(source, cutoff, kept, total): the exact score at each source's rank within its leaf. Ties are counted before they meet the leaf."""
+    ties = scored.groupBy("source", "code", "score").agg(F.count("*").alias("n"))
+    within = ties.join(leaves, ["source", "code"])
     down = Window.partitionBy("source").orderBy(F.desc("score"))
     run = within.withColumn("reach", F.sum("n").over(down))
     hit = run.where((F.col("reach") >= F.col("rank")) & (F.col("reach") - F.col("n") < F.col("rank")))
@@ -93,8 +94,28 @@ def project_cutoffs(photos: DataFrame, settings: DataFrame, stash: Stash | None
     scored = _scored(photos, stash) if scored is None else scored
     tree = DyadicCountTree(photos.sparkSession, f"{stash.root}/tree")
     tree.add_batch(scored, "0")
-    targets = settings.where("project_id is not null and keep_permille is not null").groupBy(F.col("project_id").alias("source")).agg(F.min("keep_permille").alias("permille"))
-    return refine(scored, tree.descend(targets))
+    return refine(scored, tree.descend(_targets(settings)))
+
+
+def cutoffs_after_batches(batches: list[DataFrame], settings: DataFrame, path: str) -> DataFrame:
+    """(source, cutoff, kept, total), as project_cutoffs gives them for all photos of ``batches`` together, from a tree that persists under ``path``.
+
+    Each batch's nodes are counted from that batch alone and added to the tree; the descent reads counts only. Refining a target leaf takes
+    the scores of all batches, of which only those of the leaf's code are looked at. A photo belongs to one batch.
+    """
+    spark = settings.sparkSession
+    stash, tree = Stash(spark, "cutoffs"), DyadicCountTree(spark, path)
+    scored = [_scored(b, stash) for b in batches]
+    for i, rows in enumerate(scored):
+        tree.add_batch(rows, str(i))
+    every = scored[0]
+    for more in scored[1:]:
+        every = every.unionByName(more)
+    return refine(every, tree.descend(_targets(settings)))
+
+
+def _targets(settings: DataFrame) -> DataFrame:
+    return settings.where("project_id is not null and keep_permille is not null").groupBy(F.col("project_id").alias("source")).agg(F.min("keep_permille").alias("permille"))
 
 
 def kept_photos(photos: DataFrame, settings: DataFrame) -> DataFrame:

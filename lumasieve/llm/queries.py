@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..plans.instants_sql import INSTANTS
-from ..runtime import table
+from ..runtime import Stash, table
 from .components import photo_components
-from .cutoffs import kept_photos, project_cutoffs
+from .cutoffs import cutoffs_after_batches, kept_photos, project_cutoffs
 from .encoding import count_tokens, encode_texts
 from .near_pairs import near_duplicates
 from .packing import fill_report, pack
@@ -74,7 +74,16 @@ def p3_cutoffs(spark, d):
     return cut.withColumnRenamed("source", "project_id")
 
 
-ORACLE["p3_cutoffs"] = """
+@query
+def p3_batches(spark, d):
+    """The same cutoffs from a persistent tree that takes in the undecided photos first and the decided ones as a second batch."""
+    photos = table(spark, d, "photos")
+    undecided = photos.status.eqNullSafe("pending")
+    cut = cutoffs_after_batches([photos.where(undecided), photos.where(~undecided)], table(spark, d, "project_settings"), f"{Stash(spark, 'tree').root}/tree")
+    return cut.withColumnRenamed("source", "project_id")
+
+
+ORACLE["p3_cutoffs"] = ORACLE["p3_batches"] = """
 WITH counted AS (
   SELECT DISTINCT id, project_id, blur_score FROM photos
   WHERE analysis_state = 'done' AND blur_score >= 0 AND NOT isnan(blur_score)
