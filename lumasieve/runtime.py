@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -50,17 +51,47 @@ def ship(spark: SparkSession) -> None:
     sc._lumasieve_shipped = True
 
 
+def _remove(spark: SparkSession, *paths: str) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+_scratches: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Within it, operators' intermediate tables live; at its end they are deleted. What is to stay must be written or collected by then."""
+    mine: list[str] = []
+    _scratches.append(mine)
+    try:
+        yield
+    finally:
+        _scratches.remove(mine)
+        _remove(spark, *mine)
+
+
 class Stash:
     """Tables written to the shared folder in order to cut lineage.
 
     A written table survives the loss of executors. ``drop`` frees the tables of steps that are over, so
-    that an iterative operator holds only the last of them on disk.
+    that an iterative operator holds only the last of them on disk. All are deleted at the end of the innermost
+    ``scratch`` they were made in, else when the driver ends, as results read them until then.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        if _scratches:
+            _scratches[-1].append(self.root)
+        else:
+            at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.mkdirs(at)  # only what exists can be marked
+            fs.deleteOnExit(at)
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count:04d}"
@@ -71,7 +102,4 @@ class Stash:
         return kept
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._stash_path)
-            path.getFileSystem(conf).delete(path, True)
+        _remove(self.spark, *[df._stash_path for df in frames])

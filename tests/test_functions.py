@@ -10,7 +10,7 @@ from lumasieve.operators.instants import photo_instants
 from lumasieve.operators.ordinal import ordinal
 from lumasieve.operators.records import latest
 from lumasieve.operators.similarity import clusters, connected, near_hashes, regrouped
-from lumasieve.runtime import Stash, work_dir
+from lumasieve.runtime import Stash, scratch, work_dir
 
 PHOTOS = "id string, project_id string, shot_at string, created_at string, k string, zone_name string, `__ts_p` string"
 SETTINGS = "project_id string, tz_name string, date_order string, keep_permille int, id string"
@@ -180,3 +180,15 @@ def test_stash(spark):
     stash.drop(df)
     with pytest.raises(Exception):
         spark.read.parquet(df._stash_path)
+
+
+def test_scratch(spark):
+    with scratch(spark):
+        inner = Stash(spark, "s").put(spark.range(3))
+        with scratch(spark):
+            gone = Stash(spark, "s").put(spark.range(3))
+        with pytest.raises(Exception):
+            spark.read.parquet(gone._stash_path)
+        assert inner.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(inner._stash_path)
