@@ -464,10 +464,10 @@ def _pictures(rows, key: str, levels, colours: int = 1):
 def _noise(k, x, y):
     """Levels around a tone that depends on the key, of a contrast that does too."""
     most = k % 50 * 4 + 4
-    return k * 37 % 256 + (x * 31 + y * 17 + x * y * (k % 7 + 1)) % (most + 1) - most // 2
+    return k * 37 % 256 + (x * x * x * 29 + y * y * 13 + x * y * (k % 7 + 1) + k) % 1009 % (most + 1) - most // 2
 
 
-_LEVEL = "least(255, greatest(0, {k} * 37 % 256 + (x * 31 + y * 17 + x * y * ({k} % 7 + 1)) % ({k} % 50 * 4 + 5) - ({k} % 50 * 4 + 4) // 2))"
+_LEVEL = "least(255, greatest(0, {k} * 37 % 256 + (x * x * x * 29 + y * y * 13 + x * y * ({k} % 7 + 1) + {k}) % 1009 % ({k} % 50 * 4 + 5) - ({k} % 50 * 4 + 4) // 2))"
 _SHARP = """
 pixel AS (SELECT k, w, h, x, y, {level} AS s FROM sized, range(w) a(x), range(h) b(y)),
 around AS (SELECT *, lag(s) OVER row + lead(s) OVER row + lag(s) OVER col + lead(s) OVER col - 4 * s AS response FROM pixel
