@@ -78,10 +78,14 @@ def fit_side(side: Column, other: Column, most: int) -> Column:
     return F.when(longest > cap, scaled).otherwise(side.cast("int"))
 
 
+def name_parts(name: Column) -> tuple[Column, Column]:
+    """Stem and ending of a file name; a name that begins with its only dot has no ending."""
+    return tuple(F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?\z", i) for i in (1, 2))
+
+
 def renamed(name: Column, n: Column) -> Column:
     """The n-th name for a file whose name is taken: 'stem (n).ext', for n = 0 the name itself."""
-    stem = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?\z", 1)
-    ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?\z", 2)
+    stem, ext = name_parts(name)
     return F.when(n == 0, name).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext))
 
 

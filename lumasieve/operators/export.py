@@ -8,20 +8,12 @@ import shutil
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.photo import MAX_RENAMES, renamed
+from ..functions.photo import MAX_RENAMES, name_parts, renamed
 from ..runtime import Stash, ship
 
-_NUMBERED = r"^(.*?)( \(\d+\))+(\.[^.]*)?\z"
 _PLAN = "dest string, id string, path string, name string, target string, outcome string, error string"
-
-
-def _one_by_one(taken: set[str], name: str) -> str | None:
-    stem, ext = os.path.splitext(name) if not name.startswith(".") else (name, "")
-    for n in range(MAX_RENAMES + 1):
-        new = name if n == 0 else f"{stem} ({n}){ext}"
-        if new not in taken:
-            return new
-    return None
+#: Parts in which the files of one name are ranked first.
+PARTS = 64
 
 
 def _lies_in(path: pd.Series, folder: pd.Series) -> pd.Series:
@@ -38,55 +30,57 @@ def _lies_in(path: pd.Series, folder: pd.Series) -> pd.Series:
     return pd.Series([one(p, d) for p, d in zip(path, folder)], dtype=bool)
 
 
+def _slots_taken(names: DataFrame) -> DataFrame:
+    """(dest, name, taken): by name the numbers n from 1 to 9999, in order, whose form 'stem (n).ext' is among ``names`` (dest, name) itself."""
+    stem, ext = name_parts(F.col("name"))
+    numbered = r"^(.+) \(([1-9]\d{0,3})\)\z"
+    base, n = F.concat(F.regexp_extract(stem, numbered, 1), ext), F.regexp_extract(stem, numbered, 2).cast("int")
+    forms = names.where(stem.rlike(numbered)).select("dest", "name", base.alias("base"), n.alias("n"))
+    forms = forms.where(renamed(F.col("base"), F.col("n")) == F.col("name"))
+    return forms.groupBy("dest", "base").agg(F.array_sort(F.collect_set("n")).alias("taken")).withColumnRenamed("base", "name")
+
+
 def export_plan(keeps: DataFrame, existing: DataFrame, on_disk: bool = False) -> DataFrame:
     """(dest, id, path, name, target, outcome, error): the name each kept file gets in its destination.
 
-    keeps: (dest, id, path); existing: (dest, name) of files that are there. Files of a destination take the first free of 'stem.ext', 'stem (1).ext', ...
-    up to 9999, in the order of name and id. on_disk: look at the disk to tell which files lie in the destination. outcome: exported, renamed, skipped (it lies there already) or failed (no file name, or no name left).
+    keeps: (dest, id, path); existing: (dest, name) of files that are there. A file takes its own name if that is free, else the first free of
+    'stem (1).ext', 'stem (2).ext', ... up to 9999. First each name goes to the file of smallest id that bears it; then the others are numbered, by id.
+    on_disk: look at the disk to tell which files lie in the destination. outcome: exported, renamed, skipped (it lies there already) or failed (no
+    file name, or no name left). Nulls in dest or id are left out; a null path has no file name. Repeated rows count once.
 
-    A name whose numbered forms occur nowhere else is settled by its files' ranks; of very many files of one name only the first
-    10,000 can get one. Names that do occur in numbered form are settled one by one, each family of them on its own.
+    As own names go first, a number of a name is taken if a file that is there or is exported bears it, whatever the order, so every file's target
+    follows from its rank among the files of its name. Ranks are taken in PARTS parts of a name first; of each part only as many files go on as
+    there are names in all, so no task holds more than that many for each part.
     """
     ship(keeps.sparkSession)
     stash = Stash(keeps.sparkSession, "export")
-    whole = keeps.select("dest", "id", "path").distinct()
+    whole = keeps.select("dest", "id", "path").where("dest is not null and id is not null").distinct()
     named = whole.withColumn("name", F.nullif(F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/\\]*)\z", 1), F.lit("")))
     folder = F.regexp_extract("path", r"^(.*?)[/\\]+[^/\\]*\z", 1)
     here = F.pandas_udf(_lies_in, "boolean")("path", "dest") if on_disk else folder == F.col("dest")
     early = F.when(F.col("name").isNull(), "failed").when(here, "skipped")
-    rows = stash.put(named.withColumn("early", early))
-    settled = rows.where("early is not null").select("dest", "id", "path", "name", F.lit(None).cast("string").alias("target"), F.col("early").alias("outcome"), F.when(F.col("early") == "failed", "no file name").alias("error"))
-    open_ = rows.where("early is null").drop("early")
-    family = F.when(F.col("name").rlike(_NUMBERED), F.concat(F.regexp_extract("name", _NUMBERED, 1), F.regexp_extract("name", _NUMBERED, 3))).otherwise(F.col("name"))
-    # How often each name occurs, before any file is numbered: names are far fewer bytes than paths, and counts merge early.
-    there = existing.select("dest", "name").where("name is not null").distinct().withColumn("family", family).withColumn("there", F.lit(1))
-    open_ = open_.withColumn("family", family)
-    known = open_.select("dest", "family", "name").unionByName(there.select("dest", "family", "name")).distinct()
-    tangled = known.groupBy("dest", "family").agg(F.count("*").alias("names")).where("names > 1").select("dest", "family")
-    plain = open_.join(tangled, ["dest", "family"], "left_anti")
-    by_name = Window.partitionBy("dest", "name").orderBy("id")
-    taken = there.select("dest", "name", "there").distinct()
-    ranked = plain.withColumn("n", F.row_number().over(by_name) - 1).where(F.col("n") <= MAX_RENAMES + 1)
-    first = ranked.join(taken, ["dest", "name"], "left").withColumn("n", F.col("n") + F.coalesce("there", F.lit(0)))
-    free = F.col("n") <= MAX_RENAMES
-    easy = first.select("dest", "id", "path", "name", F.when(free, renamed(F.col("name"), F.col("n"))).alias("target"), F.when(~free, "failed").when(F.col("n") == 0, "exported").otherwise("renamed").alias("outcome"), F.when(~free, "no free name").alias("error"))
-    over = plain.withColumn("n", F.row_number().over(by_name) - 1).where(F.col("n") > MAX_RENAMES + 1)
-    late = over.select("dest", "id", "path", "name", F.lit(None).cast("string").alias("target"), F.lit("failed").alias("outcome"), F.lit("no free name").alias("error"))
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        used = set(pdf.loc[pdf["id"].isna(), "name"])
-        out = []
-        for r in pdf[pdf["id"].notna()].sort_values(["name", "id"]).itertuples():
-            new = _one_by_one(used, r.name)
-            used.add(new)
-            out.append((r.dest, r.id, r.path, r.name, new, "failed" if new is None else "exported" if new == r.name else "renamed", "no free name" if new is None else None))
-        return pd.DataFrame(out, columns=["dest", "id", "path", "name", "target", "outcome", "error"], dtype=object)
-
-    ranked_hard = open_.join(tangled, ["dest", "family"], "left_semi").withColumn("n", F.row_number().over(by_name) - 1)
-    entangled = ranked_hard.where(F.col("n") <= MAX_RENAMES).drop("n").unionByName(there.drop("there").join(tangled, ["dest", "family"], "left_semi").withColumns({"id": F.lit(None).cast("string"), "path": F.lit(None).cast("string")}))
-    hard = entangled.groupBy("dest", "family").applyInPandas(settle, _PLAN)
-    lost = ranked_hard.where(F.col("n") > MAX_RENAMES).select("dest", "id", "path", "name", F.lit(None).cast("string").alias("target"), F.lit("failed").alias("outcome"), F.lit("no free name").alias("error"))
-    return settled.unionByName(easy).unionByName(late).unionByName(hard).unionByName(lost)
+    part = Window.partitionBy("dest", "name", F.pmod(F.xxhash64("id"), F.lit(PARTS))).orderBy("id", "path")
+    rows = stash.put(named.withColumn("early", early).withColumn("nth", F.when(F.col("early").isNull(), F.row_number().over(part))))
+    no_target = F.lit(None).cast("string").alias("target")
+    settled = rows.where("early is not null").select("dest", "id", "path", "name", no_target, F.col("early").alias("outcome"), F.when(F.col("early") == "failed", "no file name").alias("error"))
+    far = rows.where(F.col("nth") > MAX_RENAMES + 1).select("dest", "id", "path", "name", no_target, F.lit("failed").alias("outcome"), F.lit("no free name").alias("error"))
+    near = rows.where(F.col("nth") <= MAX_RENAMES + 1).drop("early", "nth")
+
+    there = existing.select("dest", "name").where("dest is not null and name is not null").distinct()
+    bearers = near.select("dest", "name").distinct()
+    taken = _slots_taken(bearers.unionByName(there).distinct())
+    names = bearers.join(there.withColumn("there", F.lit(1)), ["dest", "name"], "left").join(taken, ["dest", "name"], "left")
+    rank = F.row_number().over(Window.partitionBy("dest", "name").orderBy("id", "path")) - 1
+    ranked = near.withColumn("nth", rank).join(names, ["dest", "name"])
+    r = F.col("nth") + F.coalesce("there", F.lit(0))
+    # The r-th free number: each taken one that is not after it moves it on by one.
+    before = F.size(F.filter(F.coalesce("taken", F.array().cast("array<int>")), lambda x, i: x - i <= r))
+    at = F.when(r == 0, 0).otherwise(r + before)
+    free = at <= MAX_RENAMES
+    placed = ranked.select(
+        "dest", "id", "path", "name", F.when(free, renamed(F.col("name"), at)).alias("target"), F.when(~free, "failed").when(at == 0, "exported").otherwise("renamed").alias("outcome"),
+        F.when(~free, "no free name").alias("error"))
+    return settled.unionByName(placed).unionByName(far)
 
 
 def export_summary(plan: DataFrame) -> DataFrame:

@@ -370,6 +370,28 @@ def export_plan(spark, d):
     return export.export_plan(keeps, nothing).select("dest", "id", "path", "name", "target", "outcome")
 
 
+_MIXED = "CASE WHEN n < 6 THEN 'shot.jpg' WHEN n < 9 THEN 'shot (' || (n - 5) || ').jpg' WHEN n = 9 THEN 'shot' WHEN n = 10 THEN 'shot (2)' ELSE 'shot (1) (1).jpg' END"
+
+
+@query(rf"""
+WITH keeps AS (SELECT DISTINCT project_id AS dest, id, ascii(id) % 12 AS n FROM photos),
+named AS (SELECT dest, id, {_MIXED} AS name FROM keeps),
+there AS (SELECT id AS dest, unnest(['shot (2).jpg', 'shot', 'shot (5).jpg']) AS name FROM projects),
+known AS (SELECT dest, name FROM named UNION SELECT dest, name FROM there),
+forms AS (SELECT dest, regexp_replace(name, '^(.+) \((\d+)\)(\.[^.]*)?$', '\1\3') AS name, regexp_extract(name, '^(.+) \((\d+)\)(\.[^.]*)?$', 2)::INT AS k FROM known WHERE regexp_matches(name, '^(.+) \((\d+)\)(\.[^.]*)?$')),
+blocked AS (SELECT dest, name, list_sort(list(DISTINCT k)) AS taken FROM forms GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dest, name ORDER BY id) - 1 + ((dest, name) IN (FROM there))::INT AS r FROM named),
+placed AS (SELECT dest, id, name, CASE WHEN r = 0 THEN 0 ELSE r + len(list_filter(coalesce(taken, []), lambda x, i: x - (i - 1) <= r)) END AS k FROM ranked LEFT JOIN blocked USING (dest, name))
+SELECT dest, id, name, CASE WHEN k > 9999 THEN NULL WHEN k = 0 THEN name ELSE regexp_replace(name, '^(.+?)(\.[^.]*)?$', '\1 (' || k || ')\2') END AS target, CASE WHEN k > 9999 THEN 'failed' WHEN k = 0 THEN 'exported' ELSE 'renamed' END AS outcome FROM placed
+""")
+def export_numbered(spark, d):
+    """Names of which some are numbered forms of others, in folders where some are taken."""
+    photos = table(spark, d, "photos").select(F.col("project_id").alias("dest"), "id", (F.ascii("id") % 12).alias("n"))
+    keeps = photos.select("dest", "id", F.expr(f"concat('/x/', {_MIXED})").alias("path"))
+    there = table(spark, d, "projects").select(F.col("id").alias("dest"), F.explode(F.array(*map(F.lit, ("shot (2).jpg", "shot", "shot (5).jpg")))).alias("name"))
+    return export.export_plan(keeps, there).select("dest", "id", "name", "target", "outcome")
+
+
 @query(f"WITH {_PLANNED} SELECT dest, count(*) AS exported, count(*) FILTER (n > 0) AS renamed, 0::BIGINT AS skipped, 0::BIGINT AS failed FROM planned GROUP BY dest")
 def export_summary(spark, d):
     keeps = table(spark, d, "photos").where("status = 'keep'").select(F.col("project_id").alias("dest"), "id", "path")
