@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.photo import group_params, hamming, parse_phash, set_digest
 from ..runtime import Stash
+from .ordinal import ordinal
 
 # The method's name and the largest distance of similar hashes.
 METHOD, THRESHOLD = "phash_burst", 8
@@ -117,3 +118,8 @@ def regrouped(photos: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     ids = stash.put(ids)
     groups = ids.select(F.col("group_id").alias("id"), "project_id", F.lit(METHOD).alias("method"), group_params(threshold).alias("params"))
     return groups, found.join(ids, ["project_id", "root"]).select("group_id", F.col("id").alias("photo_id"))
+
+
+def member_order(members: DataFrame) -> DataFrame:
+    """(group_id, pos, photo_id): the members of each group numbered by id, byte by byte, each once; the sorted list in flat form, for groups of any size."""
+    return ordinal(members.select("group_id", "photo_id").distinct(), ["group_id"], [F.asc("photo_id")], "pos").select("group_id", "pos", "photo_id")

@@ -226,6 +226,11 @@ def group_members(spark, d):
     return similarity.regrouped(table(spark, d, "photos"))[1]
 
 
+@query("SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY photo_id) AS pos, photo_id FROM (SELECT DISTINCT group_id, photo_id FROM group_members)")
+def member_order(spark, d):
+    return similarity.member_order(table(spark, d, "group_members"))
+
+
 @query("""
 WITH sizes AS (SELECT group_id, count(*) AS n FROM (SELECT DISTINCT group_id, photo_id FROM group_members) GROUP BY group_id)
 SELECT project_id, count(*) AS groups, sum(n)::BIGINT AS grouped_photos FROM similar_groups JOIN sizes ON id = group_id WHERE method = 'phash_burst' GROUP BY project_id

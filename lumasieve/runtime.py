@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -58,18 +59,18 @@ def _remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-_scratches: list[list[str]] = []
+_local = threading.local()  # a scratch holds what its own thread makes
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Within it, operators' intermediate tables live; at its end they are deleted. What is to stay must be written or collected by then."""
-    mine: list[str] = []
-    _scratches.append(mine)
+    outer, mine = getattr(_local, "tables", None), []
+    _local.tables = mine
     try:
         yield
     finally:
-        _scratches.remove(mine)
+        _local.tables = outer
         _remove(spark, *mine)
 
 
@@ -85,8 +86,9 @@ class Stash:
         self.spark = spark
         self.root = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
-        if _scratches:
-            _scratches[-1].append(self.root)
+        tables = getattr(_local, "tables", None)
+        if tables is not None:
+            tables.append(self.root)
         else:
             at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
             fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

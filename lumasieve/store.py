@@ -1,7 +1,8 @@
 """The stored tables: append-only logs in Parquet under one folder, read as latest-wins views.
 
 Photos, statuses, results of analysis, openings and deletions of projects are logs; a change is a row more. Groups are written as whole versions per
-project and method, and a small pointer file is swapped when a version is complete, so a reader sees the old groups or the new ones.
+project and method, and a small pointer file is swapped when a version is complete, so a reader sees the old groups or the new ones. The logs that
+grow with the photos are partitioned by project, so a project's views read its own files alone; ``compact`` merges these.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import json
 import os
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .errors import Invalid, StoreError
 from .operators import records
@@ -23,9 +24,11 @@ _LOGS = {
     "openings": "id string, seq bigint, at string",
     "deletions": "id string, seq bigint",
     "photos": "id string, project_id string, path string, created_at string",
-    "statuses": "id string, seq bigint, status string",
-    "outcomes": f"{OUTCOMES}, seq bigint",
+    "statuses": "id string, seq bigint, status string, project_id string",
+    "outcomes": f"{OUTCOMES}, seq bigint, project_id string",
 }
+_BY_PROJECT = ("photos", "statuses", "outcomes")
+LAYOUT = 2
 _counter = itertools.count()
 
 
@@ -43,23 +46,28 @@ class Store:
 
     # --- schema version
 
-    def version(self) -> int:
+    def _described(self) -> dict:
         try:
             with open(f"{self.root}/schema.json") as f:
-                return json.load(f)["version"]
+                return json.load(f)
         except FileNotFoundError:
-            return 0
+            return {"version": 0}
+
+    def version(self) -> int:
+        return self._described()["version"]
 
     def migrate(self) -> None:
-        """Bring the folder to SCHEMA_VERSION; each step is recorded when it is complete, and none runs twice."""
+        """Bring the folder to SCHEMA_VERSION; each step is recorded when it is complete, and none runs twice. A folder of another layout is an error."""
+        if self.version() == SCHEMA_VERSION and self._described().get("layout") != LAYOUT:
+            raise StoreError("the store has another layout")
         if self.version() > SCHEMA_VERSION:
             raise StoreError(f"the store has version {self.version()}, newer than {SCHEMA_VERSION}")
         for step in range(self.version() + 1, SCHEMA_VERSION + 1):
             if step == SCHEMA_VERSION:
-                for name, schema in _LOGS.items():
-                    self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{name}")
+                for name in _LOGS:
+                    os.makedirs(f"{self.root}/{name}", exist_ok=True)
             os.makedirs(self.root, exist_ok=True)
-            self._swap("schema.json", {"version": step})
+            self._swap("schema.json", {"version": step, "layout": LAYOUT})
 
     def _swap(self, name: str, content: dict) -> None:
         path = f"{self.root}/{name}"
@@ -69,13 +77,14 @@ class Store:
 
     # --- logs
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_LOGS[name]).parquet(f"{self.root}/{name}")
+    def read(self, name: str, project: str | None = None) -> DataFrame:
+        """A log, or of a log by project the part of one; the other projects' files aren't looked at."""
+        rows = self.spark.read.schema(_LOGS[name]).parquet(f"{self.root}/{name}")
+        return rows if project is None else rows.where(F.col("project_id") == project)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        schema = T._parse_datatype_string(_LOGS[name]) if hasattr(T, "_parse_datatype_string") else None
-        names = schema.fieldNames() if schema else [x.split()[0] for x in _LOGS[name].split(", ")]
-        rows.select(*names).write.mode("append").parquet(f"{self.root}/{name}")
+        out = rows.select(*[x.split()[0] for x in _LOGS[name].split(", ")]).write.mode("append")
+        (out.partitionBy("project_id") if name in _BY_PROJECT else out).parquet(f"{self.root}/{name}")
 
     def add(self, name: str, *rows: tuple) -> None:
         self.append(name, self.spark.createDataFrame(list(rows), _LOGS[name]))
@@ -86,20 +95,52 @@ class Store:
         opened = self.read("openings").groupBy("id").agg(F.max_by("at", "seq").alias("last_opened_at"))
         return self.read("projects").join(self.read("deletions"), "id", "left_anti").join(opened, "id", "left")
 
+    def known(self, project: str | None = None) -> DataFrame:
+        """(id, project_id, path, status, created_at) of the photos that were taken in, by the photos' log alone; their status is left open."""
+        return self.read("photos", project).withColumn("status", F.lit("pending"))
+
+    def project_of(self, photo: str) -> str | None:
+        """The project of a photo, if that is still there."""
+        gone = self.read("deletions").select(F.col("id").alias("project_id"))
+        row = self.read("photos").where(F.col("id") == photo).join(gone, "project_id", "left_anti").first()
+        return row and row.project_id
+
     def photos(self, project: str | None = None) -> DataFrame:
-        base = self.read("photos").join(self.read("deletions").select(F.col("id").alias("project_id")), "project_id", "left_anti")
-        if project is not None:
-            base = base.where(F.col("project_id") == project)
+        """Photos with the last state of everything, of all projects or of one."""
+        base = self.read("photos", project).join(self.read("deletions").select(F.col("id").alias("project_id")), "project_id", "left_anti")
         empty = {f.name: F.lit(None).cast(f.dataType) for f in PHOTOS.fields}
         wide = base.withColumns({c: v for c, v in empty.items() if c not in base.columns}).withColumns({"status": F.lit("pending"), "analysis_state": F.lit("pending")})
-        values = [n for n in self.read("outcomes").columns if n not in ("id", "seq")]
-        log = self.read("outcomes")
+        log = self.read("outcomes", project).drop("project_id")
+        values = [n for n in log.columns if n not in ("id", "seq")]
         # A failure leaves the values of the last success.
         good = records.latest(log.where("ok"), ["id"], ["seq"], values)
         last = records.latest(log, ["id"], ["seq"], ["ok", "error"])
         done = records.with_analysis(wide, good)
         failed = records.with_analysis(done, last.where("not ok").select("id", "ok", "error", *[F.lit(None).cast(PHOTOS[c].dataType).alias(c) for c in values if c not in ("ok", "error")]))
-        return records.with_status(failed, self.read("statuses")).select(*PHOTOS.fieldNames())
+        return records.with_status(failed, self.read("statuses", project)).select(*PHOTOS.fieldNames())
+
+    def compact(self, project: str) -> None:
+        """Merge a project's logs: one row a photo of photos and statuses, its last success and last outcome of outcomes, in few files.
+
+        The merged rows are added before the old files go, and say nothing new, so a view is right at any time; a reader that has listed the old files
+        already must start again. Not to be run beside writers of the project.
+        """
+        for name in _BY_PROJECT:
+            folder = f"{self.root}/{name}/project_id={project}"
+            old = [f"{folder}/{n}" for n in os.listdir(folder)] if os.path.isdir(folder) else []
+            rows = self.read(name, project)
+            rest = [c for c in rows.columns if c != "id"]
+            if name == "outcomes":
+                ranked = rows.withColumn("ok_", F.col("ok"))
+                merged = records.latest(ranked, ["id", "ok_"], ["seq"], rest).drop("ok_")
+            elif name == "statuses":
+                merged = records.latest(rows, ["id"], ["seq"], rest)
+            else:
+                merged = rows.groupBy("id").agg(F.min(F.struct("created_at", "path", "project_id")).alias("v")).select("id", "v.*")
+            if len(old) > 1:
+                self.append(name, merged)
+                for path in old:
+                    os.remove(path)
 
     # --- groups
 
@@ -110,10 +151,14 @@ class Store:
         except FileNotFoundError:
             return None
 
-    def replace_groups(self, project: str, method: str, groups: DataFrame, members: DataFrame) -> None:
+    def write_groups(self, project: str, method: str, groups: DataFrame, members: DataFrame) -> str:
+        """Write a version of a project's groups, which no reader sees before ``use_groups``."""
         version = f"{project}.{method}.{next_seq()}"
         groups.write.parquet(f"{self.root}/groups/{version}/groups")
         members.write.parquet(f"{self.root}/groups/{version}/members")
+        return version
+
+    def use_groups(self, project: str, method: str, version: str) -> None:
         self._swap(f"groups/{project}.{method}.json", {"version": version})
 
     def groups(self, project: str, method: str) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ def ingest(found: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Insert-if-absent of a stream of found files. A batch that runs again inserts nothing twice, for ids come from project and path."""
 
     def take(batch: DataFrame, _: int) -> None:
-        new = records.insert_if_absent(records.supported(batch), store.photos(), now()).where("is_new")
+        new = records.insert_if_absent(records.supported(batch), store.known(), now()).where("is_new")
         store.append("photos", new)
 
     return found.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -37,7 +37,8 @@ def apply_statuses(stream: DataFrame, store: Store, checkpoint: str) -> Streamin
 
     def take(batch: DataFrame, _: int) -> None:
         last = records.latest(batch.where(F.col("status").isin(*records.STATUSES)), ["id"], ["at", "status"], ["status"])
-        store.append("statuses", last.withColumn("seq", F.lit(next_seq())))
+        known = store.known().select("id", "project_id").distinct()
+        store.append("statuses", last.join(known, "id").withColumn("seq", F.lit(next_seq())))
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

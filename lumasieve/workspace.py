@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .errors import AnalyzerError, FileError, Invalid, NotFound
 from .operators import browse, export, records, similarity
 from .operators.analysis import analyse
+from .operators.ordinal import ordinal
 from .operators.transcode import MOST, transcode_file
+from .runtime import Stash, scratch
 from .schema import STATUSES
 from .sources.media_files import media_files
 from .store import Store, next_seq
@@ -115,27 +117,30 @@ class Workspace:
             raise NotFound(f"folder {folder}")
         self.progress("import", 0, None, "running")
         try:
-            files = media_files(self.spark, folder)
-            found = records.supported(files.where("error is null")).select(F.lit(project).alias("project_id"), "path")
+            # The folder is walked once; counts, inserts and the photos that come back go by that listing.
+            files = Stash(self.spark, "scan").put(media_files(self.spark, folder))
+            found = records.supported(files.where("error is null")).select(F.lit(project).alias("project_id"), "path").distinct()
+            total, skipped = found.count(), files.where("error is not null").count()
+            self.progress("import", 0, total, "running")
             with self._writing:
-                stored = records.insert_if_absent(found, self.store.photos(project), now())
+                stored = records.insert_if_absent(found, self.store.known(project), now())
                 self.store.append("photos", stored.where("is_new"))
-            photos = self.store.photos(project).join(found.select("path").distinct(), "path", "left_semi")
-            counts = files.agg(F.count_if(F.col("error").isNotNull())).first()[0], photos.count()
+            photos = self.store.photos(project).join(found.select("path"), "path", "left_semi")
         except BaseException:
             self.progress("import", 0, None, "error")
             raise
-        self.progress("import", counts[1], counts[1], "done")
-        return Scan(photos, counts[1], counts[0])
+        self.progress("import", total, total, "done")
+        return Scan(photos, total, skipped)
 
     def set_status(self, photo: str, status: str) -> None:
         """Of this photo alone, whatever project is open; the last of several settings counts."""
         if status not in STATUSES:
             raise Invalid(f"status {status}")
-        if self.store.photos().where(F.col("id") == photo).isEmpty():
+        project = self.store.project_of(photo)
+        if project is None:
             raise NotFound(f"photo {photo}")
         with self._writing:
-            self.store.add("statuses", (photo, next_seq(), status))
+            self.store.add("statuses", (photo, next_seq(), status, project))
 
     # --- analysis
 
@@ -147,29 +152,43 @@ class Workspace:
         try:
             project = self._open()
             self._cancel.clear()
-            total, result, seen = self.store.photos(project).where("analysis_state = 'pending'").count(), Analysis(), 0
-            while not self._cancel.is_set():
-                step = self.store.photos(project).where("analysis_state = 'pending'").select("id", "path").orderBy("id").limit(self.batch)
-                if step.isEmpty():
-                    break
-                try:
-                    seq = next_seq()
-                    spread = step.repartition(self.spark.sparkContext.defaultParallelism)
-                    with self._writing:
-                        self.store.append("outcomes", analyse(spread, **thresholds).withColumn("seq", F.lit(seq)))
-                except Exception as e:
-                    self.progress("analyze", seen, total, "error")
-                    raise AnalyzerError(str(e)) from e
-                made = self.store.read("outcomes").where(F.col("seq") == seq).agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
-                result.analyzed, result.failed = result.analyzed + made[0], result.failed + made[1]
-                seen += made[0] + made[1]
-                self.progress("analyze", seen, total, "running")
-            result.cancelled = self._cancel.is_set()
-            self.progress("analyze", seen, total, "cancelled" if result.cancelled else "done")
-            return result
+            with scratch(self.spark):
+                return self._analyse_all(project, thresholds)
         finally:
             self._analysing.release()
 
+    def _analyse_all(self, project: str, thresholds: dict) -> Analysis:
+        """The pending photos are listed and cut into steps once. A step's outcomes are made aside, and only added to the log under the lock."""
+        stash, result, seen = Stash(self.spark, "analysis"), Analysis(), 0
+        pending = self.store.photos(project).where("analysis_state = 'pending'").select("id", "path")
+        steps = ordinal(pending, [], [F.asc("id")], "pos").select("id", "path", F.expr(f"(pos - 1) div {self.batch}").alias("step"))
+        steps = stash.put(steps.repartition("step"))
+        total = steps.count()
+        for step in range(-(-total // self.batch)):
+            if self._cancel.is_set():
+                break
+            try:
+                spread = steps.where(F.col("step") == step).select("id", "path").repartition(self.spark.sparkContext.defaultParallelism)
+                made = stash.put(analyse(spread, **thresholds).withColumns({"seq": F.lit(next_seq()), "project_id": F.lit(project)}))
+                counts = made.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
+                with self._writing:
+                    self.store.append("outcomes", made)
+            except Exception as e:
+                self.progress("analyze", seen, total, "error")
+                raise AnalyzerError(str(e)) from e
+            stash.drop(made)
+            result.analyzed, result.failed = result.analyzed + counts[0], result.failed + counts[1]
+            seen += counts[0] + counts[1]
+            self.progress("analyze", seen, total, "running")
+        result.cancelled = self._cancel.is_set()
+        self.progress("analyze", seen, total, "cancelled" if result.cancelled else "done")
+        return result
+
+    def compact(self) -> None:
+        """Merge the logs of the open project, which many single settings and steps leave in small files."""
+        with self._writing:
+            self.store.compact(self._open())
+
     def cancel_analysis(self) -> None:
         self._cancel.set()
 
@@ -182,9 +201,10 @@ class Workspace:
         try:
             project = self._open()
             self.progress("group", 0, None, "running")
-            groups, members = similarity.regrouped(self.store.photos(project))
+            with scratch(self.spark):
+                version = self.store.write_groups(project, similarity.METHOD, *similarity.regrouped(self.store.photos(project)))
             with self._writing:
-                self.store.replace_groups(project, similarity.METHOD, groups, members)
+                self.store.use_groups(project, similarity.METHOD, version)
             groups, members = self.store.groups(project, similarity.METHOD)
             self.progress("group", 1, 1, "done")
             return Grouping(groups.count(), members.count())
@@ -211,7 +231,8 @@ class Workspace:
         keeps = self.store.photos(project).where("status = 'keep'").select(F.lit(folder).alias("dest"), "id", "path")
         there = self.spark.createDataFrame([(folder, n) for n in os.listdir(folder)], "dest string, name string")
         target = f"{self.root}/exports/{next_seq()}"
-        export.copy_planned(export.export_plan(keeps, there, on_disk=True)).write.parquet(target)
+        with scratch(self.spark):
+            export.copy_planned(export.export_plan(keeps, there, on_disk=True)).write.parquet(target)
         done = self.spark.read.parquet(target)
         total = export.export_summary(done).first()
         failed = [(r.path, r.error) for r in done.where("outcome = 'failed'").orderBy("path").select("path", "error").collect()]
@@ -221,8 +242,8 @@ class Workspace:
         """Path of a photo's display copy, made if there is none of its present state."""
         import hashlib
 
-        row = self.store.photos().where(F.col("id") == photo).select("path").first()
-        if row is None:
+        row = self.store.known().where(F.col("id") == photo).select("path").first()
+        if row is None or self.store.project_of(photo) is None:
             raise NotFound(f"photo {photo}")
         try:
             key = hashlib.sha256(f"{row.path}|{os.stat(row.path).st_mtime_ns}".encode()).hexdigest()

@@ -264,13 +264,24 @@ def test_store_version(spark, tmp_path):
 def test_failure_keeps_earlier_values(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/s")
     store.add("photos", ("i", "p", "/a.jpg", "t"))
-    store.add("outcomes", ("i", True, "2020", 5.0, False, 0.5, "normal", "ff", None, 1))
-    store.add("outcomes", ("i", False, None, None, None, None, None, None, "E: x", 2))
+    store.add("outcomes", ("i", True, "2020", 5.0, False, 0.5, "normal", "ff", None, 1, "p"))
+    store.add("outcomes", ("i", False, None, None, None, None, None, None, "E: x", 2, "p"))
     row = store.photos().first()
     assert (row.analysis_state, row.analysis_error, row.phash, row.blur_score) == ("failed", "E: x", "ff", 5.0)
-    store.add("outcomes", ("i", True, None, 6.0, False, 0.5, "normal", "ee", None, 3))
+    store.add("outcomes", ("i", True, None, 6.0, False, 0.5, "normal", "ee", None, 3, "p"))
     row = store.photos().first()
     assert (row.analysis_state, row.analysis_error, row.phash, row.shot_at) == ("done", None, "ee", None)
+    store.add("outcomes", ("i", False, None, None, None, None, None, None, "E: y", 4, "p"))
+    store.add("statuses", ("i", 1, "reject", "p"))
+    store.add("statuses", ("i", 2, "keep", "p"))
+    store.add("photos", ("j", "q", "/b.jpg", "t"))
+    before = {r.id: r for r in store.photos().collect()}
+    for _ in range(2):
+        store.compact("p")
+        assert {r.id: r for r in store.photos().collect()} == before and before["i"].status == "keep" and before["i"].phash == "ee"
+    assert [len([n for n in os.listdir(f"{tmp_path}/s/{x}/project_id=p") if n.endswith(".parquet")]) for x in ("photos", "statuses", "outcomes")] == [1, 1, 2] or store.read("outcomes").count() == 2
+    assert "PartitionFilters: [isnotnull(project_id" in store.photos("p")._jdf.queryExecution().executedPlan().toString()
+    assert store.project_of("j") == "q" and store.project_of("none") is None
 
 
 def test_streams(spark, tmp_path):
