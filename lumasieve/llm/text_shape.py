@@ -106,15 +106,16 @@ def _cells(parts: list[str], most: int = 9, usual: float = 5) -> bool:
     return bool(sizes) and max(sizes) <= most and sum(sizes) <= usual * len(sizes)
 
 
-def _line(s: str) -> tuple[str, int]:
-    """Class of a line by itself, and the number of its characters that aren't blank.
+def _line(s: str) -> tuple[str, int, bool]:
+    """Class of a line by itself, the number of its characters that aren't blank, and whether it is bare: of few words, and without the end of a sentence.
 
     The class is list, table, junk, gaps, tight, named or loose (fields or items in one line), mark (an item that is a sentence), or ''.
     """
     body = s.strip()
     tokens = body.split()
     solid = "".join(tokens)
-    return _class(s, body, tokens, solid, len(solid)), len(solid)
+    words = len(tokens) if body.isascii() else n_words(body)
+    return _class(s, body, tokens, solid, len(solid)), len(solid), words <= 9 and not (words >= 6 and ends_sentence(body))
 
 
 def _class(s: str, body: str, tokens: list[str], solid: str, n: int) -> str:
@@ -162,12 +163,6 @@ def _class(s: str, body: str, tokens: list[str], solid: str, n: int) -> str:
     return ""
 
 
-def _bare(s: str) -> bool:
-    """A line of few words that doesn't end like a sentence."""
-    words = n_words(s)
-    return words <= 9 and not (words >= 6 and ends_sentence(s))
-
-
 def _itemised(run: list[str]) -> bool:
     """Whether bare lines are items of their own, rather than sentences broken at some width."""
     inner = sum(bool(SENTENCE.search(x.rstrip()[:-2])) for x in run)
@@ -293,14 +288,13 @@ class Letters:
 def _shares(lines: list[str], blocks: list[int]) -> tuple[float, ...]:
     """EVIDENCE of a text's lines, and the share of its characters in bare lines. blocks: numbers of the lines that follow a blank one."""
     classes = [_line(x) for x in lines]
-    kinds, weights = [k for k, _ in classes], [w for _, w in classes]
+    kinds, weights, short = ([c[i] for c in classes] for i in range(3))
     # Lines between rows of aligned columns are rows too, with empty columns.
     for a, b in zip(blocks, [*blocks[1:], len(lines)]):
         rows = kinds[a:b].count("gaps")
         if rows >= 3 and rows >= 0.3 * (b - a):
             kinds[a:b] = ["table" if k in ("", "gaps", "list", "loose", "named", "rule") and n_words(x) <= 30 else k for k, x in zip(kinds[a:b], lines[a:b])]
     # Runs of bare lines are items, one to a line; so are fields and gaps that neighbours confirm.
-    short = [_bare(x) for x in lines]
     bare = [b and k in ("", "loose", "list", "rule") for k, b in zip(kinds, short)]
     i = 0
     while i < len(lines):
