@@ -4,11 +4,13 @@
     spark.read.format("media_files").option("path", "/pictures").load()
 
 Rows: path, size, mtime_ns, error. A file or folder that can't be read is a row with an error and stops nothing. Links are neither followed nor
-taken. Each folder below the root is a partition of its own where there are several; files of the root itself are one more.
+taken. The uppermost folders are taken apart, breadth first, until there are PARTS partitions: a folder taken apart is one for its own files, each
+of its subfolders one with all below it.
 """
 
 from __future__ import annotations
 
+import collections
 import os
 import stat
 
@@ -17,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..runtime import ship
 
+#: Partitions to aim at; the driver looks into no more folders than that.
+PARTS = 256
 SCHEMA = "path string, size bigint, mtime_ns bigint, error string"
 
 
@@ -48,11 +52,15 @@ class _Reader(DataSourceReader):
         self.root = root
 
     def partitions(self):
-        try:
-            below = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        except OSError:
-            below = []
-        return [Folder(self.root, False), *[Folder(p, True) for p in below]]
+        whole, own = collections.deque([self.root]), []
+        while whole and len(whole) + len(own) < PARTS:
+            folder = whole.popleft()
+            own.append(folder)
+            try:
+                whole.extend(sorted(e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)))
+            except OSError:  # its partition will tell
+                pass
+        return [Folder(p, False) for p in own] + [Folder(p, True) for p in whole]
 
     def read(self, partition):
         yield from _walk(partition.path, partition.deep)

@@ -98,6 +98,12 @@ def test_media_files(spark, tmp_path):
     files = media_files(spark, str(tmp_path))
     assert {os.path.relpath(r.path, tmp_path) for r in files.collect()} == {"_DSC1.jpg", ".d.png", "a.JPG", "_x/b.heic", "note.txt", "sub/deep/c.jpeg"}
     assert tuple(scan_summary(files).first()) == (6, 0)
+    deep = tmp_path / "down"
+    for i in range(300):
+        (deep / str(i)).mkdir(parents=True)
+        (deep / str(i) / "x.jpg").write_bytes(b"x")
+    wide = media_files(spark, str(deep))
+    assert wide.count() == 300 and wide.select("path").distinct().count() == 300 and wide.rdd.getNumPartitions() > 256
     assert tuple(scan_summary(media_files(spark, str(tmp_path / "none"))).first()) == (0, 1)
 
 
