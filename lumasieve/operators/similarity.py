@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.photo import group_params, hamming, parse_phash, set_digest
-from ..runtime import Stash
+from ..functions.photo import group_params, parse_phash, set_digest
+from ..functions.pigeonholes import near
+from ..runtime import Stash, ship
 from .ordinal import ordinal
 
 # The method's name and the largest distance of similar hashes.
 METHOD, THRESHOLD = "phash_burst", 8
+#: Hashes of a project from which on it is parted into blocks, and into how many at most.
+BLOCK, MOST_BLOCKS = 50_000, 32
+_CELL = ["project_id", "i", "j"]
 
 
 def hashes(photos: DataFrame) -> DataFrame:
@@ -18,41 +25,88 @@ def hashes(photos: DataFrame) -> DataFrame:
     return rows.where("h is not null and project_id is not null and id is not null").distinct()
 
 
-def _pieces(threshold: int) -> list[int]:
-    """Masks of threshold + 2 pieces of the 64 bits: two hashes within the threshold agree in two pieces at least."""
-    n = threshold + 2
-    edges = [64 * i // n for i in range(n + 1)]
-    return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def near_hashes(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def _near_cells(threshold: int, extra: bool, names: list[str]):
+    def pairs_of(rows: pa.Table):
+        changed = np.flatnonzero(_changes(rows)) + 1
+        edges = np.concatenate([[0], changed, [len(rows)]])
+        h, side, project = rows["h"].to_numpy(), rows["side"].to_numpy(), rows["project_id"].combine_chunks()
+        n = rows["n"].to_numpy() if extra else None
+        held, many = [], 0
+
+        def flush():
+            i, j = (np.concatenate(x) for x in zip(*held))
+            a, b = np.where(h[i] < h[j], i, j), np.where(h[i] < h[j], j, i)
+            for lo in range(0, len(a), 50_000):
+                x, y = a[lo : lo + 50_000], b[lo : lo + 50_000]
+                distance = np.bitwise_count((h[x] ^ h[y]).view(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([project.take(pa.array(x)), pa.array(h[x]), pa.array(h[y]), pa.array(distance)] + ([pa.array(n[x]), pa.array(n[y])] if extra else []), names=names)
+
+        for lo, hi in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
+            own, cross = h[lo:hi].view(np.uint64), side[hi - 1] == 1
+            mid = int(np.searchsorted(side[lo:hi], 1))
+            for i, j in near(own[:mid], own[mid:], threshold) if cross else near(own, None, threshold):
+                if len(i):
+                    held.append((i + lo, j + lo + (mid if cross else 0)))
+                    many += len(i)
+                    if many >= 50_000:
+                        yield from flush()
+                        held, many = [], 0
+        if held:
+            yield from flush()
+
+    def run(batches):
+        # Rows come ordered by cell; those up to the last change of cell can go.
+        held: list = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            before = held[-1:]
+            changed = np.flatnonzero(_changes(pa.Table.from_batches([*[x.slice(x.num_rows - 1) for x in before], b]))) + 1 - len(before)
+            if not len(changed):
+                held.append(b)
+                continue
+            cut = int(changed[-1])
+            yield from pairs_of(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            held = [b.slice(cut)]
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
+
+    return run
+
+
+def _changes(rows: pa.Table) -> np.ndarray:
+    """For each row but the last, whether the next one is of another cell."""
+    changed = np.zeros(max(0, len(rows) - 1), bool)
+    for c in _CELL:
+        x = rows[c].combine_chunks()
+        changed |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+    return changed
+
+
+def near_hashes(classes: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(project_id, a, b, distance), a < b: pairs of different hashes of a project within the threshold.
 
-    classes: (project_id, h), each once, so copies of a hash don't multiply; a number n of each comes out again as n_a and n_b. Hashes meet in
-    an equi-join on two of threshold + 2 pieces (45 keys of some 13 bits for a threshold of 8). Of N evenly spread hashes of a project some
-    N * N / 290 pairs meet (measured: 347,486 of 10,000 hashes, 34,785,572 of 100,000). Of the keys in which a pair agrees only the first counts, so that
-    pairs need no second shuffle to become unique.
+    classes: (project_id, h), each once, a written table; so copies of a hash don't multiply. A number n of each comes out again as n_a and n_b.
+    A project of up to ``block`` hashes goes to one cell. Those of a larger one are parted into blocks, and each two blocks, and each with itself, meet in a
+    cell of their own, so a hash is sent as often as there are blocks: at most MOST_BLOCKS times, beyond which blocks grow. In a cell, hashes meet by
+    pigeonholes (``functions.pigeonholes``): of N evenly spread hashes some N * N / 290 pairs, in arrays of bounded size. Nothing is joined but the few large projects.
     """
     if threshold > 14:
         raise ValueError("pieces of less than four bits don't narrow anything down")
-    masks = _pieces(threshold)
-    keys = [(p, q) for q in range(1, len(masks)) for p in range(q)]
+    ship(classes.sparkSession)
     extra = [c for c in classes.columns if c == "n"]
-    bits = F.array(*[F.col("h").bitwiseAND(F.lit(_signed(masks[p] | masks[q]))) for p, q in keys])
-    cut = classes.select("project_id", "h", *extra, F.posexplode(bits).alias("key", "bits"))
-    side = lambda end: cut.select("project_id", "key", "bits", F.col("h").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in extra])
-    distance = hamming(F.col("a"), F.col("b"))
-    met = side("a").join(side("b"), ["project_id", "key", "bits"]).where((F.col("a") < F.col("b")) & (distance <= threshold))
-    # The first two pieces in which a pair agrees, as the number of a key: plain arithmetic, so the join stays in generated code.
-    differing = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(None).cast("int")
-    for i in reversed(range(len(keys))):
-        first = F.when(differing.bitwiseAND(F.lit(_signed(masks[keys[i][0]] | masks[keys[i][1]]))) == 0, i).otherwise(first)
-    return met.where(F.col("key") == first).select("project_id", "a", "b", distance.alias("distance"), *[f"{c}_{e}" for c in extra for e in "ab"])
+    rows = classes.where("project_id is not null and h is not null").select("project_id", "h", *extra)
+    large = rows.groupBy("project_id").agg(F.count("*").alias("rows")).where(F.col("rows") > block)
+    large = large.select("project_id", F.least(F.ceil(F.col("rows") / block), F.lit(MOST_BLOCKS)).cast("int").alias("blocks"))
+    # At most one row in ``block`` of the table's: the one side that is always small enough to send.
+    placed = rows.join(F.broadcast(large), "project_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") > k).cast("int").alias("side")))
+    cells = placed.withColumn("own", own).withColumn("at", F.explode(meets)).select("project_id", "at.i", "at.j", "at.side", "h", *extra)
+    cells = cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "side")
+    ends = [f"{c}_{e}" for c in extra for e in "ab"]
+    kind = classes.schema["project_id"].dataType.simpleString()
+    return cells.mapInArrow(_near_cells(threshold, bool(extra), ["project_id", "a", "b", "distance", *ends]), f"project_id {kind}, a bigint, b bigint, distance int" + "".join(f", {e} bigint" for e in ends))
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:

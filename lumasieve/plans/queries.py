@@ -184,9 +184,8 @@ FROM classes a JOIN classes b ON a.project_id = b.project_id AND a.h < b.h AND b
 def near_hashes(spark, d):
     """Pairs between different hashes of a project, with the number of photos that carry each."""
     classes = Stash(spark, "classes").put(similarity.hashes(table(spark, d, "photos")).groupBy("project_id", "h").agg(F.count("*").alias("n")))
-    pairs = similarity.near_hashes(classes.select("project_id", "h"))
-    size = lambda end: classes.select("project_id", F.col("h").alias(end), F.col("n").alias(f"photos_{end}"))
-    return pairs.join(size("a"), ["project_id", "a"]).join(size("b"), ["project_id", "b"]).select("project_id", "a", "b", "distance", "photos_a", "photos_b")
+    pairs = similarity.near_hashes(classes)
+    return pairs.select("project_id", "a", "b", "distance", F.col("n_a").alias("photos_a"), F.col("n_b").alias("photos_b"))
 
 
 _CLUSTERS = f"""

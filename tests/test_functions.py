@@ -192,3 +192,51 @@ def test_scratch(spark):
         assert inner.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(inner._stash_path)
+
+
+def test_near_hashes_small_driver(spark):
+    """No number of copies of a row for its keys is hidden from Spark's size estimates, which would send them all through the driver."""
+    classes = Stash(spark, "t").put(spark.range(3000).select(F.lit("p").alias("project_id"), F.xxhash64("id").alias("h")))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        pairs = near_hashes(classes)
+        plan = pairs._jdf.queryExecution().executedPlan()
+        sent = [line for line in plan.toString().splitlines() if "BroadcastExchange" in line]
+        assert len(sent) <= 1 and "posexplode" not in plan.toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_near_hashes_blocks(spark):
+    import random
+
+    r = random.Random(2)
+    sizes = {"a": 150, "b": 41, "c": 1, "d": 2}
+    made = {(p, h ^ sum(1 << b for b in r.sample(range(64), r.randrange(7)))) for p, n in sizes.items() for h in [r.getrandbits(64) for _ in range(3)] for _ in range(n)}
+    rows = [(p, h - (1 << 64) if h >> 63 else h, k) for k, (p, h) in enumerate(sorted(made))]
+    want = {(p, a, b, d, m, n) for p, a, m in rows for q, b, n in rows if p == q and a < b and (d := ((a ^ b) & (1 << 64) - 1).bit_count()) <= 8}
+    df = spark.createDataFrame([*rows, (None, 1, -1), (None, 2, -2), ("a", None, -3)], "project_id string, h bigint, n bigint")
+    for block in (7, 100, 50_000):
+        got = [tuple(x) for x in near_hashes(df.repartition(3), block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("threshold", [0, 3, 8, 14])
+def test_pigeonholes(monkeypatch, threshold):
+    import numpy as np
+
+    from lumasieve.functions import pigeonholes
+
+    r = np.random.default_rng(threshold)
+    flips = (np.uint64(1) << r.integers(0, 64, (300, 8), dtype=np.uint64)) * (r.random((300, 8)) < 0.6)
+    x = np.unique(np.bitwise_xor.reduce(flips, axis=1) ^ r.integers(0, 1 << 63, 60, dtype=np.uint64).repeat(5))
+    y = x[::2] ^ np.uint64(4)
+    for few, chunk, dearer in ((10**9, 100, 4), (0, 100, 0), (0, 1 << 20, 0), (0, 100, 10**9)):  # one by one, by holes, given up
+        for name, value in (("FEW", few), ("CHUNK", chunk), ("DEARER", dearer)):
+            monkeypatch.setattr(pigeonholes, name, value)
+        for other in (None, y):
+            got = [(a, b) for i, j in pigeonholes.near(x, other, threshold) for a, b in zip(i.tolist(), j.tolist())]
+            i, j = np.nonzero(np.bitwise_count(x[:, None] ^ (x if other is None else y)) <= threshold)
+            assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in zip(i.tolist(), j.tolist()) if other is not None or a < b}
+        assert not any(len(i) for i, _ in pigeonholes.near(x[:0], None, threshold))
