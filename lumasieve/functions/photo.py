@@ -30,14 +30,18 @@ def photo_id(project: Column, path: Column) -> Column:
     return F.sha2(F.concat(project, F.lit("\n"), path), 256)
 
 
-def set_digest(method: str, member_id: Column) -> Column:
-    """Aggregate: 64 hexadecimal digits that depend on the method and the set of (different) member ids alone.
+LANES = tuple(f"lane{i}" for i in range(4))
 
-    The members' own digests are combined by exclusive or in four lanes, so that partial results can be merged.
-    """
+
+def digest_lanes(member_id: Column) -> list[Column]:
+    """Aggregates: the members' own digests combined by exclusive or in four lanes, so that partial results can be merged by ``bit_xor``."""
     whole = F.sha2(member_id, 256)
-    lane = lambda i: F.bit_xor(F.conv(F.substring(whole, 16 * i + 1, 16), 16, -10).cast("bigint")).cast("string")
-    return F.sha2(F.concat_ws("\n", F.lit(method), F.count(F.lit(1)).cast("string"), *map(lane, range(4))), 256)
+    return [F.bit_xor(F.conv(F.substring(whole, 16 * i + 1, 16), 16, -10).cast("bigint")).alias(lane) for i, lane in enumerate(LANES)]
+
+
+def set_digest(method: str, count: Column, lanes: list[Column]) -> Column:
+    """64 hexadecimal digits that depend on the method and the set of (different) member ids alone, from their number and merged lanes."""
+    return F.sha2(F.concat_ws("\n", F.lit(method), count.cast("string"), *[lane.cast("string") for lane in lanes]), 256)
 
 
 def cache_key(path: Column, mtime_ns: Column) -> Column:

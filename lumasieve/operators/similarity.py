@@ -7,7 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.photo import group_params, parse_phash, set_digest
+from ..functions.ids import pack_id, unpack_id
+from ..functions.photo import LANES, digest_lanes, group_params, parse_phash, set_digest
 from ..functions.pigeonholes import near
 from ..runtime import Stash, ship
 from .ordinal import ordinal
@@ -20,9 +21,9 @@ _CELL = ["project_id", "i", "j"]
 
 
 def hashes(photos: DataFrame) -> DataFrame:
-    """(project_id, h, id): photos with a valid hash, whatever their state, once each."""
-    rows = photos.select("project_id", parse_phash(F.col("phash")).alias("h"), "id")
-    return rows.where("h is not null and project_id is not null and id is not null").distinct()
+    """(project_id, h, k): photos with a valid hash, whatever their state, once each, under their packed id."""
+    rows = photos.select("project_id", parse_phash(F.col("phash")).alias("h"), "id").where("h is not null and project_id is not null and id is not null")
+    return rows.select("project_id", "h", pack_id(F.col("id")).alias("k")).distinct()
 
 
 def _near_cells(threshold: int, extra: bool, names: list[str]):
@@ -113,7 +114,8 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): each end of an edge with the smallest end of its component.
 
     Alternates two contractions until nothing changes: each node links its larger neighbours to the smallest node around it, then its
-    smaller ones. Each round is written to the shared folder; only a digest of it reaches the driver.
+    smaller ones. Each round is written to the shared folder; only a digest of it reaches the driver. Written numbers take far less room in files than in
+    memory, so Spark isn't left to send a side of a join through the driver by the size of its files.
     """
     stash = Stash(edges.sparkSession, "connected")
     pair = lambda df: df.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
@@ -123,7 +125,7 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         if larger:
             both = both.unionByName(now.select(F.col("y").alias("u"), F.col("x").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        to_least = both.join(least, "u")
+        to_least = both.join(least.hint("merge"), "u")
         if larger:
             return pair(to_least.where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")))
         own = least.select(F.col("u").alias("x"), F.col("m").alias("y"))
@@ -146,32 +148,44 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
 
 
-def clusters(photos: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(project_id, root, id): photos in a component of at least two, by hash distance alone, under the component's smallest hash.
+def _placed(photos: DataFrame, threshold: int, *more) -> tuple[DataFrame, DataFrame]:
+    """(rows, placed): the photos as of ``hashes``, and (project_id, h, copies, c) of each different hash in a component of at least two photos, under
+    the component's number, with aggregates ``more`` over the photos of a hash.
 
-    Photos without valid hash are left out. Components are sought among different hashes, which get numbers first; photos join theirs by hash.
+    Components are sought among different hashes, which get numbers first.
     """
     stash = Stash(photos.sparkSession, "clusters")
     rows = stash.put(hashes(photos))
-    classes = stash.put(rows.groupBy("project_id", "h").agg(F.count("*").alias("copies")).withColumn("n", F.monotonically_increasing_id()))
+    classes = stash.put(rows.groupBy("project_id", "h").agg(F.count("*").alias("copies"), *more).withColumn("n", F.monotonically_increasing_id()))
     found = connected(near_hashes(classes.select("project_id", "h", "n"), threshold), "n_a", "n_b")
-    placed = classes.join(found, F.col("n") == F.col("node"), "left").where("root IS NOT NULL OR copies > 1").select("project_id", "h", F.coalesce("root", "n").alias("c"))
+    placed = classes.join(found.hint("merge"), F.col("n") == F.col("node"), "left").where("root IS NOT NULL OR copies > 1")
+    return rows, stash.put(placed.withColumn("c", F.coalesce("root", "n")).drop("n", "node", "root"))
+
+
+def clusters(photos: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(project_id, root, id): photos in a component of at least two, by hash distance alone, under the component's smallest hash.
+
+    Photos without valid hash are left out; the others join their component by hash.
+    """
+    rows, placed = _placed(photos, threshold)
     least = placed.groupBy("c").agg(F.min("h").alias("root"))
-    return rows.join(placed.join(least, "c"), ["project_id", "h"]).select("project_id", "root", "id")
+    known = placed.select("project_id", "h", "c").join(least.hint("merge"), "c")
+    return rows.join(known.hint("merge"), ["project_id", "h"]).select("project_id", "root", unpack_id(F.col("k")).alias("id"))
 
 
 def regrouped(photos: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(groups, members) of all projects: (id, project_id, method, params) and (group_id, photo_id).
 
-    A group's id is a digest of the method and the set of its members, taken without gathering them: the same members always make
-    the same id, in any order.
+    A group's id is a digest of the method and the set of its members, taken without gathering them, from the digests of its different hashes: the same
+    members always make the same id, in any order.
     """
-    stash = Stash(photos.sparkSession, "regrouped")
-    found = stash.put(clusters(photos, threshold))
-    ids = found.groupBy("project_id", "root").agg(set_digest(METHOD, F.col("id")).alias("group_id"))
-    ids = stash.put(ids)
-    groups = ids.select(F.col("group_id").alias("id"), "project_id", F.lit(METHOD).alias("method"), group_params(threshold).alias("params"))
-    return groups, found.join(ids, ["project_id", "root"]).select("group_id", F.col("id").alias("photo_id"))
+    rows, placed = _placed(photos, threshold, *digest_lanes(unpack_id(F.col("k"))))
+    merged = placed.groupBy("project_id", "c").agg(F.sum("copies").alias("size"), *[F.bit_xor(lane).alias(lane) for lane in LANES])
+    ids = Stash(photos.sparkSession, "regrouped").put(merged.select("project_id", "c", F.unhex(set_digest(METHOD, F.col("size"), [F.col(lane) for lane in LANES])).alias("g")))
+    text = F.lower(F.hex("g"))
+    groups = ids.select(text.alias("id"), "project_id", F.lit(METHOD).alias("method"), group_params(threshold).alias("params"))
+    known = placed.select("project_id", "h", "c").join(ids.select("c", "g").hint("merge"), "c").select("project_id", "h", "g")
+    return groups, rows.join(known.hint("merge"), ["project_id", "h"]).select(text.alias("group_id"), unpack_id(F.col("k")).alias("photo_id"))
 
 
 def member_order(members: DataFrame) -> DataFrame:

@@ -240,3 +240,11 @@ def test_pigeonholes(monkeypatch, threshold):
             i, j = np.nonzero(np.bitwise_count(x[:, None] ^ (x if other is None else y)) <= threshold)
             assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in zip(i.tolist(), j.tolist()) if other is not None or a < b}
         assert not any(len(i) for i, _ in pigeonholes.near(x[:0], None, threshold))
+
+
+def test_groups_small_driver(spark):
+    """Files of numbers are far smaller than the rows in memory, so their size must not make Spark send a side of a join through the driver."""
+    photos = hashed(spark, *[(f"{k}-{c}", f"{k:016x}") for k in (0, 1, 1 << 40) for c in "ab"])
+    for df in (clusters(photos), regrouped(photos)[1], connected(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), "a", "b")):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.root, r.id) for r in clusters(photos).collect()) == [(0, f"{k}-{c}") for k in (0, 1, 1 << 40) for c in "ab"]
