@@ -43,7 +43,7 @@ def rows_through_driver(spark, df):
     return sent
 
 
-@pytest.mark.parametrize("name", ["similar_groups", "groups_after_regroup"])
+@pytest.mark.parametrize("name", ["similar_groups", "groups_after_regroup", "similar_clusters"])
 def test_small_driver(spark, data, name):
     """No side of a join goes through the driver because its file, or the table it is exploded from, is small."""
     small, large = spark.range(3), spark.range(100)
